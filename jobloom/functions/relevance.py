@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 from operator import add
 
@@ -14,21 +14,35 @@ from jobloom.functions.text import text_of, title_and_description
 Keywords = Sequence[str] | Column
 
 
-def _sum_over(keywords: Keywords, points) -> Column:
-    """Add up ``points(keyword)``; a fixed list unrolls, so that it stays in generated code."""
-    if isinstance(keywords, Column):
+Points = Callable[..., Column]
+
+
+def _sum_over(keywords: Keywords, texts: Sequence[Column], points: Points) -> Column:
+    """Add up ``points(keyword, *texts)``.
+
+    A fixed list unrolls, so that it stays in generated code. For an array column the
+    texts are bound once per row and not put together again for each keyword.
+    """
+    if not isinstance(keywords, Column):
+        return reduce(add, [points(F.lit(k.lower()), *texts) for k in keywords], F.lit(0)).cast("double")
+    bound = F.struct(*[text.alias(f"t{i}") for i, text in enumerate(texts)])
+
+    def total(row: Column) -> Column:
+        fields = [row[f"t{i}"] for i in range(len(texts))]
         return F.aggregate(
-            keywords, F.lit(0.0).cast("double"), lambda acc, k: acc + points(F.lower(k)).cast("double")
+            keywords, F.lit(0.0), lambda acc, k: acc + points(F.lower(k), *fields).cast("double")
         )
-    return reduce(add, [points(F.lit(k.lower())) for k in keywords], F.lit(0)).cast("double")
+
+    return F.element_at(F.transform(F.array(bound), total), 1)
 
 
-def _mean_over(keywords: Keywords, points) -> Column:
+def _mean_over(keywords: Keywords, texts: Sequence[Column], points: Points) -> Column:
     if isinstance(keywords, Column):
-        return F.coalesce(F.try_divide(_sum_over(keywords, points), F.size(keywords)), F.lit(0.0))
+        total = _sum_over(keywords, texts, points)
+        return F.coalesce(F.try_divide(total, F.size(keywords)), F.lit(0.0))
     if not keywords:
         return F.lit(0.0)
-    return _sum_over(keywords, points) / F.lit(float(len(keywords)))
+    return _sum_over(keywords, texts, points) / F.lit(float(len(keywords)))
 
 
 def _points(condition: Column, weight: float) -> Column:
@@ -37,22 +51,23 @@ def _points(condition: Column, weight: float) -> Column:
 
 def relevance_ratio(title: Column, description: Column, keywords: Keywords) -> Column:
     """One point per keyword in title or description, one more if in the title; mean."""
-    text = title_and_description(title, description)
-    head = F.lower(text_of(title))
+    texts = [title_and_description(title, description), F.lower(text_of(title))]
 
-    def points(keyword: Column) -> Column:
+    def points(keyword: Column, text: Column, head: Column) -> Column:
         in_text = text.contains(keyword)
         return _points(in_text, 1.0) + _points(in_text & head.contains(keyword), 1.0)
 
-    return _mean_over(keywords, points)
+    return _mean_over(keywords, texts, points)
+
 
+def _lower(*fields: Column) -> list[Column]:
+    return [F.lower(text_of(c)) for c in fields]
 
-def _field_points(title: Column, description: Column, company: Column, weights):
-    fields = [F.lower(text_of(c)) for c in (title, description, company)]
 
-    def points(keyword: Column) -> Column:
+def _field_points(*weights: float) -> Points:
+    def points(keyword: Column, *texts: Column) -> Column:
         return reduce(
-            add, [_points(f.contains(keyword), w) for f, w in zip(fields, weights, strict=True)]
+            add, [_points(t.contains(keyword), w) for t, w in zip(texts, weights, strict=True)]
         )
 
     return points
@@ -62,7 +77,7 @@ def relevance_weighted(
     title: Column, description: Column, company: Column, keywords: Keywords
 ) -> Column:
     """3 for the title, 1 for the description, 0.5 for the company; mean over keywords."""
-    return _mean_over(keywords, _field_points(title, description, company, (3.0, 1.0, 0.5)))
+    return _mean_over(keywords, _lower(title, description, company), _field_points(3.0, 1.0, 0.5))
 
 
 def recency_bonus(created_at: Column, as_of: Column) -> Column:
@@ -81,7 +96,7 @@ def relevance_recency(
     keywords: Keywords,
 ) -> Column:
     """3 for the title, 1.5 for the description, 1 for the company, summed; plus recency."""
-    hits = _sum_over(keywords, _field_points(title, description, company, (3.0, 1.5, 1.0)))
+    hits = _sum_over(keywords, _lower(title, description, company), _field_points(3.0, 1.5, 1.0))
     return hits + recency_bonus(created_at, as_of)
 
 

@@ -49,11 +49,31 @@ def title_and_description(title: Column, description: Column) -> Column:
     return F.lower(F.concat(text_of(title), F.lit(" "), text_of(description)))
 
 
+SEPARATOR = "\x1f"
+
+
+def _joined_where(cases: Iterable[tuple[Column, str]]) -> Column:
+    return F.concat_ws(SEPARATOR, *[F.when(condition, F.lit(label)) for condition, label in cases])
+
+
+def labels_where(cases: Iterable[tuple[Column, str]]) -> Column:
+    """The labels whose condition holds, in order.
+
+    Joined and split again rather than filtered: that stays in generated code, where a
+    text that all conditions look at is put together once.
+    """
+    return F.array_remove(F.split(_joined_where(cases), SEPARATOR), "")
+
+
+def first_label(cases: Iterable[tuple[Column, str]], default: str) -> Column:
+    """The first label whose condition holds. All conditions are evaluated, as above."""
+    first = F.substring_index(_joined_where(cases), SEPARATOR, 1)
+    return F.coalesce(null_if_empty(first), F.lit(default))
+
+
 def terms_in(text: Column, terms: Sequence[str]) -> Column:
     """The dictionary terms contained in the text, in dictionary order."""
-    return F.array_compact(
-        F.array(*[F.when(text.contains(F.lit(term)), F.lit(term)) for term in terms])
-    )
+    return labels_where((text.contains(F.lit(term)), term) for term in terms)
 
 
 def extract_keywords(
@@ -122,11 +142,9 @@ def extract_company(title: Column, description: Column) -> Column:
 def extract_location(title: Column, description: Column) -> Column:
     """The first place of the list that the text contains."""
     text = title_and_description(title, description)
-    # every test is evaluated, so that the text is put together once only
-    found = F.array_compact(
-        F.array(*[F.when(text.contains(F.lit(p)), F.lit(p.title())) for p in V.PLACES])
+    return first_label(
+        ((text.contains(F.lit(place)), place.title()) for place in V.PLACES), V.UNKNOWN_PLACE
     )
-    return F.coalesce(F.try_element_at(found, F.lit(1)), F.lit(V.UNKNOWN_PLACE))
 
 
 def split_keywords(column: Column, separator: str = ";") -> Column:

@@ -19,6 +19,7 @@ from jobloom.functions.text import (
     contains_any,
     filled,
     join_keywords,
+    labels_where,
     text_of,
     title_and_description,
 )
@@ -199,9 +200,7 @@ def quality_rules(
 def mark_quality(df: DataFrame, **limits) -> DataFrame:
     """Add ``failed_rules``, the names of the rules a row breaks."""
     rules = quality_rules(**limits)
-    failed = F.array_compact(
-        F.array(*[F.when(~good, F.lit(name)) for name, good in rules.items()])
-    )
+    failed = labels_where((~good, name) for name, good in rules.items())
     return df.withColumn("failed_rules", failed)
 
 

@@ -2,9 +2,9 @@
 
 A term counts wherever it is a substring, so words cannot simply be joined. A term
 without white space lies in a text exactly if it lies in one of its words, so terms
-are looked for in the *vocabulary* (each distinct word once), by an equi-join on a
-three-letter piece of the term, and the hits go back to postings by word. Every
-step is an equi-join or an aggregate; no posting meets every term.
+are looked for in the *vocabulary* (each distinct word once): the parts of a word that
+are as long as some term are joined with the terms, and the hits go back to postings by
+word. Every step is an equi-join or an aggregate; no posting meets every term.
 """
 
 from __future__ import annotations
@@ -16,6 +16,8 @@ from jobloom.functions.text import text_of, title_and_description
 from jobloom.operators.ranking import top_per_group
 
 SPACE = r"[ \t\n\r]+"
+# A longer term is looked for by its beginning and then checked.
+LONGEST_PROBE = 32
 FIELDS = ["title", "description", "company", "keywords"]
 
 
@@ -38,37 +40,31 @@ def _field_texts(postings: DataFrame) -> dict[str, Column]:
     return texts
 
 
-def _grams(text: Column, size: int) -> Column:
-    return F.regexp_extract_all(text, F.lit(rf"(?s)(?=(.{{{size}}}))"), F.lit(1))
-
-
 def _field_words(name: str, text: Column) -> Column:
     words = F.array_distinct(F.split(text, SPACE))
     return F.transform(words, lambda w: F.struct(F.lit(name).alias("field"), w.alias("word")))
 
 
+def _parts(word: Column, lengths: Column) -> Column:
+    """Every part of the word that has one of the lengths, each once."""
+
+    def of_length(n: Column) -> Column:
+        return F.transform(F.sequence(F.lit(1), F.length(word) - n + 1), lambda i: F.substring(word, i, n))
+
+    fitting = F.filter(lengths, lambda n: n <= F.length(word))
+    return F.array_distinct(F.flatten(F.transform(fitting, of_length)))
+
+
 def _word_hits(vocabulary: DataFrame, terms: DataFrame) -> DataFrame:
     """(word, term): the words that contain the ``piece`` of a term."""
-    word_grams = vocabulary.select(
-        "word",
-        F.explode(
-            F.array_distinct(F.concat(*[_grams(F.col("word"), size) for size in (1, 2, 3)]))
-        ).alias("gram"),
-    )
-    piece = F.col("piece")
-    pieces_of_three = F.when(F.length(piece) > 3, _grams(piece, 3)).otherwise(F.array(piece))
-    term_grams = terms.select("term", "piece", F.explode(F.array_distinct(pieces_of_three)).alias("gram"))
-    wanted = term_grams.select("gram").distinct()
-    spread = word_grams.join(wanted, "gram", "left_semi").groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
-    # the rarest piece of a term leaves the fewest words to look at
-    probes = (
-        term_grams.join(spread, "gram")
-        .groupBy("term", "piece")
-        .agg(F.min_by("gram", F.struct("n", "gram")).alias("gram"))
-    )
-    return (
-        word_grams.join(probes, "gram").where(F.col("word").contains(F.col("piece"))).select("word", "term")
+    probed = terms.withColumn("probe", F.substring("piece", 1, LONGEST_PROBE))
+    lengths = probed.agg(F.collect_set(F.length("probe"))).scalar()
+    parts = (
+        vocabulary.withColumn("_lengths", lengths)
+        .select("word", F.explode(_parts(F.col("word"), F.col("_lengths"))).alias("probe"))
     )
+    whole = (F.length("piece") <= LONGEST_PROBE) | F.col("word").contains(F.col("piece"))
+    return parts.join(probed, "probe").where(whole).select("word", "term")
 
 
 def term_hits(postings: DataFrame, terms: DataFrame, key: str = "key") -> DataFrame:

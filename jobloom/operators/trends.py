@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from jobloom.functions import values as V
 from jobloom.functions.facets import region_of
-from jobloom.functions.text import contains_any, title_and_description
+from jobloom.functions.text import contains_any, labels_where, title_and_description
 
 
 def keyword_trend(
@@ -22,9 +22,7 @@ def keyword_trend(
     in the days before.
     """
     text = title_and_description(F.col("title"), F.col("description"))
-    labels = F.array_compact(
-        F.array(*[F.when(contains_any(text, words), F.lit(name)) for name, words in terms.items()])
-    )
+    labels = labels_where((contains_any(text, words), name) for name, words in terms.items())
     daily = (
         df.select(F.to_date("scraped_at").alias("day"), F.explode(labels).alias("keyword"))
         .groupBy("keyword", "day")

@@ -10,8 +10,13 @@ from pyspark.sql import functions as F
 from jobloom.functions.relevance import relevance_ratio
 from jobloom.operators.merge import union_sources
 from jobloom.operators.querytext import process_query
-from jobloom.sources.files import read_store, store_postings, write_postings_csv, write_postings_json
-from jobloom.sources.files import write_stats_csv
+from jobloom.sources.files import (
+    read_store,
+    store_postings,
+    write_postings_csv,
+    write_postings_json,
+    write_stats_csv,
+)
 from jobloom.sources.providers import provider
 
 
@@ -24,8 +29,11 @@ def collect_sources(
 
 
 def score_with_query(postings: DataFrame, query: DataFrame, text: str = "text") -> DataFrame:
-    """Replace the relevance by the ratio over the expanded terms of a one-row query table."""
-    terms = process_query(query, text).select("keywords").scalar()
+    """Replace the relevance by the ratio over the expanded terms of one query (a one-row table).
+
+    The terms of the one query are read first, so that scoring the postings is generated code.
+    """
+    terms = process_query(query, text).select("keywords").head()[0]
     return postings.withColumn(
         "relevance", relevance_ratio(F.col("title"), F.col("description"), terms)
     )

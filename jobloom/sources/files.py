@@ -19,6 +19,14 @@ FILE_POSTING = T.StructType(
     [T.StructField(f.name, T.StringType() if f.name == "keywords" else f.dataType) for f in POSTING]
 )
 CORRUPT = "_corrupt_record"
+# Plain CSV: blanks at the ends stay, quotes are doubled, an empty text is an empty cell.
+CSV_FORM = {
+    "header": True,
+    "escape": '"',
+    "emptyValue": "",
+    "ignoreLeadingWhiteSpace": False,
+    "ignoreTrailingWhiteSpace": False,
+}
 STAMP = "yyyy-MM-dd HH:mm:ss"
 
 
@@ -136,7 +144,7 @@ def csv_view(df: DataFrame) -> DataFrame:
 
 
 def write_postings_csv(df: DataFrame, path: str) -> None:
-    csv_view(df).write.option("header", True).option("escape", '"').csv(path)
+    csv_view(df).write.options(**CSV_FORM).csv(path)
 
 
 def stats_csv_view(stats: DataFrame, locations: int = 10, keywords: int = 20) -> DataFrame:
@@ -170,7 +178,7 @@ def stats_csv_view(stats: DataFrame, locations: int = 10, keywords: int = 20) ->
 
 def write_stats_csv(df: DataFrame, as_of: Column, path: str) -> None:
     view = stats_csv_view(posting_stats(df, as_of)).orderBy("section", "name")
-    view.write.option("header", True).option("escape", '"').csv(path)
+    view.write.options(**CSV_FORM).csv(path)
 
 
 def write_result_json(rows: DataFrame, insights: DataFrame, path: str) -> None:

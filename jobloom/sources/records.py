@@ -22,15 +22,18 @@ def normalize_posting(df: DataFrame, now: Column, keep: Sequence[str] = ()) -> D
     }
     keywords = F.col("keywords") if "keywords" in df.columns else F.lit(None)
     trimmed = df.select(
-        *keep, *[c.alias(name) for name, c in texts.items()], keywords.cast("array<string>").alias("keywords")
+        *keep,
+        *[c.alias(name) for name, c in texts.items()],
+        keywords.cast("array<string>").alias("keywords"),
+        now.cast("timestamp").alias("_now"),
     )
     return trimmed.select(
         *keep,
         posting_id(F.col("title"), F.col("company"), F.col("link")).alias("id"),
         *TEXT_COLUMNS,
         "keywords",
-        now.cast("timestamp").alias("scraped_at"),
-        now.cast("timestamp").alias("updated_at"),
+        F.col("_now").alias("scraped_at"),
+        F.col("_now").alias("updated_at"),
         F.lit(True).alias("is_active"),
         F.lit(0.0).cast("double").alias("relevance"),
     )
