@@ -1,0 +1,314 @@
+"""Source health: the breaker state of each source along its calls.
+
+closed -> open after five failures in a row; open -> half_open at the first call a minute
+or more after the last failure (earlier calls are rejected and do not count); half_open ->
+closed after three successes, -> open on a failure.
+
+A source is a chain of calls, and one source may hold a third of all of them, so the chain
+is not walked by one task. It is cut into chunks of time. For each chunk one task works out
+how *every* state it may be entered with leaves it: five closed states, three half-open
+ones, and open since any failure shortly before the chunk. These small tables are combined
+64 at a time, up to whole sources and down again, which gives the state each chunk is
+really entered with. Then all chunks are walked side by side.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from jobloom.functions import values as V
+from jobloom.session import shared_folder
+
+CLOSED, HALF_OPEN, OPEN = 0, 1, 2
+NAMES = ["closed", "half_open", "open"]
+# The failure an open state waits for is so old that the next call is let through.
+LONG_AGO = -1
+FAN = 64
+LEVELS = 3
+SECOND = 1_000_000
+
+State = tuple[int, int]
+TABLE = "source string, block bigint, start bigint, kind bigint, value bigint, to_kind bigint, to_value bigint"
+ENTRY = "source string, block bigint, kind bigint, value bigint"
+MOVES = "source string, event_id bigint, at bigint, step bigint, from_state string, to_state string"
+
+
+def _table_key(state: State, start: int, wait: int) -> State:
+    """An open state whose wait ends before the start of a chunk is as good as long ago."""
+    kind, value = state
+    if kind == OPEN and (value == LONG_AGO or value + wait <= start):
+        return OPEN, LONG_AGO
+    return state
+
+
+def _exits(at: np.ndarray, ok: np.ndarray, since: list[int], failures: int, wait: int, successes: int):
+    """(entry, exit) of one chunk for every state it may be entered with."""
+    n = len(at)
+    let_in = np.searchsorted(at, at + wait, "left")
+    run = 0  # failures in a row from here on
+    closed: list[State] = [(CLOSED, 0)] * (n + 1)
+    half: list[State] = [(HALF_OPEN, 0)] * (n + 1)
+    opened: list[State] = [(OPEN, 0)] * n
+
+    def from_half(first: int, good: int) -> State:
+        for i in range(first, first + successes - good):
+            if i == n:
+                return HALF_OPEN, good + i - first
+            if not ok[i]:
+                return opened[i]
+        return closed[first + successes - good]
+
+    for i in range(n - 1, -1, -1):
+        run = 0 if ok[i] else run + 1
+        opened[i] = (OPEN, int(at[i])) if let_in[i] == n else half[let_in[i]]
+        half[i] = from_half(i, 0)
+        if run >= failures:
+            closed[i] = opened[i + failures - 1]
+        elif i + run == n:
+            closed[i] = (CLOSED, run)
+        else:
+            # the success that ends the failures starts the count again
+            closed[i] = closed[i + run + 1]
+    lead = run
+    for count in range(failures):
+        if lead >= failures - count:
+            yield (CLOSED, count), opened[failures - count - 1]
+        elif lead == n:
+            yield (CLOSED, count), (CLOSED, count + n)
+        else:
+            yield (CLOSED, count), closed[lead + 1]
+    for good in range(successes):
+        yield (HALF_OPEN, good), from_half(0, good)
+    yield (OPEN, LONG_AGO), half[0]
+    for moment in since:
+        first = int(np.searchsorted(at, moment + wait, "left"))
+        yield (OPEN, moment), ((OPEN, moment) if first == n else half[first])
+
+
+def _walk(at, ok, ids, state: State, failures: int, wait: int, successes: int) -> Iterator[tuple]:
+    """The moves of one chunk entered with a state: (event, time, step, from, to)."""
+    kind, value = state
+    for moment, good, event in zip(at, ok, ids, strict=True):
+        step = 0
+        if kind == OPEN:
+            if value != LONG_AGO and moment - value < wait:
+                continue
+            step += 1
+            yield event, moment, step, NAMES[OPEN], NAMES[HALF_OPEN]
+            kind, value = HALF_OPEN, 0
+        before = kind
+        if good:
+            if kind == HALF_OPEN:
+                kind, value = (CLOSED, 0) if value + 1 >= successes else (HALF_OPEN, value + 1)
+            else:
+                value = 0
+        elif kind == HALF_OPEN or value + 1 >= failures:
+            kind, value = OPEN, int(moment)
+        else:
+            value += 1
+        if kind != before:
+            yield event, moment, step + 1, NAMES[before], NAMES[kind]
+
+
+def _exit_tables(tables: pd.DataFrame) -> Iterator[tuple[int, int, dict[State, State]]]:
+    """(block, start, entry -> exit) in the order of time."""
+    for (block, start), rows in tables.groupby(["block", "start"], sort=True):
+        entries = zip(rows["kind"], rows["value"], strict=True)
+        exits = zip(rows["to_kind"], rows["to_value"], strict=True)
+        yield int(block), int(start), dict(zip(entries, exits, strict=True))
+
+
+def _left_with(exits: dict[State, State], state: State, start: int, wait: int) -> State:
+    """The state after a block. Calls from before the failure are all rejected: it stays."""
+    return exits.get(_table_key(state, start, wait), state)
+
+
+def _chain(tables: pd.DataFrame, state: State, wait: int) -> Iterator[tuple[int, State, State]]:
+    """(block, entry, exit) along the blocks in order, from a first state."""
+    for block, start, exits in _exit_tables(tables):
+        left = _left_with(exits, state, start, wait)
+        yield block, state, left
+        state = left
+
+
+def _combine(wait: int) -> Callable:
+    def combine(key: tuple, tables: pd.DataFrame) -> pd.DataFrame:
+        blocks = [(start, exits) for _, start, exits in _exit_tables(tables)]
+        first_start, first = blocks[0]
+        rows = []
+        for entry, state in first.items():
+            for start, exits in blocks[1:]:
+                state = _left_with(exits, state, start, wait)
+            rows.append((key[0], key[1], first_start, *entry, *state))
+        return pd.DataFrame(rows, columns=["source", "block", "start", "kind", "value", "to_kind", "to_value"])
+
+    return combine
+
+
+def _descend(wait: int) -> Callable:
+    def descend(key: tuple, tables: pd.DataFrame, entries: pd.DataFrame) -> pd.DataFrame:
+        rows = []
+        if len(tables):
+            state = (int(entries["kind"].iloc[0]), int(entries["value"].iloc[0]))
+            rows = [(key[0], block, *entry) for block, entry, _ in _chain(tables, state, wait)]
+        return pd.DataFrame(rows, columns=["source", "block", "kind", "value"])
+
+    return descend
+
+
+class BreakerScan:
+    """The breaker over a table of calls, from given first states.
+
+    ``states`` (source, kind, value) holds the state a source is in before the calls;
+    sources without one are closed. ``moves()`` are the changes of state, ``last_states()``
+    the states after the calls.
+    """
+
+    def __init__(
+        self,
+        calls: DataFrame,
+        states: DataFrame | None = None,
+        failures: int = V.BREAKER_FAILURES,
+        recovery_seconds: int = V.BREAKER_RECOVERY_SECONDS,
+        successes: int = V.BREAKER_SUCCESSES,
+        chunk_seconds: int = 3600,
+    ):
+        if chunk_seconds < recovery_seconds:
+            raise ValueError("a chunk must last as long as the recovery or longer")
+        spark = calls.sparkSession
+        shared_folder(spark)
+        self.failures, self.successes = failures, successes
+        self.wait, self.length = recovery_seconds * SECOND, chunk_seconds * SECOND
+        if states is None:
+            states = spark.createDataFrame([], "source string, kind bigint, value bigint")
+        self.states = states
+        self.calls = calls.select(
+            F.col("provider").alias("source"),
+            F.unix_micros(F.col("called_at").cast("timestamp")).alias("at"),
+            "event_id",
+            "ok",
+        ).withColumn("block", self._block(F.col("at")))
+        # the tables are read several times, on the way up and down
+        self.tables = [self._chunk_tables().checkpoint()]
+        for _ in range(LEVELS):
+            self.tables.append(self._combined(self.tables[-1]))
+
+    def _block(self, at: Column) -> Column:
+        return F.floor(at / F.lit(self.length)).cast("bigint")
+
+    def _chunk_tables(self) -> DataFrame:
+        """Calls meet the failures that the chunk may be open since."""
+        nothing = F.lit(None)
+        real = self.calls.select("source", "block", "at", "event_id", "ok", nothing.cast("bigint").alias("since"))
+        failed = self.calls.where(~F.col("ok")).select("source", "at").unionByName(
+            self.states.where(F.col("kind") == OPEN).select("source", F.col("value").alias("at"))
+        )
+        # a failure matters to the chunk that holds the end of its wait, and to its own one
+        # where the calls after it come with a later table
+        ends = F.array(self._block(F.col("at")), self._block(F.col("at") + self.wait))
+        later = failed.select(
+            "source", "at", self._block(F.col("at")).alias("own"), F.explode(F.array_distinct(ends)).alias("block")
+        ).where(F.col("block") > F.col("own"))
+        carried = self.states.where(F.col("kind") == OPEN).select(
+            "source", self._block(F.col("value")).alias("block"), F.col("value").alias("at")
+        )
+        context = later.select("source", "block", "at").unionByName(carried).select(
+            "source", "block", nothing.cast("bigint").alias("at"), nothing.cast("bigint").alias("event_id"),
+            nothing.cast("boolean").alias("ok"), F.col("at").alias("since"),
+        )
+        length, failures, wait, successes = self.length, self.failures, self.wait, self.successes
+
+        def table(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+            calls = rows[rows["since"].isna()].sort_values(["at", "event_id"])
+            since = sorted({int(m) for m in rows["since"].dropna()})
+            found = []
+            if len(calls):
+                at, ok = calls["at"].to_numpy("int64"), calls["ok"].to_numpy("bool")
+                found = [
+                    (key[0], key[1], key[1] * length, *entry, *left)
+                    for entry, left in _exits(at, ok, since, failures, wait, successes)
+                ]
+            return pd.DataFrame(
+                found, columns=["source", "block", "start", "kind", "value", "to_kind", "to_value"]
+            )
+
+        return real.unionByName(context).groupBy("source", "block").applyInPandas(table, TABLE)
+
+    def _combined(self, tables: DataFrame) -> DataFrame:
+        parent = F.floor(F.col("block") / FAN).cast("bigint").alias("parent")
+        return tables.groupBy("source", parent).applyInPandas(_combine(self.wait), TABLE)
+
+    def _top_walk(self, schema: str, row_of: Callable) -> DataFrame:
+        """Along the few blocks of the highest level of each source."""
+        wait = self.wait
+
+        def walk(key: tuple, tables: pd.DataFrame, states: pd.DataFrame) -> pd.DataFrame:
+            state = (CLOSED, 0)
+            if len(states):
+                state = (int(states["kind"].iloc[0]), int(states["value"].iloc[0]))
+            return row_of(key[0], state, list(_chain(tables, state, wait)) if len(tables) else [])
+
+        top = self.tables[-1].groupBy("source")
+        return top.cogroup(self.states.groupBy("source")).applyInPandas(walk, schema)
+
+    def last_states(self) -> DataFrame:
+        """(source, kind, value) after the calls."""
+
+        def last(source: str, state: State, steps: list) -> pd.DataFrame:
+            final = steps[-1][2] if steps else state
+            return pd.DataFrame([(source, *final)], columns=["source", "kind", "value"])
+
+        return self._top_walk("source string, kind bigint, value bigint", last)
+
+    def entries(self) -> DataFrame:
+        """(source, block, kind, value): the state each chunk is entered with."""
+
+        def all_entries(source: str, state: State, steps: list) -> pd.DataFrame:
+            rows = [(source, block, *entry) for block, entry, _ in steps]
+            return pd.DataFrame(rows, columns=["source", "block", "kind", "value"])
+
+        entries = self._top_walk(ENTRY, all_entries)
+        for tables in reversed(self.tables[:-1]):
+            parent = F.floor(F.col("block") / FAN).cast("bigint").alias("parent")
+            below = tables.groupBy("source", parent)
+            above = entries.withColumnRenamed("block", "parent").groupBy("source", "parent")
+            entries = below.cogroup(above).applyInPandas(_descend(self.wait), ENTRY)
+        return entries
+
+    def moves(self) -> DataFrame:
+        """(source, event_id, at, step, from_state, to_state), all chunks side by side."""
+        failures, wait, successes = self.failures, self.wait, self.successes
+
+        def walk(key: tuple, calls: pd.DataFrame, entry: pd.DataFrame) -> pd.DataFrame:
+            calls = calls.sort_values(["at", "event_id"])
+            state = (int(entry["kind"].iloc[0]), int(entry["value"].iloc[0]))
+            steps = _walk(
+                calls["at"].tolist(), calls["ok"].tolist(), calls["event_id"].tolist(),
+                state, failures, wait, successes,
+            )
+            rows = [(key[0], *step) for step in steps]
+            return pd.DataFrame(rows, columns=["source", "event_id", "at", "step", "from_state", "to_state"])
+
+        entered = self.entries().groupBy("source", "block")
+        return self.calls.groupBy("source", "block").cogroup(entered).applyInPandas(walk, MOVES)
+
+
+def source_health(calls: DataFrame, **settings) -> DataFrame:
+    """(provider, event_id, called_at, step, from_state, to_state): every change of state."""
+    return moves_view(BreakerScan(calls, **settings).moves())
+
+
+def moves_view(moves: DataFrame) -> DataFrame:
+    return moves.select(
+        F.col("source").alias("provider"),
+        "event_id",
+        F.timestamp_micros("at").alias("called_at"),
+        "step",
+        "from_state",
+        "to_state",
+    )
