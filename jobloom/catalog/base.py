@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from jobloom.functions import values as V
 from jobloom.functions.relevance import relevance_ratio
 from jobloom.functions.text import extract_keywords, posting_id
+from jobloom.session import spread
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -99,7 +100,7 @@ def postings_from(documents: DataFrame) -> DataFrame:
 
 
 def postings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return postings_from(table(spark, sf_dir, "documents"))
+    return postings_from(spread(table(spark, sf_dir, "documents")))
 
 
 def scored(postings: DataFrame) -> DataFrame:

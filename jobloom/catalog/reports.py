@@ -26,7 +26,7 @@ from jobloom.operators import advice as G
 from jobloom.operators import calls as C
 from jobloom.operators import stats as A
 from jobloom.operators import trends as T
-from jobloom.operators.ranking import search_rank
+from jobloom.operators.ranking import relevance_order, score_weighted
 
 
 def _top(metric: str, column: str, k: int, source: str, where: str = "true") -> str:
@@ -417,8 +417,8 @@ def recommend_tips(spark, sf):
     ),
 )
 def result_advice(spark, sf):
-    ranked = search_rank(postings(spark, sf), ["python"], "key")
-    return G.result_advice(ranked, "junior")
+    scored = score_weighted(postings(spark, sf), ["python"])
+    return G.result_advice(scored, relevance_order("key"), "junior")
 
 
 @query(

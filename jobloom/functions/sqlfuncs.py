@@ -21,8 +21,8 @@ def _any(text: str, words: Sequence[str]) -> str:
 
 
 def _list(text: str, words: Sequence[str]) -> str:
-    cases = ", ".join(f"CASE WHEN contains({text}, {_quoted(w)}) THEN {_quoted(w)} END" for w in words)
-    return f"array_compact(array({cases}))"
+    listed = ", ".join(_quoted(w) for w in words)
+    return f"transform(array({text}), whole -> filter(array({listed}), word -> contains(whole, word)))[0]"
 
 
 def _both(title: str = "title", description: str = "description") -> str:

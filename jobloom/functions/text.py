@@ -72,8 +72,15 @@ def first_label(cases: Iterable[tuple[Column, str]], default: str) -> Column:
 
 
 def terms_in(text: Column, terms: Sequence[str]) -> Column:
-    """The dictionary terms contained in the text, in dictionary order."""
-    return labels_where((text.contains(F.lit(term)), term) for term in terms)
+    """The dictionary terms contained in the text, in dictionary order.
+
+    The text is bound once per row, and the plan holds one test, not one per term.
+    """
+    words = F.array(*[F.lit(term) for term in terms])
+    found = F.transform(
+        F.array(text), lambda whole: F.filter(words, lambda word: F.contains(whole, word))
+    )
+    return F.element_at(found, 1)
 
 
 def extract_keywords(

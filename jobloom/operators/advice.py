@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -37,15 +39,13 @@ def recommend_tips(level: Column) -> Column:
 
 
 def result_advice(
-    df: DataFrame, level: str | None = None, rank: str = "search_rank", few: int = 10, top: int = 5
+    df: DataFrame, order: Sequence[Column], level: str | None = None, few: int = 10, top: int = 5
 ) -> DataFrame:
-    """(position, advice) for a ranked result, in rule order; nothing for an empty one."""
-    figures = df.agg(
-        F.count(F.lit(1)).alias("n"),
-        F.count_if(
-            (F.col(rank) <= top) & F.lower(text_of(F.col("title"))).contains("senior")
-        ).alias("seniors"),
-    )
+    """(position, advice) for a result in its order, in rule order; nothing for an empty one."""
+    title = F.lower(text_of(F.col("title")))
+    first = df.orderBy(*order).limit(top)
+    seniors = first.agg(F.count_if(title.contains("senior"))).scalar()
+    figures = df.agg(F.count(F.lit(1)).alias("n")).select("n", seniors.alias("seniors"))
     skills = facet_counts(df, lists={"skill": skills_in()})
     skill = top_k(skills, 1).agg(F.max("key")).scalar()
     before, after = V.ADVICE_SKILL

@@ -15,6 +15,7 @@ really entered with. Then all chunks are walked side by side.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -161,6 +162,36 @@ def _descend(wait: int) -> Callable:
     return descend
 
 
+def _chunks(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[str, int, dict[str, np.ndarray]]]:
+    """(source, block, columns) of sorted rows; a chunk may go over several batches."""
+    key, parts = None, []
+
+    def joined() -> tuple[str, int, dict[str, np.ndarray]]:
+        names = parts[0]
+        columns = {c: np.concatenate([p[c] for p in parts]) if len(parts) > 1 else names[c] for c in names}
+        return key[0], key[1], columns
+
+    for batch in batches:
+        columns = {c: batch[c].to_numpy() for c in batch.columns}
+        source, block = columns.pop("source"), columns.pop("block")
+        new = np.flatnonzero((source[1:] != source[:-1]) | (block[1:] != block[:-1])) + 1
+        bounds = [0, *new.tolist(), len(source)] if len(source) else [0]
+        for first, end in zip(bounds, bounds[1:], strict=False):
+            found = (source[first], int(block[first]))
+            if key is not None and found != key:
+                yield joined()
+                parts = []
+            key = found
+            parts.append({c: v[first:end] for c, v in columns.items()})
+    if parts:
+        yield joined()
+
+
+def _frames(rows: Iterator[tuple], columns: list[str], size: int = 50_000) -> Iterator[pd.DataFrame]:
+    while part := list(islice(rows, size)):
+        yield pd.DataFrame(part, columns=columns)
+
+
 class BreakerScan:
     """The breaker over a table of calls, from given first states.
 
@@ -201,43 +232,46 @@ class BreakerScan:
     def _block(self, at: Column) -> Column:
         return F.floor(at / F.lit(self.length)).cast("bigint")
 
-    def _chunk_tables(self) -> DataFrame:
-        """Calls meet the failures that the chunk may be open since."""
-        nothing = F.lit(None)
-        real = self.calls.select("source", "block", "at", "event_id", "ok", nothing.cast("bigint").alias("since"))
-        failed = self.calls.where(~F.col("ok")).select("source", "at").unionByName(
-            self.states.where(F.col("kind") == OPEN).select("source", F.col("value").alias("at"))
+    def _with_calls(self, others: DataFrame) -> DataFrame:
+        """The calls of each chunk in order, after its rows of another table (kind, value)."""
+        number = F.lit(0).cast("bigint")
+        calls = self.calls.select(
+            "source", "block", F.lit(True).alias("call"), "at", "event_id", "ok",
+            number.alias("kind"), number.alias("value"),
         )
-        # a failure matters to the chunk that holds the end of its wait, and to its own one
-        # where the calls after it come with a later table
-        ends = F.array(self._block(F.col("at")), self._block(F.col("at") + self.wait))
-        later = failed.select(
-            "source", "at", self._block(F.col("at")).alias("own"), F.explode(F.array_distinct(ends)).alias("block")
-        ).where(F.col("block") > F.col("own"))
-        carried = self.states.where(F.col("kind") == OPEN).select(
-            "source", self._block(F.col("value")).alias("block"), F.col("value").alias("at")
+        first = others.select(
+            "source", "block", F.lit(False).alias("call"), number.alias("at"), number.alias("event_id"),
+            F.lit(False).alias("ok"), "kind", "value",
         )
-        context = later.select("source", "block", "at").unionByName(carried).select(
-            "source", "block", nothing.cast("bigint").alias("at"), nothing.cast("bigint").alias("event_id"),
-            nothing.cast("boolean").alias("ok"), F.col("at").alias("since"),
+        rows = calls.unionByName(first).repartition("source", "block")
+        return rows.sortWithinPartitions("source", "block", "call", "at", "event_id")
+
+    def _chunk_tables(self) -> DataFrame:
+        # a chunk may be open since a failure whose wait ends in it
+        failed = self.calls.where(~F.col("ok")).select("source", "at", F.col("block").alias("own"))
+        held = self.states.where(F.col("kind") == OPEN).select("source", F.col("value").alias("at"))
+        held = held.withColumn("own", self._block(F.col("at")))
+        ending = failed.unionByName(held).withColumn("block", self._block(F.col("at") + self.wait))
+        # a state from before may also be met by calls of its own chunk
+        since = ending.where(F.col("block") > F.col("own")).select("source", "block", "at").unionByName(
+            held.select("source", F.col("own").alias("block"), "at")
         )
+        since = since.select("source", "block", F.lit(OPEN).cast("bigint").alias("kind"), F.col("at").alias("value"))
         length, failures, wait, successes = self.length, self.failures, self.wait, self.successes
 
-        def table(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-            calls = rows[rows["since"].isna()].sort_values(["at", "event_id"])
-            since = sorted({int(m) for m in rows["since"].dropna()})
-            found = []
-            if len(calls):
-                at, ok = calls["at"].to_numpy("int64"), calls["ok"].to_numpy("bool")
-                found = [
-                    (key[0], key[1], key[1] * length, *entry, *left)
-                    for entry, left in _exits(at, ok, since, failures, wait, successes)
-                ]
-            return pd.DataFrame(
-                found, columns=["source", "block", "start", "kind", "value", "to_kind", "to_value"]
-            )
-
-        return real.unionByName(context).groupBy("source", "block").applyInPandas(table, TABLE)
+        def tables(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            def rows():
+                for source, block, c in _chunks(batches):
+                    call = c["call"]
+                    if call.any():
+                        moments = sorted(set(c["value"][~call].tolist()))
+                        exits = _exits(c["at"][call], c["ok"][call], moments, failures, wait, successes)
+                        for entry, left in exits:
+                            yield source, block, block * length, *entry, *left
+
+            yield from _frames(rows(), ["source", "block", "start", "kind", "value", "to_kind", "to_value"])
+
+        return self._with_calls(since).mapInPandas(tables, TABLE)
 
     def _combined(self, tables: DataFrame) -> DataFrame:
         parent = F.floor(F.col("block") / FAN).cast("bigint").alias("parent")
@@ -284,18 +318,18 @@ class BreakerScan:
         """(source, event_id, at, step, from_state, to_state), all chunks side by side."""
         failures, wait, successes = self.failures, self.wait, self.successes
 
-        def walk(key: tuple, calls: pd.DataFrame, entry: pd.DataFrame) -> pd.DataFrame:
-            calls = calls.sort_values(["at", "event_id"])
-            state = (int(entry["kind"].iloc[0]), int(entry["value"].iloc[0]))
-            steps = _walk(
-                calls["at"].tolist(), calls["ok"].tolist(), calls["event_id"].tolist(),
-                state, failures, wait, successes,
-            )
-            rows = [(key[0], *step) for step in steps]
-            return pd.DataFrame(rows, columns=["source", "event_id", "at", "step", "from_state", "to_state"])
-
-        entered = self.entries().groupBy("source", "block")
-        return self.calls.groupBy("source", "block").cogroup(entered).applyInPandas(walk, MOVES)
+        def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            def rows():
+                for source, _, c in _chunks(batches):
+                    call = c["call"]
+                    state = (int(c["kind"][0]), int(c["value"][0]))
+                    calls = [c[name][call].tolist() for name in ("at", "ok", "event_id")]
+                    for move in _walk(*calls, state, failures, wait, successes):
+                        yield source, *move
+
+            yield from _frames(rows(), ["source", "event_id", "at", "step", "from_state", "to_state"])
+
+        return self._with_calls(self.entries()).mapInPandas(walk, MOVES)
 
 
 def source_health(calls: DataFrame, **settings) -> DataFrame:

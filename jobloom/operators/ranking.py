@@ -114,12 +114,21 @@ def global_rank(df: DataFrame, score: str, key: str, rank: str = "search_rank")
     )
 
 
-def search_rank(df: DataFrame, keywords: str | Sequence[str], key: str = "id") -> DataFrame:
-    """Score with the weighted formula and rank all rows. A text of keywords is cut at commas."""
+def score_weighted(df: DataFrame, keywords: str | Sequence[str]) -> DataFrame:
+    """Add the weighted relevance. A text of keywords is cut at commas."""
     if isinstance(keywords, str):
         keywords = [k.strip() for k in keywords.lower().split(",")]
     score = relevance_weighted(F.col("title"), F.col("description"), F.col("company"), keywords)
-    return global_rank(df.withColumn("relevance", score), "relevance", key)
+    return df.withColumn("relevance", score)
+
+
+def relevance_order(key: str = "id") -> list[Column]:
+    return [F.desc("relevance"), F.asc(key)]
+
+
+def search_rank(df: DataFrame, keywords: str | Sequence[str], key: str = "id") -> DataFrame:
+    """Score with the weighted formula and rank all rows."""
+    return global_rank(score_weighted(df, keywords), "relevance", key)
 
 
 def search_order(key: str = "id") -> list[Column]:

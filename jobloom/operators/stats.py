@@ -52,20 +52,23 @@ def facet_counts(
 
 
 def cut_metrics(counts: DataFrame, limits: Mapping[str, int | None]) -> DataFrame:
-    """Keep the top counts of each metric that has a limit; metrics not named are dropped."""
-    whole = [m for m, k in limits.items() if k is None]
-    by_limit: dict[int, list[str]] = {}
+    """Keep the top counts of each metric that has a limit, and all counts of the others.
+
+    One window over one set of counts: filtering it metric by metric would let the
+    filters sink below the count and read the input once per metric. A metric without
+    limit gets a group per key, where every row is the first.
+    """
+    most = max([k for k in limits.values() if k is not None], default=1)
+    unlimited = [m for m, k in limits.items() if k is None]
+    group = F.when(F.col("metric").isin(unlimited), F.col("key"))
+    own_limit = F.lit(most)
     for metric, k in limits.items():
-        if k is not None:
-            by_limit.setdefault(k, []).append(metric)
-    parts = [counts.where(F.col("metric").isin(whole)).select("metric", "key", "n")] if whole else []
-    for k, metrics in by_limit.items():
-        some = counts.where(F.col("metric").isin(metrics)).select("metric", "key", "n")
-        parts.append(top_per_group(some, ["metric"], [F.desc("n"), F.asc("key")], k).drop("rank"))
-    result = parts[0]
-    for part in parts[1:]:
-        result = result.unionByName(part)
-    return result
+        if k is not None and k < most:
+            own_limit = F.when(F.col("metric") == metric, k).otherwise(own_limit)
+    cut = top_per_group(
+        counts.withColumn("_group", group), ["metric", "_group"], [F.desc("n"), F.asc("key")], most, "_rank"
+    )
+    return cut.where(F.col("_rank") <= own_limit).drop("_group", "_rank")
 
 
 def posting_stats(df: DataFrame, as_of: Column) -> DataFrame:
@@ -142,6 +145,7 @@ def insights_search(df: DataFrame, k: int = 5) -> DataFrame:
 def insights_hybrid(df: DataFrame, k: int = 5, high: float = 5.0) -> DataFrame:
     """(metric, key, value): origin counts, top companies and locations, score figures."""
     score = F.coalesce(F.col("relevance"), F.lit(0.0))
+    # the score figures are those of the row that counts everything
     counts = facet_counts(
         df.withColumn("relevance", score),
         {
@@ -150,24 +154,22 @@ def insights_hybrid(df: DataFrame, k: int = 5, high: float = 5.0) -> DataFrame:
             "top_companies": _or_unknown("company"),
             "top_locations": F.when(filled(F.col("location")), F.col("location")),
         },
+        average_score=F.avg("relevance"),
+        max_score=F.max("relevance"),
+        highly_relevant_jobs=F.count_if(F.col("relevance") >= high).cast("double"),
     )
     cut = cut_metrics(
         counts,
         {"total_results": None, "source_distribution": None, "top_companies": k, "top_locations": k},
-    ).select("metric", "key", F.col("n").cast("double").alias("value"))
-    scores = df.select(score.alias("s")).agg(
-        F.avg("s").alias("average_score"),
-        F.max("s").alias("max_score"),
-        F.count_if(F.col("s") >= high).cast("double").alias("highly_relevant_jobs"),
-    )
-    names = ["average_score", "max_score", "highly_relevant_jobs"]
-    rows = F.array(
-        *[
-            F.struct(F.lit(name).alias("metric"), F.lit("").alias("key"), F.col(name).alias("value"))
-            for name in names
-        ]
     )
-    return cut.unionByName(scores.select(F.inline(rows)).where(F.col("value").isNotNull()))
+
+    def row(metric: Column, value: str) -> Column:
+        return F.struct(metric.alias("metric"), "key", F.col(value).cast("double").alias("value"))
+
+    figures = ["average_score", "max_score", "highly_relevant_jobs"]
+    one = F.array(row(F.col("metric"), "n"))
+    with_figures = F.concat(one, F.array(*[row(F.lit(name), name) for name in figures]))
+    return cut.select(F.inline(F.when(F.col("metric") == "total_results", with_figures).otherwise(one)))
 
 
 def skills_in(terms: Sequence[str] = V.SKILL_TERMS) -> Column:
@@ -203,26 +205,21 @@ def analyze_postings(df: DataFrame, k: int = 10, keyword_k: int = 15) -> DataFra
         },
         {"top_keywords": keyword_list(df)},
     )
-    # distinct values of a facet are its count rows; this reuses their shuffle
-    distinct_names = F.when(F.col("metric") == "top_companies", "unique_companies").when(
-        F.col("metric") == "top_locations", "unique_locations"
-    )
+    # distinct values of a facet are its count rows. The condition looks at the counts, so
+    # that it is not moved below them and both parts read the same shuffle.
+    names = {"top_companies": "unique_companies", "top_locations": "unique_locations"}
     distinct = (
-        counts.where(F.col("metric").isin("top_companies", "top_locations"))
-        .groupBy(distinct_names.alias("metric"))
-        .agg(F.count(F.lit(1)).alias("n"))
-        .select("metric", F.lit("").alias("key"), "n")
+        counts.groupBy("metric")
+        .agg(F.count(F.lit(1)).alias("distinct"), F.sum("n").alias("rows"))
+        .where(F.when(F.col("metric").isin(list(names)), F.col("rows") > 0).otherwise(F.col("rows") < 0))
+        .replace(names, subset=["metric"])
+        .select("metric", F.lit("").alias("key"), F.col("distinct").alias("n"))
     )
-    return cut_metrics(
+    cut = cut_metrics(
         counts,
-        {
-            "total_jobs": None,
-            "sources": None,
-            "top_companies": k,
-            "top_locations": k,
-            "top_keywords": keyword_k,
-        },
-    ).unionByName(distinct)
+        {"total_jobs": None, "sources": None, "top_companies": k, "top_locations": k, "top_keywords": keyword_k},
+    )
+    return cut.unionByName(distinct)
 
 
 def sample_summary(

@@ -11,7 +11,14 @@ from pyspark.sql import functions as F
 from jobloom.operators.advice import result_advice, strategy_advice
 from jobloom.operators.filters import SearchSpec, filter_spec, match_criteria
 from jobloom.operators.merge import combine_dedup, fallback_union
-from jobloom.operators.ranking import page, rank_combined, search_order, search_rank
+from jobloom.operators.ranking import (
+    page,
+    rank_combined,
+    relevance_order,
+    score_weighted,
+    search_order,
+    search_rank,
+)
 from jobloom.operators.stats import insights_agent, insights_hybrid, insights_search
 
 
@@ -49,8 +56,9 @@ def search_agent(
     if not any(words):
         raise ValueError("keywords are required")
     kept = match_criteria(postings, experience_level, remote_preference)
-    ranked = search_rank(kept, words, key)
-    return SearchResult(ranked, insights_agent(ranked), result_advice(ranked, experience_level))
+    # insights and advice need no rank, so they do not pay for one
+    advice = result_advice(score_weighted(kept, words), relevance_order(key), experience_level)
+    return SearchResult(search_rank(kept, words, key), insights_agent(kept), advice)
 
 
 def search_hybrid(
@@ -63,7 +71,8 @@ def search_hybrid(
     key: str = "id",
 ) -> SearchResult:
     """Stored hits, live rows if the hits are few, one row per posting, best score first."""
-    hits = search_stored(stored, spec, key).rows
+    # at most ``spec.limit`` rows, looked at several times
+    hits = search_stored(stored, spec, key).rows.persist()
     asked = fallback_union(hits, live, threshold, include_live)
     merged = combine_dedup(hits, asked, spec.keywords, as_of, search_order(key))
     rows = rank_combined(merged, spec.limit, key)

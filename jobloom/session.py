@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(cores: str = "*", app: str = "jobloom", **conf: str) -> SparkSession:
@@ -25,6 +25,16 @@ def build_session(cores: str = "*", app: str = "jobloom", **conf: str) -> SparkS
     return builder.getOrCreate()
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Give a small input to all cores.
+
+    A file of one row group is one task however much work follows. An input that has as
+    many partitions as there are cores, as any large one has, is left as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.isStreaming or df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder every executor can reach, as named by ``spark.checkpoint.dir``.
 
