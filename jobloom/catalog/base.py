@@ -208,7 +208,7 @@ def on_calls(select: str, *more: str) -> str:
 
 def offers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A posting per line item. The joins are on unique keys; Spark picks their kind by size."""
-    line = table(spark, sf_dir, "lineitem")
+    line = spread(table(spark, sf_dir, "lineitem"))
     part = table(spark, sf_dir, "part").select("p_partkey", "p_name")
     supplier = table(spark, sf_dir, "supplier").select("s_suppkey", "s_name", "s_nationkey")
     nation = table(spark, sf_dir, "nation")

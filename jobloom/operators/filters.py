@@ -51,11 +51,15 @@ def like_pattern(word: str) -> str:
 def keyword_any(
     keywords: Sequence[str], title: Column, description: Column, keywords_text: Column
 ) -> Column:
-    """One keyword or more in title, description or keywords."""
-    return any_of(
-        field.ilike(like_pattern(word))
-        for word in keywords
-        for field in (title, description, keywords_text)
+    """One keyword or more in title, description or keywords.
+
+    The three texts are bound once, so that keywords that are still to be derived are
+    derived once and not once per searched word.
+    """
+    patterns = [like_pattern(word) for word in keywords]
+    return F.exists(
+        F.array(title, description, keywords_text),
+        lambda text: any_of(text.ilike(pattern) for pattern in patterns),
     )
 
 

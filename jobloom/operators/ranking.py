@@ -86,7 +86,7 @@ def global_rank(df: DataFrame, score: str, key: str, rank: str = "search_rank")
     quantiles of the key. Rows are numbered within their range and shifted by the
     sizes of the ranges before, a table of at most ``2 * RANGES * RANGES`` rows.
     """
-    cuts = [i / RANGES for i in range(1, RANGES)]
+    cuts = F.expr(f"array({', '.join(f'{i / RANGES}D' for i in range(1, RANGES))})")
     quantiles = df.select(F.col(score).alias("_s"), _as_number(df, key).alias("_k")).agg(
         F.struct(
             F.array_sort(F.array_distinct(F.percentile_approx("_s", cuts))).alias("s"),
@@ -98,8 +98,11 @@ def global_rank(df: DataFrame, score: str, key: str, rank: str = "search_rank")
     above = F.size(F.filter("_cut.s", lambda c: c > value))
     on_cut = F.coalesce(F.array_contains("_cut.s", value), F.lit(False))
     part = F.when(on_cut, F.size(F.filter("_cut.k", lambda c: c < number))).otherwise(0)
+    # never NULL, or the join below would test for it and compute the score once per cut
     placed = df.withColumn("_cut", quantiles.scalar()).select(
-        *df.columns, (2 * above + on_cut.cast("int")).alias("_range"), part.alias("_part")
+        *df.columns,
+        F.coalesce(2 * above + on_cut.cast("int"), F.lit(0)).alias("_range"),
+        F.coalesce(part, F.lit(0)).alias("_part"),
     )
     sizes = placed.groupBy("_range", "_part").agg(F.count(F.lit(1)).alias("_n"))
     # the ranges are few: one task adds them up
