@@ -1,0 +1,109 @@
+"""The breaker against a plain walk, for many cuts of time."""
+
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from jobloom.operators.health import CLOSED, OPEN, BreakerScan, source_health
+from jobloom.operators.calls import quota_breaches, quota_table
+
+SECOND = 1_000_000
+
+
+def walk(calls, failures=5, recovery=60, successes=3):
+    """(moves, last states) by walking each source call by call."""
+    moves, states = [], {}
+    for source, event, at, ok in sorted(calls, key=lambda c: (c[0], c[2], c[1])):
+        state, bad, good, last = states.get(source, ("closed", 0, 0, 0))
+        step = 0
+        if state == "open":
+            if at - last < recovery * SECOND:
+                continue
+            step, state, good = 1, "half_open", 0
+            moves.append((source, event, step, "open", "half_open"))
+        before = state
+        if ok:
+            if state == "half_open":
+                good += 1
+                if good >= successes:
+                    state, bad = "closed", 0
+            else:
+                bad = 0
+        else:
+            bad, last = bad + 1, at
+            if state == "half_open" or bad >= failures:
+                state = "open"
+        if state != before:
+            moves.append((source, event, step + 1, before, state))
+        states[source] = (state, bad, good, last)
+    return sorted(moves), states
+
+
+def _calls(seed, n, gap, failing):
+    random.seed(seed)
+    calls, at = [], 1_700_000_000 * SECOND
+    for event in range(n):
+        at += int(random.expovariate(1 / gap) * SECOND) if random.random() < 0.9 else 0
+        down = (event // 40) % 3 == 0
+        calls.append((random.choice("ab"), event, at, random.random() > (failing if down else 0.1)))
+    return calls
+
+
+def _table(spark, calls):
+    df = spark.createDataFrame(calls, "provider string, event_id bigint, at bigint, ok boolean")
+    return df.select("provider", "event_id", F.timestamp_micros("at").alias("called_at"), "ok")
+
+
+def _moves(df):
+    return sorted((r.provider, r.event_id, r.step, r.from_state, r.to_state) for r in df.collect())
+
+
+@pytest.mark.parametrize(
+    "gap, failing, chunk", [(20, 0.9, 60), (5, 1.0, 60), (7, 0.95, 97), (40, 0.7, 3600), (2, 0.99, 120)]
+)
+def test_moves(spark, gap, failing, chunk):
+    calls = _calls(int(gap * 10), 500, gap, failing)
+    expected, _ = walk(calls)
+    assert len(expected) > 10
+    assert _moves(source_health(_table(spark, calls), chunk_seconds=chunk)) == expected
+
+
+def test_scans_go_on_from_states(spark):
+    """Two scans with the states in between give what one gives."""
+    calls = _calls(3, 400, 6, 0.95)
+    expected, last = walk(calls)
+    found, states = [], None
+    for part in (calls[:130], calls[130:250], calls[250:]):
+        scan = BreakerScan(_table(spark, part), states, chunk_seconds=60)
+        found += [(r.source, r.event_id, r.step, r.from_state, r.to_state) for r in scan.moves().collect()]
+        states = scan.last_states().checkpoint()
+    assert sorted(found) == expected
+    kinds = {r.source: ["closed", "half_open", "open"][r.kind] for r in states.collect()}
+    assert kinds == {s: state[0] for s, state in last.items()}
+
+
+def test_late_calls_of_an_open_source_are_rejected(spark):
+    states = spark.createDataFrame([("a", OPEN, 1_000_000 * SECOND)], "source string, kind bigint, value bigint")
+    calls = _table(spark, [("a", 1, 900_000 * SECOND, True), ("a", 2, 1_000_030 * SECOND, True)])
+    scan = BreakerScan(calls, states)
+    assert scan.moves().count() == 0
+    assert scan.last_states().head().asDict() == {"source": "a", "kind": OPEN, "value": 1_000_000 * SECOND}
+
+
+def test_sources_without_calls_keep_their_state(spark):
+    states = spark.createDataFrame([("b", CLOSED, 4)], "source string, kind bigint, value bigint")
+    calls = _table(spark, [("a", 1, 5 * SECOND, False)])
+    last = {r.source: (r.kind, r.value) for r in BreakerScan(calls, states).last_states().collect()}
+    assert last == {"a": (CLOSED, 1), "b": (CLOSED, 4)}
+
+
+def test_short_chunks_are_refused(spark):
+    with pytest.raises(ValueError):
+        BreakerScan(_table(spark, [("a", 1, 0, True)]), chunk_seconds=30)
+
+
+def test_quotas(spark):
+    calls = _table(spark, [("reed", n, (n % 25) * SECOND, True) for n in range(25)])
+    found = quota_breaches(calls, quota_table(spark)).collect()
+    assert [(r.provider, r.period, r.n, r.quota) for r in found] == [("reed", "minute", 25, 20)]
