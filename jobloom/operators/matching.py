@@ -88,22 +88,24 @@ def term_hits(postings: DataFrame, terms: DataFrame, key: str = "key") -> DataFr
     flags = [F.max(F.col("field") == name).alias(f"in_{name}") for name in FIELDS]
     by_word = found.groupBy(key, "term").agg(*flags)
 
-    # a term of several words is checked against the texts of the postings its longest word is in
-    one_word = ~F.col("term").rlike(SPACE)
-    single = by_word.where(one_word).select(
-        key, "term", (F.col("in_title") | F.col("in_description")).alias("in_text"),
-        *[f"in_{name}" for name in FIELDS],
-    )
+    # A term of several words is checked on the texts of the postings its longest word is in;
+    # the other rows of the outer join meet no text. Without such terms no text is read.
+    several = F.col("term").rlike(SPACE)
+    any_several = listed.where(several).limit(1).agg(F.count(F.lit(1))).scalar()
     both = title_and_description(F.col("title"), F.col("description"))
-    texts_by_key = postings.select(
-        key, both.alias("_text"), *[text.alias(f"_{name}") for name, text in texts.items()]
+    whole = postings.where(any_several > 0).select(
+        F.col(key).alias("_key"), both.alias("_text"), *[t.alias(f"_{name}") for name, t in texts.items()]
     )
-    phrases = by_word.where(~one_word).select(key, "term")
-    checked = phrases.join(texts_by_key, key).select(
+    checked = by_word.join(whole, (F.col(key) == F.col("_key")) & several, "left")
+
+    def flag(text: str, by_words: Column) -> Column:
+        return F.when(several, F.col(text).contains(F.col("term"))).otherwise(by_words)
+
+    hits = checked.select(
         key,
         "term",
-        F.col("_text").contains(F.col("term")).alias("in_text"),
-        *[F.col(f"_{name}").contains(F.col("term")).alias(f"in_{name}") for name in FIELDS],
+        flag("_text", F.col("in_title") | F.col("in_description")).alias("in_text"),
+        *[flag(f"_{name}", F.col(f"in_{name}")).alias(f"in_{name}") for name in FIELDS],
     )
     any_empty = listed.where(F.col("term") == "").limit(1).agg(F.count(F.lit(1))).scalar()
     everywhere = postings.where(any_empty > 0).select(
@@ -111,7 +113,7 @@ def term_hits(postings: DataFrame, terms: DataFrame, key: str = "key") -> DataFr
         F.lit("").alias("term"),
         *[F.lit(True).alias(n) for n in ("in_text", *[f"in_{name}" for name in FIELDS])],
     )
-    return single.unionByName(checked).unionByName(everywhere)
+    return hits.unionByName(everywhere)
 
 
 def match_queries(

@@ -28,11 +28,13 @@ def build_session(cores: str = "*", app: str = "jobloom", **conf: str) -> SparkS
 def spread(df: DataFrame) -> DataFrame:
     """Give a small input to all cores.
 
-    A file of one row group is one task however much work follows. An input that has as
-    many partitions as there are cores, as any large one has, is left as it is.
+    A file of one row group is one task however much work follows. An input that already
+    keeps a quarter of the cores busy, as any large one does, is left as it is.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.isStreaming or df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+    if df.isStreaming or 4 * df.rdd.getNumPartitions() > cores:
+        return df
+    return df.repartition(cores)
 
 
 def shared_folder(spark: SparkSession) -> str:
