@@ -270,7 +270,7 @@ def region_share_offers(spark, sf):
         """SELECT provider, count(*) AS total_requests, count_if(ok)::BIGINT AS success_requests,
              count_if(NOT ok)::BIGINT AS failed_requests,
              CAST(sum(CASE WHEN ok THEN n_jobs ELSE 0 END) AS BIGINT) AS total_jobs,
-             round(avg(latency_ms), 6) AS average_latency_ms, max(called_at) AS last_used
+             round(CAST(sum(CAST(latency_ms AS DECIMAL(20, 6))) AS DOUBLE) / count(*), 6) AS average_latency_ms, max(called_at) AS last_used
            FROM calls GROUP BY provider"""
     ),
 )

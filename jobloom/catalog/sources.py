@@ -326,7 +326,11 @@ def feed_atom(spark, sf):
 
 
 _ORIGIN = "regexp_extract(url, '^([a-z]+://[^/?#]+)', 1)"
-_UNESCAPED = "replace(replace(replace(replace({0}, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&amp;', '&')"
+# the end mark of an entity may be missing where a text was cut
+_UNESCAPED = (
+    "regexp_replace(regexp_replace(regexp_replace(regexp_replace({0}, '&lt;?', '<', 'g'), "
+    "'&gt;?', '>', 'g'), '&quot;?', '\"', 'g'), '&amp;?', '&', 'g')"
+)
 
 
 @query(

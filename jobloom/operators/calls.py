@@ -14,13 +14,17 @@ from jobloom.functions import values as V
 
 
 def call_aggregates() -> list[Column]:
-    """Aggregates of call statistics, the same for batch and stream."""
+    """Aggregates of call statistics, the same for batch and stream.
+
+    Latencies are summed as whole nanoseconds, so the mean does not depend on the order.
+    """
+    exact = F.col("latency_ms").cast("decimal(20,6)")
     return [
         F.count(F.lit(1)).alias("total_requests"),
         F.count_if(F.col("ok")).alias("success_requests"),
         F.count_if(~F.col("ok")).alias("failed_requests"),
         F.sum(F.when(F.col("ok"), F.col("n_jobs")).otherwise(0)).alias("total_jobs"),
-        F.avg("latency_ms").alias("average_latency_ms"),
+        F.avg(exact).cast("double").alias("average_latency_ms"),
         F.max("called_at").alias("last_used"),
     ]
 
