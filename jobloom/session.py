@@ -9,6 +9,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+# An input of fewer splits than this (of 128 MB at most) is small enough to be shuffled.
+FEW_SPLITS = 64
+
+
 def build_session(cores: str = "*", app: str = "jobloom", **conf: str) -> SparkSession:
     """A local session; on a cluster use the session the cluster gives."""
     builder = (
@@ -28,11 +32,11 @@ def build_session(cores: str = "*", app: str = "jobloom", **conf: str) -> SparkS
 def spread(df: DataFrame) -> DataFrame:
     """Give a small input to all cores.
 
-    A file of one row group is one task however much work follows. An input that already
-    keeps a quarter of the cores busy, as any large one does, is left as it is.
+    A file of one row group is one task however much work follows, though it may count as
+    several splits. An input with as many splits as cores, or with many at all, is left as it is.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.isStreaming or 4 * df.rdd.getNumPartitions() > cores:
+    if df.isStreaming or df.rdd.getNumPartitions() >= min(cores, FEW_SPLITS):
         return df
     return df.repartition(cores)
 
