@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 #: Merged pre-tokens that a worker keeps.
-CACHE = 400_000
+CACHE = 300_000
 #: Characters whose pre-tokens are found at once.
 SCAN = 1 << 20
 #: Bytes of a pre-token up to which it is merged beside others.
