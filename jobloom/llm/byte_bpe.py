@@ -18,7 +18,7 @@ import functools
 import hashlib
 import heapq
 import unicodedata
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 from itertools import chain, pairwise
 
 import numpy as np
@@ -184,7 +184,7 @@ class ByteBpe(dict):
             whole = self.ranks.get(piece)
             if whole is not None:
                 self[token] = ((whole,), str(whole))
-            elif len(piece) <= SIDE_BY_SIDE:
+            elif len(piece) <= SIDE_BY_SIDE and len(pieces) > 64:
                 short.append((token, piece))
             else:
                 long.append((token, piece))
@@ -286,15 +286,25 @@ class ByteBpe(dict):
                 cuts = starts.tolist()
                 cuts.append(len(text))
                 found.append([text[a:b] for a, b in pairwise(cuts)])
-            new = set(chain.from_iterable(found)).difference(self)
-            if len(self) + len(new) > CACHE:
-                self.clear()
-                new = set(chain.from_iterable(found))
-            self._learn(new)
+            self.ready(chain.from_iterable(found))
             for tokens in found:
                 yield [self[t] for t in tokens]
             begin, size = end, 0
 
+    def ready(self, tokens: Iterable[str]) -> None:
+        """Have pre-tokens in the cache."""
+        tokens = set(tokens)
+        new = {t for t in tokens if t not in self}
+        if len(self) + len(new) > CACHE:
+            self.clear()
+            new = tokens
+        self._learn(new)
+
+    def sizes_of(self, tokens: Sequence[str]) -> list[int]:
+        """The number of ids of each pre-token."""
+        self.ready(tokens)
+        return [len(self[t][0]) for t in tokens]
+
     def ids(self, texts: Sequence[str]) -> list[np.ndarray]:
         return [np.fromiter(chain.from_iterable([t[0] for t in found]), dtype=np.int32) for found in self.tokens(texts)]
 

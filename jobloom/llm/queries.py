@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from jobloom.llm import byte_bpe, decontamination, jaccard_forest, quality_rules, suffix_dedup
+from jobloom.llm import (
+    byte_bpe, decontamination, html_mincut, jaccard_forest, license_scan, lm_backoff, quality_rules, sharding,
+    suffix_dedup, token_counts,
+)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,14 +32,50 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(_table(spark, sf_dir, "documents"))
+
+
+def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.balanced_shards(_table(spark, sf_dir, "documents"))
+
+
 def op5_jaccard_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_forest.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op6_html_mincut(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_mincut.extract(_table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
+def edits_of(docs: DataFrame) -> DataFrame:
+    """An edit log: per document an insertion, a deletion and a replacement, placed by a hash of the id."""
+    size = F.char_length(F.coalesce("text", F.lit("")))
+
+    def drawn(salt: str, below) -> Column:
+        return F.pmod(F.xxhash64("doc_id", F.lit(salt)), F.greatest(F.lit(1), below)).cast("bigint")
+
+    def edit(salt: str, width: int, words: int):
+        start = drawn(salt, size + 1)
+        new = F.substr("text", (drawn(salt + "f", size) + 1).cast("int"), drawn(salt + "n", F.lit(words)).cast("int"))
+        return F.struct(start.alias("start"), (start + drawn(salt + "w", F.lit(width))).alias("stop"), new.alias("text"))
+
+    return docs.select("doc_id", "text", F.array(edit("insert", 1, 60), edit("delete", 200, 1), edit("replace", 30, 30)).alias("edits"))
+
+
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    return token_counts.recount(edits_of(_table(spark, sf_dir, "documents")), path)
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contained(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op9_lm_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_backoff.backoff_scores(_table(spark, sf_dir, "documents"))
+
+
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.round_trip(
         _table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -45,7 +84,10 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_suffix_dedup, op2_quality_rules, op5_jaccard_forest, op8_decontamination, op10_byte_bpe)
+    for f in (
+        op1_suffix_dedup, op2_quality_rules, op3_license_scan, op4_sharding, op5_jaccard_forest, op6_html_mincut,
+        op7_token_counts, op8_decontamination, op9_lm_backoff, op10_byte_bpe,
+    )
 }
 
 _WORDS = r"list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '')"
