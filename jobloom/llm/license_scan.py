@@ -83,6 +83,7 @@ FORMS = (
     (3, 0.9, "(?:under|by)(?: the)? terms of(?: the)? {name}" + _TAIL),
     (3, 0.85, "licen[sc]e {name}" + _TAIL),
     (2, 0.8, "{name} licen[sc]e(?: version(?: [0-9]+)+)?"),
+    (2, 0.8, "{name}(?: licen[sc]e)? or(?: any)? later"),
     (1, 0.5, "subject to(?: the)? {name}" + _TAIL),
 )
 PRIORITIES = sorted({priority for priority, _, _ in FORMS})
@@ -99,7 +100,6 @@ def rules() -> list[tuple[int, str, str, int, float, str]]:
     made = []
     for priority, strength, wording in FORMS:
         for label, keyword, name in NAMES:
-            # A name that holds its own "license" needs no second one.
             made.append((len(made), label, keyword, priority, strength, " " + wording.format(name=f"(?:{name})") + "(?= )"))
     return made
 
