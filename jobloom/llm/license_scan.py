@@ -112,7 +112,10 @@ def _hinted(rows: DataFrame) -> DataFrame:
     """Texts with a hint, as words."""
     lowered = F.translate(F.col("text"), _UPPER, _LOWER)
     words = F.filter(F.split(lowered, _NO_WORD), lambda w: w != "")
-    return rows.where(F.col("text").rlike(HINT)).select("id", "digest", words.alias("words"))
+    # Never null, but it keeps filters on what is derived from the words above this projection;
+    # pushed below it, they would split the text again for every word.
+    once = F.when(F.monotonically_increasing_id() >= 0, words)
+    return rows.where(F.col("text").rlike(HINT)).select("id", "digest", once.alias("words"))
 
 
 def _base(hinted: DataFrame) -> DataFrame:
