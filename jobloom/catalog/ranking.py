@@ -31,6 +31,23 @@ def cap_per_source(spark, sf):
     )
 
 
+@query(
+    "cap_per_board",
+    on_postings(
+        """SELECT key, source FROM (SELECT key, source, row_number() OVER (PARTITION BY source
+             ORDER BY scraped_at DESC, key) AS n FROM postings) LEFT JOIN boards ON source = name
+           WHERE coalesce(max_results, 7) <= 0 OR n <= coalesce(max_results, 7)""",
+        "boards AS (SELECT * FROM (VALUES ('src0', 3), ('src1', 0), ('src2', 12)) AS b(name, max_results))",
+    ),
+)
+def cap_per_board(spark, sf):
+    """Boards with a cap of their own, one without a limit, and the default for the rest."""
+    boards = spark.createDataFrame([("src0", 3), ("src1", 0), ("src2", 12)], "name string, max_results bigint")
+    order = [F.desc("scraped_at"), F.asc("key")]
+    rows = postings(spark, sf).select("key", "source", "scraped_at")
+    return K.cap_per_source(rows, order, 7, salt_on="key", caps=boards).select("key", "source")
+
+
 _WEIGHTED = f"{sql_fields((3.0, 1.0, 0.5), ['python', 'data science', 'an'])} / 3"
 
 
@@ -51,18 +68,14 @@ def search_rank(spark, sf):
     on_postings(
         """SELECT key, scraped_at, relevance, row_number() OVER (ORDER BY scraped_at DESC NULLS FIRST,
              relevance DESC NULLS FIRST, key) AS place FROM (
-             SELECT key, CASE WHEN key % 9 > 0 THEN scraped_at END AS scraped_at, relevance FROM postings)
-           QUALIFY place <= 100"""
+             SELECT key, CASE WHEN key % 9 > 0 THEN scraped_at END AS scraped_at, relevance FROM postings)"""
     ),
 )
 def order_search(spark, sf):
     rows = full_postings(spark, sf).select(
         "key", F.when(F.col("key") % 9 > 0, F.col("scraped_at")).alias("scraped_at"), "relevance"
     )
-    # the place is numbered over the hundred rows the sort keeps
-    first = K.order_search(rows, "key").limit(100)
-    place = F.row_number().over(K.Window.orderBy(*K.search_order("key")))
-    return first.withColumn("place", place.cast("bigint"))
+    return K.place_search(rows, "key")
 
 
 @query(

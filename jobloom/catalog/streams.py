@@ -1,4 +1,4 @@
-"""Streams, run over all the given data at once, and the breaker."""
+"""Streams, run over all the given data at once, and the alerts on sources."""
 
 from __future__ import annotations
 
@@ -6,9 +6,7 @@ from pyspark.sql import functions as F
 
 from jobloom.catalog.base import calls_from, on_calls, on_postings, postings_from, query, table
 from jobloom.catalog.reports import SMALL_QUOTAS, quotas_sql
-from jobloom.operators.calls import WINDOWS, quota_table
-from jobloom.operators.health import source_health
-from jobloom.session import new_path
+from jobloom.operators.calls import WINDOWS, quota_table, source_alerts
 from jobloom.streaming import streams as X
 
 
@@ -40,12 +38,11 @@ def dedup(spark, sf):
     "stream_daily_counts",
     on_postings(
         """SELECT strftime(day, '%Y-%m-%d') AS day, n FROM (
-             SELECT date_trunc('day', scraped_at) AS day, count(*) AS n FROM postings GROUP BY 1)
-           WHERE day + INTERVAL 1 DAY <= (SELECT max(scraped_at) FROM postings) - INTERVAL 1 DAY"""
+             SELECT date_trunc('day', scraped_at) AS day, count(*) AS n FROM postings GROUP BY 1)"""
     ),
 )
 def daily(spark, sf):
-    found = X.run_available(X.stream_daily_counts(_postings(spark, sf)), "daily")
+    found = X.run_updates(X.stream_daily_counts(_postings(spark, sf)), "daily", ["day"])
     return found.withColumn("day", F.col("day").cast("string"))
 
 
@@ -55,11 +52,11 @@ def daily(spark, sf):
         """SELECT as_of, count(*) AS n FROM (
              SELECT date_trunc('hour', scraped_at) + to_hours(CAST(unnest(range(1, 25)) AS INTEGER)) AS as_of
              FROM postings)
-           WHERE as_of <= (SELECT max(scraped_at) FROM postings) - INTERVAL 1 HOUR GROUP BY as_of"""
+           GROUP BY as_of"""
     ),
 )
 def recent(spark, sf):
-    return _plain(X.run_available(X.stream_recent(_postings(spark, sf)), "recent"), "as_of")
+    return _plain(X.run_updates(X.stream_recent(_postings(spark, sf)), "recent", ["as_of"]), "as_of")
 
 
 @query(
@@ -71,12 +68,11 @@ def recent(spark, sf):
                count_if(ok)::BIGINT AS success_requests, count_if(NOT ok)::BIGINT AS failed_requests,
                CAST(sum(CASE WHEN ok THEN n_jobs ELSE 0 END) AS BIGINT) AS total_jobs,
                round(CAST(sum(CAST(latency_ms AS DECIMAL(20, 6))) AS DOUBLE) / count(*), 6) AS average_latency_ms, max(called_at) AS last_used
-             FROM calls GROUP BY ALL)
-           WHERE window_start + INTERVAL 1 HOUR <= (SELECT max(called_at) FROM calls) - INTERVAL 10 MINUTE"""
+             FROM calls GROUP BY ALL)"""
     ),
 )
 def call_stats(spark, sf):
-    found = X.run_available(X.stream_call_stats(_calls(spark, sf)), "call-stats")
+    found = X.run_updates(X.stream_call_stats(_calls(spark, sf)), "call-stats", ["window_start", "provider"])
     found = found.withColumn("average_latency_ms", F.round("average_latency_ms", 6))
     return _plain(found, "window_start", "last_used")
 
@@ -91,15 +87,16 @@ def call_stats(spark, sf):
                FROM calls GROUP BY ALL
              UNION ALL SELECT provider, 'day', CAST(date_trunc('day', called_at) AS TIMESTAMP), INTERVAL 1 DAY,
                count(*) FROM calls GROUP BY ALL) JOIN quotas USING (provider, period)
-           WHERE n > quota
-             AND window_start + size <= (SELECT max(called_at) FROM calls) - INTERVAL 10 MINUTE""",
+           WHERE n > quota""",
         quotas_sql(),
     ),
 )
 def breaches(spark, sf):
     quotas = quota_table(spark, SMALL_QUOTAS)
     parts = [
-        X.run_available(X.stream_quota_breaches(_calls(spark, sf), quotas, period), f"quota-{period}")
+        X.run_updates(
+            X.stream_quota_breaches(_calls(spark, sf), quotas, period), f"quota-{period}", ["provider", "window_start"]
+        )
         for period in WINDOWS
     ]
     found = parts[0]
@@ -108,65 +105,30 @@ def breaches(spark, sf):
     return _plain(found, "window_start")
 
 
-# More calls fail than in the call log, and the wait is longer, so that states change often.
-BREAKER = {"recovery_seconds": 5400, "chunk_seconds": 6 * 3600}
-
-
-def _walk_sql() -> str:
-    return """WITH RECURSIVE ordered AS (
-        SELECT provider, event_id, called_at, ok,
-          row_number() OVER (PARTITION BY provider ORDER BY called_at, event_id) AS rn
-        FROM (SELECT 'p' || CAST(user_id % 5 AS VARCHAR) AS provider, event_id, ts AS called_at,
-          event_type IN ('purchase', 'signup') AS ok FROM events)),
-      walk AS (
-        SELECT provider, CAST(0 AS BIGINT) AS rn, CAST(NULL AS BIGINT) AS event_id,
-          CAST(NULL AS TIMESTAMP) AS called_at, 'closed' AS held, 'closed' AS tried, 'closed' AS state,
-          0 AS bad, 0 AS good, CAST(NULL AS TIMESTAMP) AS failed_at
-        FROM (SELECT DISTINCT provider FROM ordered)
-        UNION ALL
-        SELECT provider, rn, event_id, called_at, held, tried,
-          CASE WHEN tried = 'open' THEN 'open'
-            WHEN tried = 'half_open' AND NOT ok THEN 'open'
-            WHEN tried = 'half_open' AND good + 1 >= 3 THEN 'closed'
-            WHEN tried = 'closed' AND NOT ok AND bad + 1 >= 5 THEN 'open' ELSE tried END,
-          CASE WHEN tried = 'open' THEN bad WHEN tried = 'closed' AND NOT ok THEN bad + 1
-            WHEN tried = 'half_open' AND NOT ok THEN bad ELSE 0 END,
-          CASE WHEN tried = 'half_open' AND ok THEN good + 1 ELSE 0 END,
-          CASE WHEN tried <> 'open' AND NOT ok THEN called_at ELSE failed_at END
-        FROM (SELECT o.provider, o.rn, o.event_id, o.called_at, o.ok, w.state AS held, w.bad, w.failed_at,
-            CASE WHEN w.state = 'open' AND o.called_at >= w.failed_at + INTERVAL 5400 SECOND
-              THEN 'half_open' ELSE w.state END AS tried,
-            CASE WHEN w.state = 'open' THEN 0 ELSE w.good END AS good
-          FROM walk w JOIN ordered o ON o.provider = w.provider AND o.rn = w.rn + 1))
-      SELECT provider, event_id, called_at, CAST(1 AS BIGINT) AS step, held AS from_state, tried AS to_state
-        FROM walk WHERE held <> tried
-      UNION ALL SELECT provider, event_id, called_at, CASE WHEN held <> tried THEN 2 ELSE 1 END, tried, state
-        FROM walk WHERE tried <> state"""
-
-
-def _troubled(rows):
-    """Only purchases and signups went well."""
-    return rows.withColumn("ok", F.col("event_type").isin("purchase", "signup")).select(
-        "event_id",
-        F.concat(F.lit("p"), (F.col("user_id") % 5).cast("string")).alias("provider"),
-        F.col("ts").cast("timestamp").alias("called_at"),
-        "ok",
+ALERTS_SQL = """SELECT provider, window_start, n, round(bad / n, 9) AS failure_rate, round(p95, 6) AS p95_latency_ms,
+    bad / n > 0.25 AS failing, p95 > 90 AS slow FROM (
+      SELECT provider, date_trunc('hour', called_at) AS window_start, count(*) AS n, count_if(NOT ok) AS bad,
+        quantile_cont(latency_ms, 0.95) AS p95 FROM calls GROUP BY ALL)"""
+
+
+def _alerts(found):
+    rounded = found.withColumn("failure_rate", F.round("failure_rate", 9)).withColumn(
+        "p95_latency_ms", F.round("p95_latency_ms", 6)
     )
+    return _plain(rounded, "window_start")
+
+
+LIMITS = {"max_failure_rate": 0.25, "max_latency_ms": 90.0}
 
 
-@query("source_health", _walk_sql())
-def health(spark, sf):
-    return _plain(source_health(_troubled(table(spark, sf, "events")), **BREAKER), "called_at")
+@query("source_alerts", on_calls(ALERTS_SQL))
+def alerts(spark, sf):
+    calls = calls_from(table(spark, sf, "events"))
+    calls = calls.withColumn("called_at", F.col("called_at").cast("timestamp"))
+    return _alerts(source_alerts(calls, **LIMITS))
 
 
-@query("stream_source_health", _walk_sql())
-def health_stream(spark, sf):
-    """The events arrive in four parts, in the order of time, one part per micro-batch."""
-    events = table(spark, sf, "events")
-    path = new_path(spark, "arriving")
-    days = F.date_diff("ts", F.lit("2024-01-01"))
-    for part in range(4):
-        within = F.least(F.floor(days / 8), F.lit(3)) == part
-        events.where(within).coalesce(1).write.mode("append").parquet(path)
-    arriving = X.read_stream(spark, path, events, max_files=1)
-    return _plain(X.run_health(_troubled(arriving), **BREAKER), "called_at")
+@query("stream_source_alerts", on_calls(ALERTS_SQL))
+def alerts_stream(spark, sf):
+    found = X.stream_source_alerts(_calls(spark, sf), **LIMITS)
+    return _alerts(X.run_updates(found, "alerts", ["provider", "window_start"]))

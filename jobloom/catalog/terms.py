@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from jobloom.catalog.base import (
@@ -83,9 +82,7 @@ def process_query(spark, sf):
     "query_variations",
     on_queries(
         """SELECT query_id, 'query' AS variation, array_to_string(keywords, '|') AS keywords FROM processed
-           UNION ALL SELECT query_id, 'single', w FROM placed WHERE n > 1
-           UNION ALL SELECT a.query_id, 'pair', a.w || '|' || b.w FROM placed a JOIN placed b
-             ON a.query_id = b.query_id AND a.pos < b.pos""",
+           UNION ALL SELECT query_id, 'single', w FROM placed WHERE n > 1""",
         """placed AS (SELECT query_id, unnest(keywords) AS w, unnest(range(len(keywords))) AS pos,
              len(keywords) AS n FROM processed)""",
     ),
@@ -174,14 +171,16 @@ def search_each(spark, sf):
 
 
 BOARDS = [
-    Row(name="alpha", method="scraping", base_url="https://alpha.example", search_path="/find",
-        search_params={"q": "{keywords}", "at": "{location}", "kind": "full"}, max_results=75),
-    Row(name="Indeed-beta", method="scraping", base_url="https://beta.example", search_path="/",
-        search_params={}, max_results=20),
-    Row(name="gamma", method="rss", base_url=None, search_path=None, search_params=None, max_results=30),
-    Row(name="delta", method="scraping", base_url="https://Careers.delta.example", search_path=None,
-        search_params={"s": "x {keywords} y"}, max_results=0),
+    ("alpha", "scraping", "https://alpha.example", "/find",
+     {"q": "{keywords}", "at": "{location}", "kind": "full"}, 75),
+    ("Indeed-beta", "scraping", "https://beta.example", "/", {}, 20),
+    ("gamma", "rss", None, None, None, 30),
+    ("delta", "scraping", "https://Careers.delta.example", None, {"s": "x {keywords} y"}, 0),
 ]
+BOARD_FIELDS = (
+    "name string, method string, base_url string, search_path string, search_params map<string,string>, "
+    "max_results bigint"
+)
 
 
 @query(
@@ -189,14 +188,18 @@ BOARDS = [
     on_queries(
         """SELECT query_id, 'alpha' AS board, 'scraping' AS method, 'https://alpha.example/find?at='
              || coalesce(location, '') || '&kind=full&q=' || w AS url, CAST(75 AS BIGINT) AS cap,
-             false AS requires_js FROM words
-           UNION ALL SELECT query_id, 'Indeed-beta', 'scraping', 'https://beta.example/', 20, true FROM words
-           UNION ALL SELECT query_id, 'gamma', 'rss', NULL, 30, false FROM words
+             false AS requires_js FROM words WHERE query_id % 4 = 0
+           UNION ALL SELECT query_id, 'Indeed-beta', 'scraping', 'https://beta.example/', 20, true
+             FROM words WHERE query_id % 4 = 1
+           UNION ALL SELECT query_id, 'gamma', 'rss', NULL, 30, false FROM words WHERE query_id % 4 = 2
            UNION ALL SELECT query_id, 'delta', 'scraping', 'https://Careers.delta.example?s=x ' || w || ' y', 0,
-             true FROM words""",
+             true FROM words WHERE query_id % 4 = 3""",
         """words AS (SELECT query_id, location, array_to_string(keywords, ' ') AS w
              FROM processed JOIN queries USING (query_id))""",
     ),
 )
 def frontier(spark, sf):
-    return crawl_frontier(_processed(spark, sf), BOARDS)
+    """Each query names one board."""
+    names = F.array(*[F.lit(b[0]) for b in BOARDS])
+    requests = _processed(spark, sf).withColumn("board", F.get(names, (F.col("query_id") % 4).cast("int")))
+    return crawl_frontier(requests, spark.createDataFrame(BOARDS, BOARD_FIELDS))

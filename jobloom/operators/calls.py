@@ -110,3 +110,26 @@ def over_quota(counts: DataFrame, quotas: DataFrame) -> DataFrame:
 
 def quota_breaches(calls: DataFrame, quotas: DataFrame) -> DataFrame:
     return over_quota(calls_per_period(calls), quotas)
+
+
+# A source is reported from this share of failed calls and this response time on.
+MAX_FAILURE_RATE, MAX_LATENCY_MS = 0.2, 5000.0
+
+
+def alert_aggregates(max_failure_rate: float = MAX_FAILURE_RATE, max_latency_ms: float = MAX_LATENCY_MS) -> list[Column]:
+    """Share of failed calls, the 95th percentile of the latency, and whether either is too high."""
+    rate = F.count_if(~F.col("ok")) / F.count(F.lit(1))
+    slow = F.percentile("latency_ms", 0.95)
+    return [
+        F.count(F.lit(1)).alias("n"),
+        rate.alias("failure_rate"),
+        slow.alias("p95_latency_ms"),
+        (rate > max_failure_rate).alias("failing"),
+        (slow > max_latency_ms).alias("slow"),
+    ]
+
+
+def source_alerts(calls: DataFrame, size: str = "1 hour", **limits: float) -> DataFrame:
+    """(provider, window_start, n, failure_rate, p95_latency_ms, failing, slow)."""
+    grouped = calls.groupBy("provider", F.window("called_at", size)).agg(*alert_aggregates(**limits))
+    return grouped.select("provider", F.col("window.start").alias("window_start"), *grouped.columns[2:])

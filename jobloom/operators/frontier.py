@@ -1,65 +1,40 @@
-"""The crawl frontier: every board of the configuration for every query."""
+"""The crawl frontier: where a query is sent on the board it names."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Row
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from jobloom.functions.facets import requires_js, search_url
 
-# A configuration file lists boards by hand; more than this is not a configuration.
-MAX_BOARDS = 10_000
-
-
-def board_rows(boards: DataFrame) -> list[Row]:
-    """The boards of a configuration as rows on the driver, refused beyond the bound."""
-    rows = boards.limit(MAX_BOARDS + 1).collect()
-    if len(rows) > MAX_BOARDS:
-        raise ValueError(f"more than {MAX_BOARDS} boards in the configuration")
-    return rows
-
-
-def _board(row: Row) -> Column:
-    params = [part for k, v in sorted((row.search_params or {}).items()) for part in (F.lit(k), F.lit(v))]
-    table = F.create_map(*params) if params else F.create_map()
-    return F.struct(
-        F.lit(row.name).alias("board"),
-        F.lit(row.method).alias("method"),
-        F.lit(row.base_url).cast("string").alias("base_url"),
-        F.lit(row.search_path).cast("string").alias("search_path"),
-        table.cast("map<string,string>").alias("params"),
-        F.lit(row.max_results).cast("bigint").alias("cap"),
-    )
-
 
 def crawl_frontier(
-    queries: DataFrame,
-    boards: Sequence[Row],
+    requests: DataFrame,
+    boards: DataFrame,
+    board: str = "board",
     keywords: str = "keywords",
     location: str = "location",
     keep: Sequence[str] = ("query_id",),
 ) -> DataFrame:
-    """One row per query and board: address, method, cap, and whether a browser is needed.
+    """For each (query, board) row its address, method, cap, and whether a browser is needed.
 
-    The boards are a literal list that each query row is spread over, so queries are
-    neither shuffled nor joined.
+    An equi-join on the board's name; a request for an unknown board has no address.
     """
-    spread = queries.select(
-        *keep,
-        F.array_join(keywords, " ").alias("_keywords"),
-        F.col(location).alias("_location"),
-        F.explode(F.array(*[_board(b) for b in boards])).alias("b"),
+    named = boards.select(
+        F.col("name").alias("_name"), "method", "base_url", "search_path", "search_params", "max_results"
     )
+    joined = requests.join(named, F.col(board) == F.col("_name"), "left")
+    params = F.coalesce("search_params", F.create_map().cast("map<string,string>"))
     address = search_url(
-        F.col("b.base_url"), F.col("b.search_path"), F.col("b.params"), F.col("_keywords"), F.col("_location")
+        F.col("base_url"), F.col("search_path"), params, F.array_join(keywords, " "), F.col(location)
     )
-    return spread.select(
+    return joined.select(
         *keep,
-        "b.board",
-        "b.method",
-        F.when(F.col("b.method") == "scraping", address).alias("url"),
-        "b.cap",
-        requires_js(F.col("b.board"), F.col("b.base_url")).alias("requires_js"),
+        F.col(board).alias("board"),
+        "method",
+        F.when(F.col("method") == "scraping", address).alias("url"),
+        F.col("max_results").cast("bigint").alias("cap"),
+        requires_js(F.col(board), F.col("base_url")).alias("requires_js"),
     )

@@ -107,13 +107,18 @@ def term_hits(postings: DataFrame, terms: DataFrame, key: str = "key") -> DataFr
         flag("_text", F.col("in_title") | F.col("in_description")).alias("in_text"),
         *[flag(f"_{name}", F.col(f"in_{name}")).alias(f"in_{name}") for name in FIELDS],
     )
-    any_empty = listed.where(F.col("term") == "").limit(1).agg(F.count(F.lit(1))).scalar()
-    everywhere = postings.where(any_empty > 0).select(
+    # Terms of white space alone have no word to look up; each posting tests the few there are.
+    blanks = listed.where(~F.col("term").rlike(r"[^ \t\n\r]")).agg(F.collect_set("term")).scalar()
+    blank = postings.select(
+        F.col(key), both.alias("_text"), *[t.alias(f"_{name}") for name, t in texts.items()], F.explode(blanks).alias("term")
+    ).select(
         key,
-        F.lit("").alias("term"),
-        *[F.lit(True).alias(n) for n in ("in_text", *[f"in_{name}" for name in FIELDS])],
+        "term",
+        F.col("_text").contains(F.col("term")).alias("in_text"),
+        *[F.col(f"_{name}").contains(F.col("term")).alias(f"in_{name}") for name in FIELDS],
     )
-    return hits.unionByName(everywhere)
+    anywhere = F.col("in_text") | F.col("in_title") | F.col("in_description") | F.col("in_company") | F.col("in_keywords")
+    return hits.unionByName(blank.where(anywhere))
 
 
 def match_queries(

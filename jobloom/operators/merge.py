@@ -13,8 +13,6 @@ from jobloom.functions.text import combined_key, text_of
 from jobloom.operators.ranking import first_per_key
 from jobloom.schema import POSTING_COLUMNS
 
-SALTS = 16
-
 
 def union_sources(*frames: DataFrame) -> DataFrame:
     """All rows of all sources; nothing is deduplicated."""
@@ -82,12 +80,10 @@ def is_duplicate(left: str, right: str) -> Column:
 
 def _links(rows: DataFrame, key: str, group: Sequence[str], reason: str) -> DataFrame:
     first = rows.groupBy(*group).agg(F.min(key).alias("first_key"), F.count(F.lit(1)).alias("_n"))
-    # only groups of two or more are looked up; salts spread the rows of a hot group
-    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt")
-    groups = first.where(F.col("_n") > 1).select(*group, "first_key", salts)
-    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(key), F.lit(SALTS)).cast("int"))
+    # only groups of two or more are looked up; adaptive execution splits a hot one
+    groups = first.where(F.col("_n") > 1).select(*group, "first_key")
     return (
-        salted.join(groups, [*group, "_salt"])
+        rows.join(groups, list(group))
         .where(F.col(key) != F.col("first_key"))
         .select(F.col(key).alias("key"), "first_key", F.lit(reason).alias("reason"))
     )

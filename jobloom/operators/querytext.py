@@ -73,19 +73,15 @@ def process_query(
 
 
 def query_variations(queries: DataFrame, query_id: str = "query_id") -> DataFrame:
-    """(query_id, variation, keywords): the query, each single term, each pair of terms.
+    """(query_id, variation, keywords): the query and each single term of it.
 
-    Rows are made one first term at a time, so no array of pairs is ever built.
+    Pairs of terms are left out: they grow with the square of a query's terms, and any pair can
+    be asked as a query of its own.
     """
     terms = F.col("keywords")
     whole = queries.select(query_id, F.lit("query").alias("variation"), terms.alias("keywords"))
     several = queries.where(F.size("keywords") > 1)
-    firsts = several.select(query_id, terms.alias("_all"), F.posexplode("keywords").alias("_pos", "_first"))
-    singles = firsts.select(
-        query_id, F.lit("single").alias("variation"), F.array("_first").alias("keywords")
+    singles = several.select(query_id, F.explode("keywords").alias("_term")).select(
+        query_id, F.lit("single").alias("variation"), F.array("_term").alias("keywords")
     )
-    rest = F.slice("_all", F.col("_pos") + 2, F.size("_all"))
-    pairs = firsts.select(query_id, "_first", F.explode(rest).alias("_second")).select(
-        query_id, F.lit("pair").alias("variation"), F.array("_first", "_second").alias("keywords")
-    )
-    return whole.unionByName(singles).unionByName(pairs)
+    return whole.unionByName(singles)

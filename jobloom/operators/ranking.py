@@ -6,15 +6,13 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from jobloom.functions.relevance import relevance_weighted
+from jobloom.session import shared_folder
 
 # Above this many rows per group Spark no longer cuts a group before the shuffle.
 PRUNED_BY_SPARK = 1000
 SALTS = 64
-# Value ranges a global rank is cut into.
-RANGES = 128
 
 
 def top_per_group(
@@ -58,11 +56,27 @@ def cap_per_source(
     cap: int,
     source: str = "source",
     salt_on: str | None = None,
+    caps: DataFrame | None = None,
 ) -> DataFrame:
-    """The first ``cap`` rows of each source; 0 or less leaves them all."""
-    if cap <= 0:
-        return df
-    return top_per_group(df, [source], order, cap, rank="_rank", salt_on=salt_on).drop("_rank")
+    """The first ``cap`` rows of each source; 0 or less leaves them all.
+
+    ``caps`` (name, max_results) gives the caps of some sources; the others have ``cap``.
+    """
+    if caps is None:
+        if cap <= 0:
+            return df
+        return top_per_group(df, [source], order, cap, rank="_rank", salt_on=salt_on).drop("_rank")
+    own = caps.select(F.col("name").alias("_name"), F.col("max_results").alias("_cap"))
+    rows = df.join(own, F.col(source) == F.col("_name"), "left").withColumn(
+        "_cap", F.coalesce("_cap", F.lit(cap))
+    )
+    keep = (F.col("_cap") <= 0) | (F.col("_rank") <= F.col("_cap"))
+    groups = [[source, "_salt"], [source]] if salt_on is not None else [[source]]
+    if salt_on is not None:
+        rows = rows.withColumn("_salt", F.pmod(F.xxhash64(salt_on), F.lit(SALTS)))
+    for keys in groups:
+        rows = rows.withColumn("_rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(keep)
+    return rows.select(df.columns)
 
 
 def top_k(counts: DataFrame, k: int, n: str = "n", key: str = "key") -> DataFrame:
@@ -70,53 +84,35 @@ def top_k(counts: DataFrame, k: int, n: str = "n", key: str = "key") -> DataFram
     return counts.orderBy(F.desc(n), F.asc(key)).limit(k)
 
 
-def _as_number(df: DataFrame, key: str) -> Column:
-    """A number that grows with the key: the key itself, or the first bytes of a text."""
-    if isinstance(df.schema[key].dataType, T.StringType):
-        head = F.hex(F.substring(F.encode(F.col(key), "UTF-8"), 1, 6))
-        return F.conv(F.rpad(head, 12, "0"), 16, 10).cast("bigint")
-    return F.col(key).cast("bigint")
-
+def rank_all(df: DataFrame, order: Sequence[Column], rank: str = "search_rank") -> DataFrame:
+    """1-based place of every row in an order; nothing but one row per part runs in one task.
 
-def global_rank(df: DataFrame, score: str, key: str, rank: str = "search_rank") -> DataFrame:
-    """1-based rank over all rows by score descending, then key; nothing runs in one task.
-
-    Approximate quantiles of the score cut the rows into ranges. A score that is a
-    cut itself (it may hold a third of all rows) is a range of its own, cut again by
-    quantiles of the key. Rows are numbered within their range and shifted by the
-    sizes of the ranges before, a table of at most ``2 * RANGES * RANGES`` rows.
+    Spark's range partitioning cuts the rows by the whole order, so rows that tie on a score are
+    cut by key. The parts are written once, by a reliable checkpoint, since their sizes and their
+    rows must come from the same cut; what the order is derived from is computed once as well.
     """
-    cuts = F.expr(f"array({', '.join(f'{i / RANGES}D' for i in range(1, RANGES))})")
-    quantiles = df.select(F.col(score).alias("_s"), _as_number(df, key).alias("_k")).agg(
-        F.struct(
-            F.array_sort(F.array_distinct(F.percentile_approx("_s", cuts))).alias("s"),
-            F.array_sort(F.array_distinct(F.percentile_approx("_k", cuts))).alias("k"),
-        )
-    )
-    value, number = F.coalesce(F.col(score), F.lit(float("-inf"))), _as_number(df, key)
-    # even: between two cuts; odd: exactly on a cut; both descending with the score
-    above = F.size(F.filter("_cut.s", lambda c: c > value))
-    on_cut = F.coalesce(F.array_contains("_cut.s", value), F.lit(False))
-    part = F.when(on_cut, F.size(F.filter("_cut.k", lambda c: c < number))).otherwise(0)
-    # never NULL, or the join below would test for it and compute the score once per cut
-    placed = df.withColumn("_cut", quantiles.scalar()).select(
-        *df.columns,
-        F.coalesce(2 * above + on_cut.cast("int"), F.lit(0)).alias("_range"),
-        F.coalesce(part, F.lit(0)).alias("_part"),
-    )
-    sizes = placed.groupBy("_range", "_part").agg(F.count(F.lit(1)).alias("_n"))
-    # the ranges are few: one task adds them up
-    before = Window.orderBy("_range", "_part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select("_range", "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
-    within = Window.partitionBy("_range", "_part").orderBy(value.desc(), F.asc(key))
+    spark = df.sparkSession
+    shared_folder(spark)
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranged = df.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id()).checkpoint()
+    sizes = ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    within = Window.partitionBy("_part").orderBy(*order)
     return (
-        placed.withColumn("_place", F.row_number().over(within))
-        .join(starts, ["_range", "_part"])
+        ranged.withColumn("_place", F.row_number().over(within))
+        # a row per part
+        .join(F.broadcast(starts), "_part")
         .withColumn(rank, (F.col("_start") + F.col("_place")).cast("bigint"))
-        .drop("_range", "_part", "_place", "_start")
+        .drop("_part", "_place", "_start")
     )
 
 
+def global_rank(df: DataFrame, score: str, key: str, rank: str = "search_rank") -> DataFrame:
+    """1-based rank over all rows by score descending, then key; an absent score comes last."""
+    return rank_all(df, [F.desc_nulls_last(score), F.asc(key)], rank)
+
+
 def score_weighted(df: DataFrame, keywords: str | Sequence[str]) -> DataFrame:
     """Add the weighted relevance. A text of keywords is cut at commas."""
     if isinstance(keywords, str):
@@ -143,6 +139,11 @@ def order_search(df: DataFrame, key: str = "id") -> DataFrame:
     return df.orderBy(*search_order(key))
 
 
+def place_search(df: DataFrame, key: str = "id", place: str = "place") -> DataFrame:
+    """The place of every row in the order of a search."""
+    return rank_all(df, search_order(key), place)
+
+
 def page(df: DataFrame, order: Sequence[Column], limit: int, offset: int = 0) -> DataFrame:
     """LIMIT / OFFSET after a sort, as a top-k. For a page far down use ``page_by_rank``."""
     ordered = df.orderBy(*order)

@@ -31,9 +31,13 @@ def collect_sources(
 def score_with_query(postings: DataFrame, query: DataFrame, text: str = "text") -> DataFrame:
     """Replace the relevance by the ratio over the expanded terms of one query (a one-row table).
 
-    The terms of the one query are read first, so that scoring the postings is generated code.
+    The terms of the one query are read first, so that scoring the postings is generated code. A
+    run has one query: none or several are an error.
     """
-    terms = process_query(query, text).select("keywords").head()[0]
+    found = process_query(query, text).select("keywords").take(2)
+    if len(found) != 1:
+        raise ValueError("an ingest run takes exactly one query")
+    terms = found[0][0]
     return postings.withColumn(
         "relevance", relevance_ratio(F.col("title"), F.col("description"), terms)
     )

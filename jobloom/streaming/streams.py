@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from jobloom.operators.calls import WINDOWS, call_aggregates, over_quota
-from jobloom.operators.health import BreakerScan, moves_view
+from jobloom.operators.calls import WINDOWS, alert_aggregates, call_aggregates, over_quota
+from jobloom.operators.ranking import first_per_key
 from jobloom.session import new_path
 
 
@@ -63,6 +64,15 @@ def stream_quota_breaches(
     return over_quota(counts, quotas)
 
 
+def stream_source_alerts(
+    calls: DataFrame, size: str = "1 hour", delay: str = "10 minutes", **limits: float
+) -> DataFrame:
+    """Failure rate, 95th percentile of the latency and their flags per source and window."""
+    grouped = calls.withWatermark("called_at", delay).groupBy("provider", F.window("called_at", size))
+    alerts = grouped.agg(*alert_aggregates(**limits))
+    return alerts.select("provider", F.col("window.start").alias("window_start"), *alerts.columns[2:])
+
+
 def start_files(df: DataFrame, path: str, checkpoint: str, trigger: Mapping[str, object]) -> StreamingQuery:
     """Write a stream to Parquet files; both paths lie in a folder all executors share."""
     writer = df.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint)
@@ -77,31 +87,21 @@ def run_available(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def start_health(
-    calls: DataFrame, path: str, checkpoint: str, trigger: Mapping[str, object], **settings
-) -> StreamingQuery:
-    """Breaker states along a stream of calls.
+def run_updates(df: DataFrame, name: str, keys: Sequence[str]) -> DataFrame:
+    """Run an aggregate over all that is there now and give the last state of every window.
 
-    Each micro-batch is one scan from the states the batch before has written. Both
-    outputs are named by batch, so a batch that is run again writes the same again.
+    Windows still open at the last event are in it. Each micro-batch writes what it has updated to a
+    folder of its own, so a batch that is run again writes the same again.
     """
+    spark = df.sparkSession
+    path, checkpoint = new_path(spark, name), new_path(spark, f"{name}-checkpoint")
+    spark.createDataFrame([], df.schema).write.parquet(f"{path}/batch=-1")
 
     def step(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        states = None
-        if number > 0:
-            states = spark.read.parquet(f"{path}/states/batch={number - 1}")
-        scan = BreakerScan(batch, states, **settings)
-        scan.moves().write.mode("overwrite").parquet(f"{path}/moves/batch={number}")
-        scan.last_states().write.mode("overwrite").parquet(f"{path}/states/batch={number}")
-
-    writer = calls.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
-    return writer.trigger(**trigger).start()
-
-
-def run_health(calls: DataFrame, **settings) -> DataFrame:
-    """The breaker over all calls there now, batch by batch."""
-    spark = calls.sparkSession
-    path, checkpoint = new_path(spark, "health"), new_path(spark, "health-checkpoint")
-    start_health(calls, path, checkpoint, {"availableNow": True}, **settings).awaitTermination()
-    return moves_view(spark.read.parquet(f"{path}/moves"))
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    writer = df.writeStream.foreachBatch(step).outputMode("update").option("checkpointLocation", checkpoint)
+    writer.trigger(availableNow=True).start().awaitTermination()
+    numbered = T.StructType([*df.schema.fields, T.StructField("batch", T.IntegerType())])
+    written = spark.read.schema(numbered).parquet(path)
+    return first_per_key(written, [F.col(k) for k in keys], [F.desc("batch")]).drop("batch")

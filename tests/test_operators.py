@@ -13,7 +13,7 @@ from jobloom.operators import ranking as K
 from jobloom.operators import stats as A
 from jobloom.operators.advice import recommend_keywords, result_advice, strategy_advice
 from jobloom.operators.filters import SearchSpec, filter_spec, match_criteria, quality_gate
-from jobloom.operators.frontier import board_rows, crawl_frontier
+from jobloom.operators.frontier import crawl_frontier
 from jobloom.operators.matching import match_queries, score_many, term_hits
 from jobloom.operators.querytext import query_variations
 from jobloom.plans import registry
@@ -210,7 +210,6 @@ def test_variations(spark):
     df = spark.createDataFrame([(1, ["a", "b", "c"]), (2, ["a"])], "query_id int, keywords array<string>")
     found = sorted((r.query_id, r.variation, tuple(r.keywords)) for r in query_variations(df).collect())
     assert found == [
-        (1, "pair", ("a", "b")), (1, "pair", ("a", "c")), (1, "pair", ("b", "c")),
         (1, "query", ("a", "b", "c")), (1, "single", ("a",)), (1, "single", ("b",)), (1, "single", ("c",)),
         (2, "query", ("a",)),
     ]
@@ -258,13 +257,41 @@ def test_recommendations(spark):
 
 
 def test_frontier(spark):
-    queries = spark.createDataFrame([(1, ["a", "b"], None)], "query_id int, keywords array<string>, location string")
+    requests = spark.createDataFrame(
+        [(1, "n", ["a", "b"], None), (2, "none", ["a"], "x")],
+        "query_id int, board string, keywords array<string>, location string",
+    )
     boards = spark.createDataFrame(
         [Row(name="n", method="scraping", base_url="http://x", search_path="/s",
              search_params={"l": "{location}", "k": "{keywords}!"}, max_results=5)]
     )
-    row = crawl_frontier(queries, board_rows(boards)).head()
-    assert (row.url, row.cap, row.requires_js) == ("http://x/s?k=a b!&l=", 5, False)
+    known, unknown = sorted(crawl_frontier(requests, boards).collect())
+    assert (known.url, known.cap, known.requires_js) == ("http://x/s?k=a b!&l=", 5, False)
+    assert (unknown.board, unknown.url, unknown.cap) == ("none", None, None)
+
+
+def test_rank_of_one_prefix_and_score(spark):
+    """Ids that begin alike and share a score are still cut into parts, by the whole key."""
+    df = spark.range(10_000).selectExpr("format_string('usajobs_%020d', id) AS id", "1.0D AS score")
+    ranked = K.global_rank(df, "score", "id")
+    assert [r.search_rank for r in ranked.orderBy("id").collect()] == list(range(1, 10_001))
+    parts = df.repartitionByRange(4, F.desc_nulls_last("score"), F.asc("id"))
+    assert parts.groupBy(F.spark_partition_id()).count().count() == 4
+
+
+def test_blank_terms(spark):
+    rows = [(1, "A b", "x", "c", []), (2, "cd", "y", "e", [])]
+    postings = spark.createDataFrame(rows, "key int, title string, description string, company string, keywords array<string>")
+    found = term_hits(postings, spark.createDataFrame([(" ",), ("",), ("  ",)], "term string"))
+    assert {(r.key, r.term, r.in_title) for r in found.collect()} == {(1, " ", True), (2, " ", False), (1, "", True), (2, "", True)}
+
+
+def test_ingest_takes_one_query(spark):
+    from jobloom.plans.runs import score_with_query
+
+    df = spark.createDataFrame([("python jobs",), ("java jobs",)], "text string")
+    with pytest.raises(ValueError):
+        score_with_query(df, df)
 
 
 def test_registry(full):

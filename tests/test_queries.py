@@ -7,7 +7,7 @@ import __spark_entry__ as entry
 from check_queries import KINDS, TABLES, rows_of
 
 SF = "/root/testdata/sf0.001"
-QUERIES, SQL = entry.queries(), entry.oracle_sql()
+QUERIES, SQL = entry.catalog.QUERIES, entry.catalog.SQL
 
 
 @pytest.fixture(scope="module")
