@@ -188,6 +188,38 @@ def feed_filter(spark, sf):
     return kept.select("key", "relevance")
 
 
+FEED_BOARDS = [
+    ("src0", (["engineer", "Remote"], ["intern"], 5)),
+    ("src1", ([], ["SHWH", "python"], 0)),
+    ("src2", (["python", "java"], [], 3)),
+]
+
+
+def _feed_boards_sql() -> str:
+    parts = []
+    for name, (wanted, excluded, most) in [*FEED_BOARDS, (None, ([], [], 0))]:
+        words = [w.lower() for w in (*wanted, "golang")]
+        known = ", ".join(f"'{b}'" for b, _ in FEED_BOARDS)
+        here = f"source = '{name}'" if name else f"(source IS NULL OR source NOT IN ({known}))"
+        barred = f"AND NOT {sql_any(TEXT, [w.lower() for w in excluded])}" if excluded else ""
+        cap = f"QUALIFY row_number() OVER (PARTITION BY source ORDER BY scraped_at DESC, key) <= {most}" if most else ""
+        parts.append(
+            f"""(SELECT key, source, {sql_ratio('title', 'description', words)} AS relevance FROM postings
+                WHERE {here} AND {sql_any(TEXT, words)} {barred} {cap})"""
+        )
+    return " UNION ALL ".join(parts)
+
+
+@query("feed_filter_boards", on_postings(_feed_boards_sql()))
+def feed_filter_boards(spark, sf):
+    """Boards with words and a maximum of their own, one without a maximum, and sources that are no board."""
+    feed = "struct<keywords:array<string>,excludeWords:array<string>,maxResults:bigint>"
+    boards = spark.createDataFrame(FEED_BOARDS, f"name string, feed {feed}")
+    order = [F.desc("scraped_at"), F.asc("key")]
+    kept = W.feed_filter_boards(postings(spark, sf), boards, ["golang"], order, salt_on="key")
+    return kept.select("key", "source", "relevance")
+
+
 @query(
     "quality_gate",
     on_postings(

@@ -33,7 +33,7 @@ from jobloom.sources import files
 from jobloom.sources.boards import CONFIG, boards_dim
 from jobloom.sources.feeds import read_feed_atom, read_feed_rss
 from jobloom.sources.pages import extract_postings_html
-from jobloom.sources.providers import map_by_paths, provider
+from jobloom.sources.providers import REED, map_by_paths, payload_page_info, provider
 
 PROVIDER_WORDS = (
     f"array_to_string(list_filter({sql_list(V.PROVIDER_TERMS)}, lambda w: contains({TEXT}, w)), '|')"
@@ -409,6 +409,34 @@ def json_wrapped(spark, sf):
     return _file_rows(read.withColumn("keywords", F.array_remove("keywords", "")))
 
 
+@query("read_postings_json_array", FILE_SQL)
+def json_array(spark, sf):
+    """Files that are one array each, written over many lines, keywords as a list."""
+    path = new_path(spark, "array-json")
+    rows = _storable(full_postings(spark, sf)).withColumn("file", F.floor(F.col("key") / 500))
+    arrays = rows.groupBy("file").agg(F.collect_list(F.struct(*POSTING_COLUMNS)).alias("jobs"))
+    arrays.select("file", F.to_json("jobs", {"pretty": "true"}).alias("value")).write.partitionBy("file").text(path)
+    return _file_rows(files.read_postings_json(spark, path))
+
+
+@query(
+    "payload_page_info",
+    on_postings(
+        """SELECT answer, total, CAST(3 AS BIGINT) AS page, CAST(25 AS BIGINT) AS per_page,
+             CAST(ceil(total / 25.0) AS BIGINT) AS total_pages, n = 25 AND total > 75 AS has_more
+           FROM (SELECT key // 25 AS answer, CAST(60 + (key // 25) % 40 AS BIGINT) AS total, count(*) AS n
+             FROM postings GROUP BY ALL)"""
+    ),
+)
+def reed_page_info(spark, sf):
+    """Answers of up to 25 jobs, each with a total of its own."""
+    rows = postings(spark, sf).withColumn("answer", F.floor(F.col("key") / 25))
+    answers = rows.groupBy("answer").agg(F.collect_list(F.struct(F.col("key").alias("jobId"))).alias("results"))
+    payload = F.to_json(F.struct("results", (60 + F.col("answer") % 40).alias("totalResults")))
+    raw = answers.select("answer", payload.alias("payload"))
+    return payload_page_info(raw, REED, "results", 25, 50, "totalResults", keep=["answer"])
+
+
 @query("latest_snapshot", FILE_SQL)
 def snapshot(spark, sf):
     """An older export with other titles, then a newer one: the newer counts."""

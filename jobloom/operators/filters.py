@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from jobloom.functions import values as V
 from jobloom.functions.facets import experience_level, is_remote, salary_max, salary_min
-from jobloom.functions.relevance import relevance_feed
+from jobloom.functions.relevance import relevance_feed, relevance_ratio
 from jobloom.functions.text import (
     all_of,
     any_of,
@@ -23,6 +23,7 @@ from jobloom.functions.text import (
     text_of,
     title_and_description,
 )
+from jobloom.operators.ranking import cap_per_source
 
 
 @dataclass
@@ -177,6 +178,44 @@ def feed_filter(
     return kept.orderBy(*order).limit(max_results) if max_results > 0 else kept
 
 
+def feed_filter_boards(
+    df: DataFrame,
+    boards: DataFrame,
+    search_keywords: Sequence[str] = (),
+    order: Sequence[Column] = (),
+    source: str = "source",
+    salt_on: str = "id",
+) -> DataFrame:
+    """``feed_filter`` with the words and the maximum of each row's own board.
+
+    ``boards`` has a row per ``name`` with its ``feed`` (as ``boards_dim`` gives it). A source that is
+    no board there has the search's words only and no maximum.
+    """
+
+    def words(name: str) -> Column:
+        listed = F.coalesce(f"b.feed.{name}", F.array().cast("array<string>"))
+        return F.transform(F.filter(listed, lambda w: w.isNotNull()), F.lower)
+
+    searched = F.array(*[F.lit(w.lower()) for w in search_keywords]).cast("array<string>")
+    rows = df.alias("d").join(boards.alias("b"), F.col(f"d.{source}") == F.col("b.name"), "left").select(
+        "d.*", F.concat(words("keywords"), searched).alias("_wanted"), words("excludeWords").alias("_excluded")
+    )
+    title, description = F.col("title"), F.col("description")
+
+    def holds(listed: str) -> Column:
+        # The text is put together once per row.
+        text = F.array(title_and_description(title, description))
+        return F.element_at(F.transform(text, lambda t: F.exists(listed, lambda w: t.contains(w))), 1)
+
+    kept = (
+        rows.where(((F.size("_wanted") == 0) | holds("_wanted")) & ~holds("_excluded"))
+        .withColumn("relevance", relevance_ratio(title, description, F.col("_wanted")))
+        .drop("_wanted", "_excluded")
+    )
+    caps = boards.select("name", F.coalesce("feed.maxResults", F.lit(0)).alias("max_results"))
+    return cap_per_source(kept, list(order) or [F.col("id")], 0, source, salt_on, caps)
+
+
 def recent_condition(scraped_at: Column, as_of: Column, hours: int = 24) -> Column:
     return scraped_at >= as_of - F.make_dt_interval(hours=F.lit(hours))
 

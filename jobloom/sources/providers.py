@@ -28,6 +28,7 @@ from jobloom.functions.text import (
     tag_employment_type,
     text_of,
 )
+from jobloom.operators.ranking import page_info
 from jobloom.sources.records import normalize_posting, provider_posting
 
 REED = (
@@ -74,6 +75,26 @@ def _items(
     return parsed.select(*keep, "fetched_at", F.inline(items))
 
 
+def payload_page_info(
+    raw: DataFrame,
+    schema: str,
+    items: str,
+    limit: int,
+    offset: int = 0,
+    total: str | None = None,
+    keep: Sequence[str] = (),
+) -> DataFrame:
+    """One row per answer: total, page, per_page, total_pages and has_more.
+
+    ``total`` is the path of the provider's own total, 0 where the answer has none. Without such a
+    path the total is the number of items, and a full page is taken to have more.
+    """
+    parsed = raw.select(*keep, F.from_json("payload", schema).alias("_p"))
+    found = F.coalesce(F.array_size(f"_p.{items}"), F.lit(0))
+    told = found if total is None else F.coalesce(f"_p.{total}", F.lit(0))
+    return parsed.select(*keep, *page_info(found, told, limit, offset, total_known=total is not None))
+
+
 def _first(column: str, field: str) -> Column:
     return F.try_element_at(F.col(column), F.lit(1))[field]
 
