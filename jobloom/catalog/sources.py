@@ -370,6 +370,33 @@ def html_article(spark, sf):
     return found.select("page_id", "title", "company", F.md5("description").alias("description_md5"))
 
 
+BOARD_SELECTORS = [
+    ("list", {"jobContainer": "nav li", "title": "a", "company": "a"}),
+    ("article", {"jobContainer": "body", "title": "article h1", "company": "div.ad"}),
+]
+
+
+@query(
+    "extract_postings_html_boards",
+    f"""SELECT page_id, 'list' AS board, title, title AS company FROM (
+          SELECT page_id, trim({_UNESCAPED.format("regexp_extract(item, '>([^<]*)</a>$', 1)")}, {WS}) AS title
+          FROM (SELECT page_id, unnest(regexp_extract_all(html, '<li>(<a href="[^"]*">[^<]*</a>)</li>', 1)) AS item
+            FROM pages WHERE page_id % 2 = 0)) WHERE title <> ''
+        UNION ALL
+        SELECT page_id, 'article', title, company FROM (
+          SELECT page_id, trim({_UNESCAPED.format("regexp_extract(html, '<h1>(.*?)</h1>', 1, 's')")}, {WS}) AS title,
+            trim({_UNESCAPED.format("regexp_extract(html, '<div class=\"ad\">(.*?)</div>', 1, 's')")}, {WS}) AS company
+          FROM pages WHERE page_id % 2 = 1) WHERE title <> '' AND company <> ''""",
+)
+def html_boards(spark, sf):
+    """Every page is of one of two boards, each with selectors of its own."""
+    boards = spark.createDataFrame(BOARD_SELECTORS, "board string, selectors map<string,string>")
+    board = F.when(F.col("page_id") % 2 == 0, "list").otherwise("article")
+    pages = table(spark, sf, "pages").withColumn("board", board).join(boards, "board")
+    found = extract_postings_html(pages, F.col("selectors"), F.col("board"), as_of(), keep=["page_id", "board"])
+    return found.select("page_id", "board", "title", "company")
+
+
 def _storable(rows):
     """The posting view with times that files can hold."""
     stamps = {c: F.col(c).cast("timestamp") for c in ("scraped_at", "updated_at")}

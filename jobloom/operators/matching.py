@@ -5,6 +5,9 @@ without white space lies in a text exactly if it lies in one of its words, so te
 are looked for in the *vocabulary* (each distinct word once): the parts of a word that
 are as long as some term are joined with the terms, and the hits go back to postings by
 word. Every step is an equi-join or an aggregate; no posting meets every term.
+
+A long word is cut into overlapping windows, so its parts stay in proportion to it. Hits
+are partitioned by posting once; what follows per posting needs no other exchange.
 """
 
 from __future__ import annotations
@@ -16,8 +19,10 @@ from jobloom.functions.text import text_of, title_and_description
 from jobloom.operators.ranking import top_per_group
 
 SPACE = r"[ \t\n\r]+"
-# A longer term is looked for by its beginning and then checked.
+# Terms up to this length are looked for by word; longer ones are checked on the texts.
 LONGEST_PROBE = 32
+# Terms of up to this many bytes in all are sent to every task; more are joined by a shuffle.
+SENT_BYTES = 8 << 20
 FIELDS = ["title", "description", "company", "keywords"]
 
 
@@ -45,30 +50,48 @@ def _field_words(name: str, text: Column) -> Column:
     return F.transform(words, lambda w: F.struct(F.lit(name).alias("field"), w.alias("word")))
 
 
-def _parts(word: Column, lengths: Column) -> Column:
-    """Every part of the word that has one of the lengths, each once."""
+def _word_name(word: Column) -> Column:
+    """What a word is joined by: itself, or a digest behind a blank, which no word contains."""
+    return F.when(F.length(word) <= LONGEST_PROBE, word).otherwise(F.concat(F.lit(" "), F.md5(word)))
+
+
+def _windows(word: Column) -> Column:
+    """The word, or stretches of it such that each part up to ``LONGEST_PROBE`` lies in one."""
+    cut = F.regexp_extract_all(word, F.lit(f"(?s).{{1,{LONGEST_PROBE}}}"), F.lit(0))
+    # Bound in a lambda, so that a word is cut once and not for each of its windows.
+    joined = F.transform(
+        F.array(cut),
+        lambda c: F.transform(c, lambda piece, i: F.concat(piece, F.coalesce(F.get(c, i + 1), F.lit("")))),
+    )
+    return F.when(F.length(word) <= LONGEST_PROBE, F.array(word)).otherwise(
+        F.array_distinct(F.element_at(joined, 1))
+    )
+
+
+def _parts(window: Column, lengths: Column) -> Column:
+    """Every part of the window that has one of the lengths, each once."""
 
     def of_length(n: Column) -> Column:
-        return F.transform(F.sequence(F.lit(1), F.length(word) - n + 1), lambda i: F.substring(word, i, n))
+        return F.transform(F.sequence(F.lit(1), F.length(window) - n + 1), lambda i: F.substring(window, i, n))
 
-    fitting = F.filter(lengths, lambda n: n <= F.length(word))
+    fitting = F.filter(lengths, lambda n: n <= F.length(window))
     return F.array_distinct(F.flatten(F.transform(fitting, of_length)))
 
 
-def _word_hits(vocabulary: DataFrame, terms: DataFrame) -> DataFrame:
-    """(word, term): the words that contain the ``piece`` of a term."""
-    probed = terms.withColumn("probe", F.substring("piece", 1, LONGEST_PROBE))
-    lengths = probed.agg(F.collect_set(F.length("probe"))).scalar()
+def _word_hits(words: DataFrame, terms: DataFrame) -> DataFrame:
+    """(name, term): the words that contain the ``probe`` of a term."""
+    lengths = terms.agg(F.collect_set(F.length("probe"))).scalar()
     parts = (
-        vocabulary.withColumn("_lengths", lengths)
-        .select("word", F.explode(_parts(F.col("word"), F.col("_lengths"))).alias("probe"))
+        words.select("word").distinct()
+        .select(_word_name(F.col("word")).alias("name"), F.explode(_windows(F.col("word"))).alias("window"))
+        .withColumn("_lengths", lengths)
+        .select("name", F.explode(_parts(F.col("window"), F.col("_lengths"))).alias("probe"))
     )
-    whole = (F.length("piece") <= LONGEST_PROBE) | F.col("word").contains(F.col("piece"))
-    return parts.join(probed, "probe").where(whole).select("word", "term")
+    return parts.join(terms, "probe").select("name", "term")
 
 
 def term_hits(postings: DataFrame, terms: DataFrame, key: str = "key") -> DataFrame:
-    """(key, term, in_text, in_title, in_description, in_company, in_keywords).
+    """(key, term, in_text, in_title, in_description, in_company, in_keywords), partitioned by key.
 
     ``terms`` has one column, ``term``, in lower case. The empty term is in every text.
     """
@@ -76,30 +99,35 @@ def term_hits(postings: DataFrame, terms: DataFrame, key: str = "key") -> DataFr
     words = postings.select(
         key, F.explode(F.concat(*[_field_words(name, text) for name, text in texts.items()])).alias("_at")
     ).select(key, "_at.field", "_at.word")
-    vocabulary = words.select("word").distinct()
 
     pieces = F.filter(F.split("term", SPACE), lambda p: p != "")
     longest = F.element_at(
         F.array_sort(F.transform(pieces, lambda p: F.struct(F.length(p).alias("n"), p.alias("piece")))), -1
     )
     listed = terms.select("term").distinct()
-    split = listed.where(F.col("term").rlike(r"[^ \t\n\r]")).withColumn("piece", longest["piece"])
-    found = words.join(_word_hits(vocabulary, split), "word")
+    split = listed.where(F.col("term").rlike(r"[^ \t\n\r]")).withColumn(
+        "probe", F.substring(longest["piece"], 1, LONGEST_PROBE)
+    )
+    named = words.select(key, "field", _word_name(F.col("word")).alias("name"))
+    found = named.join(_word_hits(words, split), "name").select(key, "field", "term")
+    # Terms of white space alone have no word to look up; every posting is asked for the few there are.
+    blanks = listed.where(~F.col("term").rlike(r"[^ \t\n\r]")).agg(F.collect_set("term")).scalar()
+    asked = postings.select(key, F.lit("").alias("field"), F.explode(blanks).alias("term"))
     flags = [F.max(F.col("field") == name).alias(f"in_{name}") for name in FIELDS]
-    by_word = found.groupBy(key, "term").agg(*flags)
+    by_word = found.unionByName(asked).repartition(key).groupBy(key, "term").agg(*flags)
 
-    # A term of several words is checked on the texts of the postings its longest word is in;
-    # the other rows of the outer join meet no text. Without such terms no text is read.
-    several = F.col("term").rlike(SPACE)
-    any_several = listed.where(several).limit(1).agg(F.count(F.lit(1))).scalar()
+    # Terms that are no short word are checked on the texts of their postings; the other rows of
+    # the outer join meet no text. Without such terms no text is read.
+    on_text = F.col("term").rlike(SPACE) | (F.col("term") == "") | (F.length("term") > LONGEST_PROBE)
+    any_on_text = listed.where(on_text).limit(1).agg(F.count(F.lit(1))).scalar()
     both = title_and_description(F.col("title"), F.col("description"))
-    whole = postings.where(any_several > 0).select(
+    whole = postings.where(any_on_text > 0).select(
         F.col(key).alias("_key"), both.alias("_text"), *[t.alias(f"_{name}") for name, t in texts.items()]
     )
-    checked = by_word.join(whole, (F.col(key) == F.col("_key")) & several, "left")
+    checked = by_word.join(whole, (F.col(key) == F.col("_key")) & on_text, "left")
 
     def flag(text: str, by_words: Column) -> Column:
-        return F.when(several, F.col(text).contains(F.col("term"))).otherwise(by_words)
+        return F.when(on_text, F.col(text).contains(F.col("term"))).otherwise(by_words)
 
     hits = checked.select(
         key,
@@ -107,18 +135,14 @@ def term_hits(postings: DataFrame, terms: DataFrame, key: str = "key") -> DataFr
         flag("_text", F.col("in_title") | F.col("in_description")).alias("in_text"),
         *[flag(f"_{name}", F.col(f"in_{name}")).alias(f"in_{name}") for name in FIELDS],
     )
-    # Terms of white space alone have no word to look up; each posting tests the few there are.
-    blanks = listed.where(~F.col("term").rlike(r"[^ \t\n\r]")).agg(F.collect_set("term")).scalar()
-    blank = postings.select(
-        F.col(key), both.alias("_text"), *[t.alias(f"_{name}") for name, t in texts.items()], F.explode(blanks).alias("term")
-    ).select(
-        key,
-        "term",
-        F.col("_text").contains(F.col("term")).alias("in_text"),
-        *[F.col(f"_{name}").contains(F.col("term")).alias(f"in_{name}") for name in FIELDS],
-    )
     anywhere = F.col("in_text") | F.col("in_title") | F.col("in_description") | F.col("in_company") | F.col("in_keywords")
-    return hits.unionByName(blank.where(anywhere))
+    return hits.where(anywhere)
+
+
+def _sent(terms: DataFrame) -> DataFrame:
+    """The terms, sent to every task if their measured size is small; that keeps the hits where they are."""
+    size = terms.agg(F.sum(F.octet_length("term") + 32)).head()[0] or 0
+    return F.broadcast(terms) if size <= SENT_BYTES else terms
 
 
 def match_queries(
@@ -128,7 +152,7 @@ def match_queries(
     terms = query_terms(queries, query_id)
     hits = term_hits(postings, terms.select("term"), key)
     matched = hits.where(F.col("in_title") | F.col("in_description") | F.col("in_keywords"))
-    return matched.join(terms, "term").select(query_id, key).distinct()
+    return matched.join(_sent(terms), "term").select(query_id, key).distinct()
 
 
 def score_many(
@@ -157,7 +181,7 @@ def score_many(
     hits = term_hits(postings, terms.select("term"), key).select(key, "term", points.alias("points"))
     return (
         hits.where(F.col("points") > 0)
-        .join(terms, "term")
+        .join(_sent(terms), "term")
         .groupBy(query_id, key)
         .agg((F.sum(F.col("points") * F.col("times")) / F.max("n_terms")).alias("relevance"))
     )

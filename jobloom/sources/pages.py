@@ -7,6 +7,8 @@ built-in expressions.
 
 from __future__ import annotations
 
+import functools
+import json
 import re
 from collections.abc import Iterator, Mapping, Sequence
 from html.parser import HTMLParser
@@ -126,7 +128,18 @@ def parse_selector(text: str) -> list[list[dict]]:
     return alternatives
 
 
-def _postings_of(html: str, container: list, rules: Mapping[str, list]) -> Iterator[dict[str, str]]:
+@functools.lru_cache(maxsize=1024)
+def _rules(selectors: str) -> tuple[list, dict[str, list]]:
+    """The container and the fields of selectors given as a JSON object, parsed once per worker."""
+    named = json.loads(selectors)
+    return (
+        parse_selector(named.get("jobContainer") or ""),
+        {name: parse_selector(named.get(name) or "") for name in FIELDS},
+    )
+
+
+def _postings_of(html: str, selectors: str) -> Iterator[dict[str, str]]:
+    container, rules = _rules(selectors)
     page = _Page(html or "")
     for box in page.select(container):
         found = {}
@@ -143,7 +156,7 @@ def _postings_of(html: str, container: list, rules: Mapping[str, list]) -> Itera
 
 def extract_postings_html(
     pages: DataFrame,
-    selectors: Mapping[str, str],
+    selectors: Mapping[str, str] | Column,
     source: Column,
     now: Column,
     keep: Sequence[str] = (),
@@ -151,13 +164,18 @@ def extract_postings_html(
     """One posting per container that has a title and a company.
 
     ``pages`` has ``url`` and ``html``; ``selectors`` names ``jobContainer`` and the
-    fields. The first match of a selector counts, and the id is computed before the
+    fields, for all pages or, as a struct or map column, for each page: those of its
+    board. A page without selectors gives no row. The first match of a selector counts, and the id is computed before the
     link is made absolute. A page without containers gives no row.
     """
-    container = parse_selector(selectors["jobContainer"])
-    rules = {name: parse_selector(selectors.get(name, "")) for name in FIELDS}
-    raw = pages.select(*keep, source.alias("source"), "url", "html")
-    carried = [f for f in raw.schema.fields if f.name != "html"]
+    if isinstance(selectors, Column):
+        rules = F.to_json(selectors)
+    else:
+        named = json.dumps(dict(selectors))
+        _rules(named)
+        rules = F.lit(named)
+    raw = pages.select(*keep, source.alias("source"), "url", "html", rules.alias("_rules"))
+    carried = [f for f in raw.schema.fields if f.name not in ("html", "_rules")]
     schema = T.StructType([*carried, *[T.StructField(name, T.StringType()) for name in FIELDS]])
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -165,7 +183,8 @@ def extract_postings_html(
             rows = [
                 {**row, **found}
                 for row in batch.to_dict("records")
-                for found in _postings_of(row["html"], container, rules)
+                if row["_rules"] is not None
+                for found in _postings_of(row["html"], row["_rules"])
             ]
             yield pd.DataFrame(rows, columns=schema.fieldNames())
 

@@ -194,6 +194,20 @@ def test_term_hits(spark, texts):
     assert {k: v for k, v in got.items() if any(v.values())} == expected
 
 
+def test_terms_in_very_long_words(spark):
+    """A word without blanks is searched in windows; a digest does not stand for its text."""
+    draw = "".join(chr(97 + (k * k + k // 7) % 26) for k in range(300_000)) + "\u2028é🙂"
+    rows = [(1, draw, "", "", []), (2, "", draw[::-1] + "needle" + draw, "", []), (3, "x" * 33, "x" * 32, "", [])]
+    postings = spark.createDataFrame(rows, "key int, title string, description string, company string, keywords array<string>")
+    terms = ["needle", draw[70_001:70_033], draw[5:40], draw[100:400], "\u2028é", "é🙂", "x" * 32, "x" * 33, "x" * 34]
+    found = term_hits(postings, spark.createDataFrame([(t,) for t in terms], "term string"))
+    got = {(r.key, r.term): (r.in_title, r.in_description) for r in found.collect()}
+    expected = {
+        (key, t): (t in title, t in text) for key, title, text, *_ in rows for t in terms if t in title or t in text
+    }
+    assert got == expected
+
+
 def test_many_queries(spark, texts):
     queries = spark.createDataFrame(
         [(1, ["Java", "java"]), (2, ["react native", "zzz"]), (3, [])], "query_id bigint, keywords array<string>"

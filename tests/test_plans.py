@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from jobloom.catalog.base import full_postings, offers
 from jobloom.operators import stats as A
 from jobloom.operators.filters import SearchSpec, filter_spec
-from jobloom.operators.matching import term_hits
+from jobloom.operators.matching import score_many, term_hits
 from jobloom.operators.ranking import global_rank
 from jobloom.session import new_path, spread
 from jobloom.sources import files
@@ -74,6 +74,14 @@ def test_term_search_never_pairs_all(spark, store):
     assert "NestedLoop" not in plan and "Cartesian" not in plan
 
 
+def test_scores_stay_with_their_posting(spark, store):
+    """After the hits are partitioned by posting, scoring them has no exchange of its own."""
+    queries = spark.createDataFrame([(1, ["python", "go"]), (2, ["java"])], "query_id int, keywords array<string>")
+    plan = plan_of(score_many(queries, store, key="id"))
+    top = plan[: plan.index("REPARTITION_BY_COL")]
+    assert top.count("Exchange hashpartitioning") == 1 and "hashpartitioning(query_id" not in top
+
+
 def test_offers_join_without_hints(spark):
     plan = offers(spark, SF)._jdf.queryExecution().analyzed().toString()
     assert "ResolvedHint" not in plan
