@@ -7,7 +7,8 @@ the sketch make a candidate. Documents have size classes too, and a document too
 item is not compared with it. Candidates are verified on all shingles of the item.
 
 Only built-in functions run. The items are a query set: their sketches are sent to all tasks in
-blocks of at most ``BLOCK`` shingles, so no shuffle of all shingles of the corpus is needed.
+blocks of about ``BLOCK`` shingles, so no shuffle of all shingles of the corpus is needed. Blocks
+are measured first; should one hold far more, by a huge item, its whole items are joined by a shuffle.
 
 Words are runs of letters and digits, lower-cased. Defined cases: null texts have no words; an
 item of fewer than five words has no shingle and is found nowhere; repeated items are each found;
@@ -73,31 +74,38 @@ def contained(
     queries = _items(items, item_id, item_text)
     total = queries.agg(F.sum("n_item")).head()[0] or 0
     blocks = int(total) // BLOCK + 1
+    block = F.pmod(F.xxhash64("item_id"), F.lit(blocks))
+    # As many rows as blocks.
+    sizes = dict(queries.groupBy(block).agg(F.sum("n_item")).collect()) if blocks > 1 else {0: total}
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("digest"), F.col(text).alias("text"))
     found = [
-        _block(rows, queries.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k) if blocks > 1 else queries, threshold)
+        _block(rows, queries.where(block == k) if blocks > 1 else queries, threshold, sizes.get(k, 0) <= 2 * BLOCK)
         for k in range(blocks)
     ]
     return reduce(DataFrame.union, found)
 
 
-def _block(rows: DataFrame, queries: DataFrame, threshold: float) -> DataFrame:
+def _block(rows: DataFrame, queries: DataFrame, threshold: float, small: bool) -> DataFrame:
+    def sent(items: DataFrame) -> DataFrame:
+        return F.broadcast(items) if small else items
+
     sketches = queries.select(
         "item_id", "n_item", "item_class", F.size("sketch").alias("n_sketch"), F.explode("sketch").alias("shingle")
     )
-    hashes = rows.select("doc_id", "digest", shingles("text").alias("own"))
+    # Repeated rows are counted apart and then taken once.
+    hashes = rows.select("doc_id", "digest", F.monotonically_increasing_id().alias("row"), shingles("text").alias("own"))
     exploded = hashes.select(
-        "doc_id", "digest", size_class(F.size("own")).alias("doc_class"), F.explode("own").alias("shingle")
+        "doc_id", "digest", "row", size_class(F.size("own")).alias("doc_class"), F.explode("own").alias("shingle")
     )
     # A document with fewer shingles than the threshold asks of the item is at least a class below it.
     hits = (
-        exploded.join(F.broadcast(sketches), "shingle")
+        exploded.join(sent(sketches), "shingle")
         .where("doc_class >= item_class - 1")
-        .groupBy("doc_id", "digest", "item_id", "n_item", "n_sketch")
+        .groupBy("doc_id", "digest", "row", "item_id", "n_item", "n_sketch")
         .agg(F.count("*").alias("hits"))
     )
     share = F.when(F.col("n_sketch") == F.col("n_item"), F.lit(threshold)).otherwise(F.lit(CANDIDATE))
-    candidates = hits.where(F.col("hits") >= share * F.col("n_sketch") - 1e-9)
+    candidates = hits.where(F.col("hits") >= share * F.col("n_sketch") - 1e-9).drop("row").distinct()
     settled = F.col("n_sketch") == F.col("n_item")
     exact = candidates.where(settled).select("doc_id", "digest", "item_id", F.col("hits").alias("n_shared"), "n_item")
     # Long items: all their shingles against those of the candidates' documents.
@@ -108,7 +116,7 @@ def _block(rows: DataFrame, queries: DataFrame, threshold: float) -> DataFrame:
     again = rows.join(some, same, "left_semi").select("doc_id", "digest", F.explode(shingles("text")).alias("shingle"))
     counted = (
         again.distinct()
-        .join(F.broadcast(whole), "shingle")
+        .join(sent(whole), "shingle")
         .groupBy("doc_id", "digest", "item_id")
         .agg(F.count("*").alias("n_shared"))
     )

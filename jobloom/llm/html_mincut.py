@@ -48,7 +48,7 @@ _TOKEN = re.compile(
 _ATTR = re.compile(r"([a-zA-Z-]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _CLOSES = {"p": ("p",), "li": ("li",), "dd": ("dd", "dt"), "dt": ("dd", "dt"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th")}
 _BREAKS_P = frozenset("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
-# In HTML white space is five characters; a no-break space is text.
+# Any white space, no-break spaces too, becomes one space.
 _WHITE = re.compile(r"\s+")
 
 #: Smoothness: between blocks in sequence, and between those of one container.

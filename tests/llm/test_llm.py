@@ -355,6 +355,9 @@ def plain_words(text: str | None) -> set:
 def test_decontamination(spark, docs, rows, empty, monkeypatch, sketch):
     monkeypatch.setattr(decontamination, "SKETCH", sketch)
     items = table("benchmark", "item_id, text") + [(900, None), (901, "too few words"), (902, rows[0][1]), (902, rows[0][1])]
+    # Half of it stands in each of two equal rows: together they do not hold it.
+    twice = next(t for k, t in rows if k is None).split()
+    items += [(903, " ".join(twice[:12] + ["other"] * 5 + [f"q{k}" for k in range(7)])), (904, " ".join(twice[:20]))]
     longer = spark.createDataFrame([(9000, "begin " + rows[0][1] + " end " + "w " * 20_000)], "doc_id bigint, text string")
     every = docs.select("doc_id", "text").union(longer)
     queries_ = spark.createDataFrame(items, "item_id bigint, text string")
