@@ -37,6 +37,8 @@ DEPTH = 8
 #: A task compares at most two blocks of about so many sets and shingles.
 BLOCK_SETS = 2_000
 BLOCK_SHINGLES = 1_000_000
+#: Parts in which the sets of a group are told its number of blocks.
+SALTS = 64
 #: Shingles that more sets of a task have go into a matrix, others are paired directly.
 COMMON = 32
 
@@ -202,8 +204,16 @@ def near_duplicates(
     sizes = members.groupBy("grp").agg(
         F.ceil(F.greatest(F.count("*") / BLOCK_SETS, F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks")
     )
-    members = members.join(sizes, "grp").withColumn("block", F.pmod(F.xxhash64("name"), F.col("blocks")).cast("int"))
-    members = members.checkpoint()
+    # Few groups have several blocks; only these are looked up, in parts, so that a hot one is no one task.
+    several = sizes.where("blocks > 1").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    members = (
+        members.withColumn("salt", F.pmod(F.xxhash64("name"), F.lit(SALTS)).cast("int"))
+        .join(several, ["grp", "salt"], "left")
+        .withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+        .withColumn("block", F.pmod(F.xxhash64("name"), F.col("blocks")).cast("int"))
+        .drop("salt")
+        .checkpoint()
+    )
     total = members.agg(F.sum("n")).head()[0] or 0
     tasks = max(parts, total // (4 * BLOCK_SHINGLES) + 1)
     wanted = members.select(F.col("first_id"), "name", "grp", "copies", "blocks", "block")
