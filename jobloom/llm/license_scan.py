@@ -2,8 +2,9 @@
 
 A signature is a regular expression over the text's words, joined by single spaces. The rules
 are every wording of ``FORMS`` for every name of ``NAMES``; each has a keyword, and is tried only
-on texts that hold it. Before that, one pass of a cheap expression passes over texts without any
-hint of a license. Of the detections of a text, one that lies inside another of the same or a
+on texts that hold it. Before that, two cheap expressions pass over texts that hold no keyword, or
+none of the words of which every wording needs one; both look at words as the rules do, whatever
+stands between them. Of the detections of a text, one that lies inside another of the same or a
 higher priority is suppressed; the labels are those of the rest.
 
 Base phrases are found apart and always count. Defined cases: a null text has no words; rows of
@@ -13,6 +14,8 @@ Only built-in functions run; detections travel as numbers, texts do not.
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 # Phrases and labels of the contract.
@@ -87,11 +90,14 @@ FORMS = (
     (1, 0.5, "subject to(?: the)? {name}" + _TAIL),
 )
 PRIORITIES = sorted({priority for priority, _, _ in FORMS})
-HINT = "(?i)licen[sc]e|spdx|terms of|subject to|released under|distributed under|available under|published under"
+KEYWORDS = sorted({keyword for _, keyword, _ in NAMES})
+#: Every wording of FORMS holds one of these words.
+NEEDED = ("license", "licence", "under", "by", "later", "subject")
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _NO_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+_BETWEEN = r"\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F"
+_WORD = rf"[^{_BETWEEN}]+"
 RESULTS = ("n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
 
 
@@ -108,14 +114,20 @@ def _spaces(text: Column) -> Column:
     return F.length(text) - F.length(F.replace(text, F.lit(" "), F.lit("")))
 
 
+def _holds(text: Column, words: Iterable[str]) -> Column:
+    """Whether one of the words stands in the text as a word."""
+    return text.rlike(rf"(?i)(?:^|[{_BETWEEN}])(?:{'|'.join(words)})(?:\z|[{_BETWEEN}])")
+
+
 def _hinted(rows: DataFrame) -> DataFrame:
-    """Texts with a hint, as words."""
+    """Texts on which some rule may hold, as words."""
     lowered = F.translate(F.col("text"), _UPPER, _LOWER)
     words = F.filter(F.split(lowered, _NO_WORD), lambda w: w != "")
     # Never null, but it keeps filters on what is derived from the words above this projection;
     # pushed below it, they would split the text again for every word.
     once = F.when(F.monotonically_increasing_id() >= 0, words)
-    return rows.where(F.col("text").rlike(HINT)).select("id", "digest", once.alias("words"))
+    may = _holds(F.col("text"), NEEDED) & _holds(F.col("text"), KEYWORDS)
+    return rows.where(may).select("id", "digest", once.alias("words"))
 
 
 def _base(hinted: DataFrame) -> DataFrame:
@@ -130,7 +142,7 @@ def _base(hinted: DataFrame) -> DataFrame:
     def places(phrase: str) -> Column:
         return F.filter(F.sequence(F.lit(0), F.size("words") - 1), lambda i: here(phrase, i))
 
-    rows = hinted.where(F.size("words") > 0).select(
+    rows = hinted.where(F.array_contains("words", "license")).select(
         "id", "digest", *[places(phrase).alias(label) for phrase, label in BASE]
     )
     every = F.concat(*[F.col(label) for _, label in BASE])
@@ -146,8 +158,7 @@ def detections(hinted: DataFrame, spark: SparkSession) -> DataFrame:
     table = spark.createDataFrame(
         rules(), "rule int, label string, keyword string, priority int, strength double, expression string"
     )
-    keywords = sorted({keyword for _, keyword, _ in NAMES})
-    held = F.array_intersect("words", F.array(*[F.lit(k) for k in keywords]))
+    held = F.array_intersect("words", F.array(*[F.lit(k) for k in KEYWORDS]))
     tried = (
         hinted.select("id", "digest", F.concat(F.lit(" "), F.array_join("words", " "), F.lit(" ")).alias("line"), F.explode(held).alias("keyword"))
         # A few hundred fixed rules.

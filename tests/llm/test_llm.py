@@ -204,6 +204,25 @@ def test_license_suppression(spark):
     assert got == expected
 
 
+WORDINGS = [
+    ("GPLv2 or any later version", "gpl-2.0", 0.8), ("It is covered by the GPL.", "gpl", 0.95), ("provided under BSD", "bsd", 0.95),
+    ("governed by the EUPL", "eupl", 0.95), ("released by MIT", "mit", 0.95), ("released\nunder the BSD", "bsd", 0.95),
+    ("under the terms\nof\tthe  Zlib", "zlib", 0.9), ("by terms of (ISC)", "isc", 0.9), ("SUBJECT-TO the Expat", "mit", 0.5),
+    ("WTFPL-licence", "wtfpl", 0.8), ("Unlicense", "", 0.0), ("éby MIT", "", 0.0), ("covered by the GPLé", "", 0.0),
+]
+
+
+def test_license_wordings(spark):
+    """No text that a rule matches is passed over before the rules."""
+    docs = spark.createDataFrame([(k, text) for k, (text, _, _) in enumerate(WORDINGS)], "doc_id bigint, text string")
+    got = {r.doc_id: (r.labels, r.score) for r in license_scan.scan(docs).collect()}
+    assert got == {k: (labels, score) for k, (_, labels, score) in enumerate(WORDINGS)}
+    for _, keyword, name in license_scan.NAMES:
+        assert re.search(rf"\b{keyword}\b", name)
+    for _, _, wording in license_scan.FORMS:
+        assert re.search("|".join(license_scan.NEEDED), wording.replace("licen[sc]e", "license"))
+
+
 def test_sharding(docs, rows, empty):
     got = sharding.balanced_shards(docs).collect()
     sizes = sorted(
