@@ -22,7 +22,12 @@ from pyspark.sql import Column, DataFrame, functions as F
 #: Labelled rows that a list is learned from, at most; they are drawn by a hash of the id.
 SAMPLE = 10_000
 #: Marked words, at most.
-LEXICON = 200
+LEXICON = 1_000
+#: Toxic rows that hold a marked word, at least. Fixed: a share of all toxic rows would pass over
+#: the words of languages with few rows.
+SUPPORT = 5
+#: Share of the rows holding a marked word that must be toxic.
+MARKED = 0.95
 #: Share of the rows a rule covers that must be bad, on the part it did not grow on.
 PRECISION = 0.97
 RULES = 24
@@ -215,7 +220,8 @@ def _marked_words(rows: DataFrame) -> list[str]:
         .agg(F.count_if("toxic").alias("t"), F.count_if(~F.col("toxic")).alias("c"))
     )
     lift = (F.col("t") / toxic) / ((F.col("c") + 1) / clean)
-    best = counts.where((F.col("t") >= max(5, toxic // 50)) & (lift >= 10)).orderBy(F.desc("t"), "word").limit(LEXICON)
+    marks = (F.col("t") >= SUPPORT) & (lift >= 10) & (F.col("t") >= MARKED * (F.col("t") + F.col("c")))
+    best = counts.where(marks).orderBy(F.desc("t"), "word").limit(LEXICON)
     return [r["word"] for r in best.collect()]
 
 

@@ -148,6 +148,26 @@ def test_quality_rules_on_held_out_labels(spark):
     assert right > 0.9
 
 
+def test_quality_recall_per_language(spark):
+    """A language with few toxic rows has its words marked as well; held-out toxic rows are found in each."""
+    draw, rows, labels = random.Random(6), [], []
+    for lang, n_toxic, n_clean, n_bad in (("big", 1000, 1600, 12), ("small", 50, 400, 16)):
+        for k in range(n_toxic + n_clean):
+            words = [f"{lang}{draw.randrange(400)}" for _ in range(60)]
+            if k < n_toxic:
+                words[10:50:10] = [f"{lang}bad{x}" for x in draw.sample(range(n_bad), 4)]
+            rows.append((len(rows), lang, " ".join(words)))
+            labels.append((len(labels), 1, int(k < n_toxic)))
+    docs = spark.createDataFrame(rows, "doc_id bigint, lang string, text string")
+    marks = spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int")
+    rules = quality_rules.learn(docs, marks.where("doc_id % 2 = 0"))
+    held = quality_rules.judge(docs, rules).join(marks.where("doc_id % 2 = 1"), "doc_id")
+    for r in held.groupBy("lang").agg({"*": "count"}).collect():
+        mine = held.where(f"lang = '{r.lang}'")
+        assert mine.where("toxic = 1 AND NOT kept").count() >= 0.9 * mine.where("toxic = 1").count()
+        assert mine.where("toxic = 0 AND kept").count() >= 0.98 * mine.where("toxic = 0").count()
+
+
 def test_quality_without_labels(spark, docs, empty):
     none = spark.createDataFrame([], "doc_id bigint, quality int, toxic int")
     assert quality_rules.learn(docs, none).rules == []
