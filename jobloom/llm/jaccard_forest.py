@@ -115,8 +115,8 @@ def _sets(frames):
         yield out[mine]
 
 
-def _links(sets: list[np.ndarray], side: np.ndarray, ratio: Fraction) -> np.ndarray:
-    """Which sets reach the ratio; between the two sides if there are two."""
+def _links(sets: list[np.ndarray], side: np.ndarray | None, ratio: Fraction) -> np.ndarray:
+    """Which sets reach the ratio; only between the two sides if the task has sides, empty or not."""
     n = len(sets)
     sizes = np.array([len(s) for s in sets], dtype=np.int64)
     if n == 2:
@@ -149,7 +149,7 @@ def _links(sets: list[np.ndarray], side: np.ndarray, ratio: Fraction) -> np.ndar
             shared += np.rint(matrix @ matrix.T).astype(np.int64)
     union = sizes[:, None] + sizes[None, :] - shared
     linked = ratio.denominator * shared >= ratio.numerator * union
-    if side.any() and not side.all():
+    if side is not None:
         linked &= side[:, None] != side[None, :]
     np.fill_diagonal(linked, False)
     return linked
@@ -163,7 +163,9 @@ def _verify(ratio: Fraction):
         rows = []
         for _, some in frame.groupby("grp", sort=False):
             names, copies = some["name"].tolist(), some["copies"].to_numpy()
-            side = (some["block"] == some["high"]).to_numpy()
+            # Links inside a block are those of the task (block, block), also where the other block is empty.
+            two = some["low"].iloc[0] != some["high"].iloc[0]
+            side = (some["block"] == some["high"]).to_numpy() if two else None
             sets = [np.frombuffer(h, dtype=np.uint64) for h in some["hashes"]]
             linked = _links(sets, side, ratio)
             count = linked @ copies
@@ -231,7 +233,7 @@ def near_duplicates(
         .withColumn("low", F.least("block", "other"))
         .withColumn("high", F.greatest("block", "other"))
         .withColumn("task", task)
-        .select("task", "name", "grp", "copies", "block", "high", "hashes")
+        .select("task", "name", "grp", "copies", "block", "low", "high", "hashes")
         .groupBy("task")
         .applyInPandas(_verify(ratio), "name string, links bigint, peer string")
         .checkpoint()

@@ -292,6 +292,17 @@ def test_jaccard_forest(docs, rows, empty, monkeypatch):
     assert jaccard_forest.near_duplicates(empty).count() == 0
 
 
+def test_jaccard_empty_blocks(spark, monkeypatch):
+    """Few long sets in several blocks, some of them empty: each link counts once."""
+    monkeypatch.setattr(jaccard_forest, "BLOCK_SHINGLES", 50)
+    rows = []
+    for k in range(8):
+        words = [f"p{k}w{x}" for x in range(100)]
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(words[:-1] + ["end"]))]
+    got = jaccard_forest.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert sorted((r.doc_id, r.class_id, r.n_links) for r in got) == [(k, k - k % 2, 1) for k in range(16)]
+
+
 def test_prefix_length():
     assert jaccard_forest.prefix_length(0.8, 20, 8, 0.9999) == 4
     assert jaccard_forest.prefix_length(0.8, 1, 8, 0.9999) == 1
