@@ -1,9 +1,13 @@
-"""Five stages from raw documents to tokens; each reads what the one before wrote."""
+"""Five stages from raw documents to tokens; each reads what the one before wrote.
+
+Every stage decides per row. Rows are told apart by id and text, a null id being an id like
+others; rows that share both fare alike, but that near_copies leaves one of them.
+"""
 
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from jobloom.llm import byte_bpe, decontamination, jaccard_forest, quality_rules, suffix_dedup
 from jobloom.session import new_path
@@ -15,11 +19,29 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality_rules.judge(docs, rules).where("kept").select(docs.columns)
 
 
+def _same(id: str, digest: str) -> Column:
+    return F.col("doc_id").eqNullSafe(F.col(id)) & (jaccard_forest.text_digest() == F.col(digest))
+
+
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class stays: the one with the smallest id."""
-    classes = jaccard_forest.near_duplicates(docs)
-    later = classes.where("NOT doc_id <=> class_id").select("doc_id").distinct()
-    return docs.join(later, "doc_id", "left_anti").select(docs.columns)
+    """One row of each class stays: the first by id, those without an id last, then by a digest of the text.
+
+    Of rows that share id and text the first by the other columns stays. Rows without words are in no class.
+    """
+    found = jaccard_forest.classed_rows(docs).where("n_shingles > 0")
+    later = ~(F.col("doc_id").eqNullSafe(F.col("class_id")) & (F.col("digest") == F.col("class_digest")))
+    marks = (
+        found.groupBy(F.col("doc_id").alias("__id"), F.col("digest").alias("__digest"))
+        .agg(F.max(later).alias("__later"), F.count("*").alias("__rows"))
+        .where("__later OR __rows > 1")
+        .select("__id", "__digest", "__later")
+        .checkpoint()
+    )
+    marked = docs.join(marks, _same("__id", "__digest"), "left")
+    others = [F.col(c) for c in docs.columns if c not in ("doc_id", "text")]
+    order = Window.partitionBy("__id", "__digest").orderBy(*(others or [F.col("text")]))
+    once = marked.where("NOT __later").withColumn("__row", F.row_number().over(order)).where("__row = 1")
+    return marked.where("__later IS NULL").select(docs.columns).union(once.select(docs.columns))
 
 
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,8 +55,9 @@ def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
-    found = decontamination.contained(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return docs.join(found.select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
+    found = decontamination.contained_rows(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    held = found.select(F.col("doc_id").alias("__id"), F.col("digest").alias("__digest")).distinct()
+    return docs.join(held, _same("__id", "__digest"), "left_anti").select(docs.columns)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

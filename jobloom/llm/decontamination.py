@@ -32,6 +32,10 @@ CANDIDATE = 0.5
 BLOCK = 500_000
 
 
+def text_digest(text: str = "text") -> Column:
+    return F.xxhash64(F.coalesce(F.col(text), F.lit("")))
+
+
 def shingles(text: str | Column) -> Column:
     """The distinct hashed shingles of a text; an empty array if it has fewer than five words."""
     text = F.col(text) if isinstance(text, str) else text
@@ -71,13 +75,21 @@ def contained(
     item_id: str = "item_id", item_text: str = "text", threshold: float = THRESHOLD,
 ) -> DataFrame:
     """(doc_id, item_id, n_shared, n_item) for every document that holds an item."""
+    return contained_rows(docs, items, doc_id, text, item_id, item_text, threshold).drop("digest")
+
+
+def contained_rows(
+    docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text",
+    item_id: str = "item_id", item_text: str = "text", threshold: float = THRESHOLD,
+) -> DataFrame:
+    """Like ``contained``, with ``digest``, which tells the texts of one id apart."""
     queries = _items(items, item_id, item_text)
     total = queries.agg(F.sum("n_item")).head()[0] or 0
     blocks = int(total) // BLOCK + 1
     block = F.pmod(F.xxhash64("item_id"), F.lit(blocks))
     # As many rows as blocks.
     sizes = dict(queries.groupBy(block).agg(F.sum("n_item")).collect()) if blocks > 1 else {0: total}
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("digest"), F.col(text).alias("text"))
+    rows = docs.select(F.col(doc_id).alias("doc_id"), text_digest(text).alias("digest"), F.col(text).alias("text"))
     found = [
         _block(rows, queries.where(block == k) if blocks > 1 else queries, threshold, sizes.get(k, 0) <= 2 * BLOCK)
         for k in range(blocks)
@@ -133,5 +145,5 @@ def _block(rows: DataFrame, queries: DataFrame, threshold: float, small: bool) -
     return (
         exact.union(checked)
         .where(F.col("n_shared") >= F.lit(threshold) * F.col("n_item") - 1e-9)
-        .select("doc_id", "item_id", F.col("n_shared").cast("bigint").alias("n_shared"), F.col("n_item").cast("bigint").alias("n_item"))
+        .select("doc_id", "digest", "item_id", F.col("n_shared").cast("bigint").alias("n_shared"), F.col("n_item").cast("bigint").alias("n_item"))
     )

@@ -14,6 +14,7 @@ of a spanning forest; components over those edges are the classes.
 Defined cases: a text of one to four words has one shingle, all its words; a text without words
 (null too) is linked to nothing. Repeated rows count as links of each other. ``class_id`` is the
 smallest id of the class, null if none of it has an id. Texts of any length are hashed whole.
+Rows are told apart by id and a digest of the text.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from fractions import Fraction
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from jobloom.llm.components import components
 from jobloom.session import shared_folder
@@ -96,10 +97,10 @@ def _sign(trees: int, length: int):
     def run(frames):
         for frame in frames:
             rows = []
-            for key, text in zip(frame["doc_id"], frame["text"], strict=True):
+            for key, digest, text in zip(frame["doc_id"], frame["digest"], frame["text"], strict=True):
                 found = shingles(text)
-                rows.append((key, _name(found), len(found), prefixes(found) if len(found) else []))
-            out = pd.DataFrame(rows, columns=["doc_id", "name", "n", "paths"])
+                rows.append((key, digest, _name(found), len(found), prefixes(found) if len(found) else []))
+            out = pd.DataFrame(rows, columns=["doc_id", "digest", "name", "n", "paths"])
             yield out.astype({"doc_id": "Int64"})
 
     return run
@@ -181,21 +182,40 @@ def _verify(ratio: Fraction):
     return run
 
 
+def text_digest(text: str = "text") -> Column:
+    return F.xxhash64(F.coalesce(F.col(text), F.lit("")))
+
+
 def near_duplicates(
     docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     threshold: float = THRESHOLD, trees: int = TREES, depth: int = DEPTH, recall: float = RECALL,
 ) -> DataFrame:
     """Per row: ``doc_id``, ``class_id``, ``n_links`` (rows within the threshold), ``n_shingles``."""
+    found = classed_rows(docs, doc_id, text, threshold, trees, depth, recall)
+    return found.select("doc_id", "class_id", "n_links", "n_shingles")
+
+
+def classed_rows(
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
+    threshold: float = THRESHOLD, trees: int = TREES, depth: int = DEPTH, recall: float = RECALL,
+) -> DataFrame:
+    """Like ``near_duplicates``, with ``digest`` of the row's text and ``class_digest``.
+
+    ``class_id`` and ``class_digest`` name the first row of the class: by id, those without one
+    last, then by digest.
+    """
     spark = docs.sparkSession
     shared_folder(spark)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ratio = Fraction(threshold).limit_denominator(1000)
     length = prefix_length(threshold, trees, depth, recall)
-    rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
-    signed = rows.mapInPandas(_sign(trees, length), "doc_id bigint, name string, n bigint, paths array<bigint>").checkpoint()
+    rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), text_digest(text).alias("digest"), F.col(text).alias("text"))
+    signed = rows.mapInPandas(
+        _sign(trees, length), "doc_id bigint, digest bigint, name string, n bigint, paths array<bigint>"
+    ).checkpoint()
+    row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest")
     classes = signed.where("n > 0").groupBy("name").agg(
-        F.min("doc_id").alias("first_id"), F.count("*").alias("copies"),
-        F.max("n").alias("n"), F.min("paths").alias("paths"),
+        F.min(row).alias("first"), F.count("*").alias("copies"), F.max("n").alias("n"), F.min("paths").alias("paths"),
     )
     paths = classes.select("name", F.explode("paths").alias("path"))
     least = paths.groupBy("path").agg(F.min("name").alias("peer"), F.count("*").alias("k")).where("k > 1")
@@ -218,7 +238,7 @@ def near_duplicates(
     )
     total = members.agg(F.sum("n")).head()[0] or 0
     tasks = max(parts, total // (4 * BLOCK_SHINGLES) + 1)
-    wanted = members.select(F.col("first_id"), "name", "grp", "copies", "blocks", "block")
+    wanted = members.select(F.col("first.doc_id").alias("first_id"), "name", "grp", "copies", "blocks", "block")
     sets = (
         rows.join(wanted, F.col("doc_id").eqNullSafe(F.col("first_id")))
         .select("text", "name", "grp", "copies", "blocks", "block")
@@ -245,14 +265,16 @@ def near_duplicates(
         .join(links, "name", "left")
         .withColumn("root", F.coalesce("root", "name"))
     )
-    heads = named.groupBy("root").agg(F.min("first_id").alias("class_id"))
+    heads = named.groupBy("root").agg(F.min("first").alias("head"))
     named = named.join(heads, "root").select(
-        "name", "class_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")
+        "name", F.col("head.doc_id").alias("class_id"), F.col("head.digest").alias("class_digest"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")
     )
-    found = signed.select("doc_id", "name", F.col("n").alias("n_shingles")).join(named, "name", "left")
+    found = signed.select("doc_id", "digest", "name", F.col("n").alias("n_shingles")).join(named, "name", "left")
     return found.select(
         "doc_id",
+        "digest",
         F.when(F.col("n_shingles") > 0, F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id"),
+        F.when(F.col("n_shingles") > 0, F.col("class_digest")).otherwise(F.col("digest")).alias("class_digest"),
         F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"),
         "n_shingles",
     )

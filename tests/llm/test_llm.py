@@ -499,3 +499,36 @@ def test_pipeline(spark):
     bpe = byte_bpe.byte_bpe(VOCABULARY)
     for k, ids in zip(left, bpe.ids(list(left.values())), strict=True):
         assert out[k].n_tokens == len(ids)
+
+
+def test_pipeline_rows(spark, tmp_path):
+    """Repeated rows, null ids and one id with two texts, stage by stage."""
+    import corpus_pipeline
+
+    words = {c: [f"{c}{k}" for k in range(120)] for c in "abcdefgh"}
+    text = {c: " ".join(w) for c, w in words.items()}
+    near = {c: " ".join(w[:-1] + ["end"]) for c, w in words.items()}
+    item = " ".join(f"item{k}" for k in range(30))
+    rows = [
+        (1, text["a"], "x"), (1, text["a"], "y"), (1, text["a"], "y"), (2, near["a"], "x"),
+        (None, text["b"], "x"), (None, near["b"], "x"), (None, text["c"], "x"), (3, near["c"], "x"),
+        (5, near["d"], "x"), (5, text["e"], "x"), (4, text["d"], "x"), (6, "", "x"), (6, "", "x"), (None, None, "x"),
+    ]
+    ddl = "doc_id bigint, text string, source string"
+    marks = [(1, 1, 0), (5, 1, 0)]
+    spark.createDataFrame(marks, "doc_id bigint, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, item)], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+
+    def left(stage, some):
+        return sorted_rows(tuple(r) for r in stage(spark, spark.createDataFrame(some, ddl), str(tmp_path)).collect())
+
+    assert left(corpus_pipeline.quality, rows) == sorted_rows(r for r in rows if r[1])
+    got = left(corpus_pipeline.near_copies, rows)
+    sure = [(1, text["a"], "x"), (3, near["c"], "x"), (5, text["e"], "x"), (4, text["d"], "x"), (6, "", "x"), (6, "", "x"), (None, None, "x")]
+    of_b = [r for r in got if r[1] in (text["b"], near["b"])]
+    assert len(of_b) == 1 and got == sorted_rows(sure + of_b)
+    # Only a smaller id takes a passage away: rows of one id, or of none, spare each other.
+    some = [(1, text["f"], "x"), (1, text["f"], "x"), (2, text["f"], "x"), (None, text["g"], "x"), (None, text["g"], "x"), (None, text["f"], "x")]
+    assert left(corpus_pipeline.passages, some) == sorted_rows([some[0], some[1], some[3], some[4]])
+    some = [(7, text["h"], "x"), (7, item, "x"), (7, item, "x"), (None, "so " + item, "x"), (None, text["g"], "x"), (None, text["g"], "x"), (None, None, "x")]
+    assert left(corpus_pipeline.decontaminate, some) == sorted_rows([some[0], *some[4:]])
