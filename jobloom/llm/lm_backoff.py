@@ -1,7 +1,7 @@
 """Stupid-backoff scores of documents under the n-gram counts of all the others.
 
 Documents are spread over blocks by a hash. A block sends each of its distinct n-grams once, with
-its count there, to the bucket of the n-gram's hash; so a frequent n-gram costs a bucket one entry
+its count there, to the bucket of the n-gram's hash, those of all lengths in one row; so a frequent n-gram costs a bucket one entry
 per block, however many documents hold it. Buckets add up the counts: the count table, partitioned
 by hash. They answer each block in the order in which it asked, the block joins the totals to the
 n-grams of its documents and sums the scores of each. What a block asks is a function of its set
@@ -24,7 +24,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-ORDER = 2
+ORDER = 3
 ALPHA = 0.4
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -78,34 +78,38 @@ def _by_bucket(keys: np.ndarray, buckets: int) -> Iterator[slice]:
 def _ask(order: int, buckets: int):
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         block = int(frame["block"].iloc[0])
-        rows = []
-        for n, (keys, counts) in enumerate(_counted(frame["text"], order), 1):
+        sent: list[tuple] = [([], []) for _ in range(buckets)]
+        for keys, counts in _counted(frame["text"], order):
             for bucket, part in enumerate(_by_bucket(keys, buckets)):
-                rows.append((bucket, block, n, keys[part].tobytes(), counts[part].astype("<u4").tobytes()))
-        return pd.DataFrame(rows, columns=["bucket", "block", "n", "keys", "counts"])
+                sent[bucket][0].append(keys[part].tobytes())
+                sent[bucket][1].append(counts[part].astype("<u4").tobytes())
+        rows = [(bucket, block, *both) for bucket, both in enumerate(sent)]
+        return pd.DataFrame(rows, columns=["bucket", "block", "keys", "counts"])
 
     return run
 
 
 def _answer(frame: pd.DataFrame) -> pd.DataFrame:
     """Totals for each block, in the order of its keys; with the bucket's number of words."""
-    rows = []
-    for n, some in frame.groupby("n"):
-        keys = np.concatenate([np.frombuffer(k, dtype=np.uint64) for k in some["keys"]])
-        counts = np.concatenate([np.frombuffer(c, dtype="<u4") for c in some["counts"]]).astype(np.int64)
+    totals: list[list[bytes]] = [[] for _ in range(len(frame))]
+    words = 0
+    for n in range(len(frame["keys"].iloc[0])):
+        keys = np.concatenate([np.frombuffer(k[n], dtype=np.uint64) for k in frame["keys"]])
+        counts = np.concatenate([np.frombuffer(c[n], dtype="<u4") for c in frame["counts"]]).astype(np.int64)
         by = np.argsort(keys, kind="stable")
-        totals = np.empty(len(keys), dtype=np.int64)
+        found = np.empty(len(keys), dtype=np.int64)
         if len(keys):
             sorted_keys = keys[by]
             first = np.flatnonzero(np.concatenate([[True], sorted_keys[1:] != sorted_keys[:-1]]))
-            totals[by] = np.repeat(np.add.reduceat(counts[by], first), np.diff(np.append(first, len(keys))))
-        words = int(counts.sum()) if n == 1 else 0
+            found[by] = np.repeat(np.add.reduceat(counts[by], first), np.diff(np.append(first, len(keys))))
+        if n == 0:
+            words = int(counts.sum())
         at = 0
-        for bucket, block, keys_ in zip(some["bucket"], some["block"], some["keys"], strict=True):
-            size = len(keys_) // 8
-            rows.append((block, bucket, n, totals[at : at + size].astype("<u4").tobytes(), words))
+        for mine, asked in zip(totals, frame["keys"], strict=True):
+            size = len(asked[n]) // 8
+            mine.append(found[at : at + size].astype("<u4").tobytes())
             at += size
-    return pd.DataFrame(rows, columns=["block", "bucket", "n", "totals", "words"])
+    return pd.DataFrame({"block": frame["block"], "bucket": frame["bucket"], "totals": totals, "words": words})
 
 
 def _score(order: int, alpha: float):
@@ -113,11 +117,11 @@ def _score(order: int, alpha: float):
         if not len(docs):
             return pd.DataFrame({"doc_id": pd.array([], dtype="Int64"), "n_words": [], "score": []})
         asked = [keys for keys, _ in _counted(docs["text"], order)]
-        answers = answers.sort_values(["n", "bucket"])
+        answers = answers.sort_values("bucket")
         words = int(answers["words"].sum())
         totals = [
-            np.frombuffer(b"".join(answers["totals"][answers["n"] == n]), dtype="<u4").astype(np.int64)
-            for n in range(1, order + 1)
+            np.frombuffer(b"".join(t[n] for t in answers["totals"]), dtype="<u4").astype(np.int64)
+            for n in range(order)
         ]
         rows = []
         for key, text in zip(docs["doc_id"], docs["text"], strict=True):
@@ -158,10 +162,10 @@ def backoff_scores(
     rows = docs.select(spread.alias("block"), F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
     rows = rows.repartition(parts, "block")
     asked = rows.groupBy("block").applyInPandas(
-        _ask(order, parts), "bucket int, block int, n int, keys binary, counts binary"
+        _ask(order, parts), "bucket int, block int, keys array<binary>, counts array<binary>"
     )
     answers = asked.groupBy("bucket").applyInPandas(
-        _answer, "block int, bucket int, n int, totals binary, words bigint"
+        _answer, "block int, bucket int, totals array<binary>, words bigint"
     )
     return (
         rows.groupBy("block")

@@ -453,6 +453,16 @@ def test_lm_backoff(docs, rows, order, empty):
     assert lm_backoff.backoff_scores(empty, order).count() == 0
 
 
+def test_lm_backoff_query(spark):
+    """The registered query scores with two words of context."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    got, longer, shorter = (
+        {r.doc_id: r.score and round(r.score, 9) for r in found.collect()}
+        for found in (queries.op9_lm_backoff(spark, SF), lm_backoff.backoff_scores(docs, 3), lm_backoff.backoff_scores(docs, 2))
+    )
+    assert got == longer and got != shorter
+
+
 def test_pipeline(spark):
     """The stages against what the operators' own plain versions leave."""
     import corpus_pipeline
