@@ -107,13 +107,17 @@ def _sign(trees: int, length: int):
 
 
 def _sets(frames):
-    """The wanted sets, as bytes."""
+    """The wanted sets, as bytes, each once a task however often its row is repeated."""
+    sent: set[str] = set()
     for frame in frames:
+        frame = frame[~frame["name"].isin(sent)].drop_duplicates(["name", "text"])
         found = [shingles(t) for t in frame["text"]]
         mine = [_name(f) == name for f, name in zip(found, frame["name"], strict=True)]
         out = frame.drop(columns=["text"])
         out["hashes"] = [f.tobytes() for f in found]
-        yield out[mine]
+        out = out[mine]
+        sent.update(out["name"])
+        yield out
 
 
 def _links(sets: list[np.ndarray], side: np.ndarray | None, ratio: Fraction) -> np.ndarray:
@@ -238,9 +242,9 @@ def classed_rows(
     )
     total = members.agg(F.sum("n")).head()[0] or 0
     tasks = max(parts, total // (4 * BLOCK_SHINGLES) + 1)
-    wanted = members.select(F.col("first.doc_id").alias("first_id"), "name", "grp", "copies", "blocks", "block")
+    wanted = members.select(F.col("first.doc_id").alias("first_id"), F.col("first.digest").alias("first_digest"), "name", "grp", "copies", "blocks", "block")
     sets = (
-        rows.join(wanted, F.col("doc_id").eqNullSafe(F.col("first_id")))
+        rows.join(wanted, F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("digest") == F.col("first_digest")))
         .select("text", "name", "grp", "copies", "blocks", "block")
         .mapInPandas(_sets, "name string, grp string, copies bigint, blocks int, block int, hashes binary")
     )

@@ -303,6 +303,26 @@ def test_jaccard_empty_blocks(spark, monkeypatch):
     assert sorted((r.doc_id, r.class_id, r.n_links) for r in got) == [(k, k - k % 2, 1) for k in range(16)]
 
 
+def test_jaccard_fetch(spark, monkeypatch):
+    """Texts of rows without an id meet their own class, not every one."""
+    met, plain = spark.sparkContext.accumulator(0), jaccard_forest._sets
+
+    def counted(frames):
+        def seen():
+            for frame in frames:
+                met.add(len(frame))
+                yield frame
+
+        return plain(seen())
+
+    monkeypatch.setattr(jaccard_forest, "_sets", counted)
+    rows = [(None, " ".join(f"p{k}w{x}" for x in range(100)) + end) for k in range(20) for end in (" a", " b", " b")]
+    got = jaccard_forest.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert {(r.doc_id, r.class_id, r.n_links) for r in got} == {(None, None, 2)} and len(got) == 60
+    # A checkpoint may run its tasks twice.
+    assert 0 < met.value <= 120
+
+
 def test_prefix_length():
     assert jaccard_forest.prefix_length(0.8, 20, 8, 0.9999) == 4
     assert jaccard_forest.prefix_length(0.8, 1, 8, 0.9999) == 1
