@@ -25,9 +25,9 @@ WORDS = 5
 THRESHOLD = 0.8
 #: Shingles in the sketch of an item.
 SKETCH = 48
-#: A candidate has this share of the sketch; true matches of long items fall short of it about
-#: once in 10**9. Short items are sketched whole, so the threshold itself applies.
-CANDIDATE = 0.5
+#: A candidate has this share of the sketch, 20 of 48; a true match of a long item at the threshold
+#: falls short of it about once in 10**9 (binomial: 1.1e-9). Short items are sketched whole, so the threshold itself applies.
+CANDIDATE = 0.4
 #: Shingles of items that are sent to all tasks at once (about 16 bytes each).
 BLOCK = 500_000
 

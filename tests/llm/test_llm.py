@@ -444,6 +444,13 @@ def test_decontamination(spark, docs, rows, empty, monkeypatch, sketch):
     assert decontamination.contained(every, queries_.limit(0)).count() == 0
 
 
+def test_decontamination_misses():
+    """A document that holds just the threshold of a long item is a candidate but for once in 10**9."""
+    least = math.ceil(decontamination.CANDIDATE * decontamination.SKETCH - 1e-9)
+    size, share = decontamination.SKETCH, decontamination.THRESHOLD
+    assert sum(math.comb(size, k) * share**k * (1 - share) ** (size - k) for k in range(least)) < 2e-9
+
+
 @pytest.mark.parametrize("order", [1, 2, 3])
 def test_lm_backoff(docs, rows, order, empty):
     counts = [collections.Counter() for _ in range(order)]
