@@ -1,9 +1,11 @@
-"""Near-duplicate join on word shingles by a MinHash LSH forest, with exact verification.
-
-A text is the set of its five-word shingles. Each tree of the forest holds the signatures of all
-sets as paths of MinHash values; two sets meet in a tree if their paths share a prefix. Prefixes
-start at the full depth and are shortened until the chance that a pair at the threshold meets
-in some tree reaches the target recall. What meets is verified exactly on the sets.
+"""Near-duplicate join on word shingles by MinHash bands, with exact verification.
+
+A text is the set of its five-word shingles. Fixed bands replace an LSH forest: no tree of sorted
+paths is kept. Of a tree of at most ``depth`` MinHash values only a prefix is signed, hashed to one
+key, and two sets meet if some key is equal. One length serves all trees: the longest at which the
+chance that a pair at the threshold meets in some tree reaches the target recall. A forest that
+shortens its prefixes to that target ends at the same length, and longer prefixes meet no further
+pairs. What meets is verified exactly on the sets.
 
 Nothing emits pairs. Equal sets are one class from the start. Sets that meet are joined to
 candidate groups by components over (set, smallest set of the prefix) edges; each group's sets
