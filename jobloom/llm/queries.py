@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from jobloom.llm import (
-    byte_bpe, decontamination, html_mincut, jaccard_forest, license_scan, lm_backoff, quality_rules, sharding,
-    suffix_dedup, token_counts,
+    byte_bpe, decontamination, html_mincut, importance, jaccard_forest, license_scan, lm_backoff, nn_descent,
+    quality_rules, sharding, spelling, suffix_dedup, token_counts,
 )
 
 
@@ -82,11 +82,24 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variant_groups(_table(spark, sf_dir, "documents"))
+
+
+def op12_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nn_descent.near_vectors(_table(spark, sf_dir, "embeddings"))
+
+
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_suffix_dedup, op2_quality_rules, op3_license_scan, op4_sharding, op5_jaccard_forest, op6_html_mincut,
-        op7_token_counts, op8_decontamination, op9_lm_backoff, op10_byte_bpe,
+        op7_token_counts, op8_decontamination, op9_lm_backoff, op10_byte_bpe, op11_spelling_variants,
+        op12_nn_descent, op13_importance_resampling,
     )
 }
 
