@@ -26,10 +26,10 @@ from jobloom.catalog.base import (
 from jobloom.catalog.columns import LEVEL_SQL, WS, company_sql, place_sql
 from jobloom.catalog.reports import STATS
 from jobloom.functions import values as V
-from jobloom.plans.runs import collect_sources, export_run, score_with_query
+from jobloom.plans.runs import export_run, ingest_run
 from jobloom.schema import POSTING_COLUMNS
 from jobloom.session import new_path
-from jobloom.sources import files
+from jobloom.sources import files, store
 from jobloom.sources.boards import CONFIG, boards_dim
 from jobloom.sources.feeds import read_feed_atom, read_feed_rss
 from jobloom.sources.pages import extract_postings_html
@@ -593,18 +593,12 @@ INGEST_TERMS = ["django", "fastapi", "flask", "python", "python developer", "rem
                 "telecommute", "wfh", "work from home"]
 
 
-def _ingested(spark, sf):
-    """The whole table as two providers and a feed, scored for one query text."""
-    rows = postings(spark, sf)
+def _payloads(rows):
     reed = _object(results=F.array(_object(
         jobId=F.col("key"), jobTitle=F.col("title"), employerName=F.col("company"),
         jobDescription=F.col("description"), jobUrl=F.col("link"), date=F.lit(""),
     )))
-    payloads = {"reed": _raw(rows, reed), "github-jobs-api": _raw(rows, F.array(_usual()))}
-    query_row = table(spark, sf, "region").where(F.col("r_regionkey") == 0).select(
-        F.lit("Python, REMOTE; c#").alias("text")
-    )
-    return score_with_query(collect_sources(payloads), query_row)
+    return {"reed": _raw(rows, reed), "github-jobs-api": _raw(rows, F.array(_usual()))}
 
 
 @query(
@@ -617,9 +611,14 @@ def _ingested(spark, sf):
     ),
 )
 def ingest(spark, sf):
-    path = new_path(spark, "store")
-    stored = files.store_postings(spark, _ingested(spark, sf), None, path)
-    return stored.select("id", "source", "relevance")
+    """The whole table as two providers, in two overlapping runs into one store."""
+    path, rows = new_path(spark, "store"), postings(spark, sf)
+    query_row = table(spark, sf, "region").where(F.col("r_regionkey") == 0).select(
+        F.lit("Python, REMOTE; c#").alias("text")
+    )
+    for run in (rows.where(F.col("key") % 3 < 2), rows.where(F.col("key") % 3 > 0)):
+        ingest_run(spark, query_row, _payloads(run), path, buckets=16)
+    return store.read_version(spark, path).select("id", "source", "relevance")
 
 
 @query(
@@ -629,10 +628,10 @@ def ingest(spark, sf):
     ),
 )
 def export(spark, sf):
-    store, out = new_path(spark, "store"), new_path(spark, "export")
-    files.write_store(_storable(full_postings(spark, sf)), store)
+    path, out = new_path(spark, "store"), new_path(spark, "export")
+    store.upsert(spark, path, full_postings(spark, sf), buckets=16)
     now = F.lit(AS_OF).cast("timestamp")
-    csv_path, _, json_path = export_run(spark, store, out, ["CSV", "json"], now)
+    csv_path, _, json_path = export_run(spark, path, out, ["CSV", "json"], now)
     schema = ", ".join(f"`{name}` string" for name in V.CSV_HEADER)
     read = spark.read.schema(schema).options(**files.CSV_FORM).csv(csv_path)
     lines = spark.read.schema("id string, title string").json(json_path)

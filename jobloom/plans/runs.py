@@ -10,13 +10,8 @@ from pyspark.sql import functions as F
 from jobloom.functions.relevance import relevance_ratio
 from jobloom.operators.merge import union_sources
 from jobloom.operators.querytext import process_query
-from jobloom.sources.files import (
-    read_store,
-    store_postings,
-    write_postings_csv,
-    write_postings_json,
-    write_stats_csv,
-)
+from jobloom.sources import store
+from jobloom.sources.files import write_postings_csv, write_postings_json, write_stats_csv
 from jobloom.sources.providers import provider
 
 
@@ -47,25 +42,28 @@ def ingest_run(
     spark: SparkSession,
     query: DataFrame,
     payloads: Mapping[str, DataFrame],
-    new_path: str,
+    store_path: str,
     others: Sequence[DataFrame] = (),
-    old_path: str | None = None,
-) -> DataFrame:
-    """Map, unite, score and merge into a new version of the store."""
+    buckets: int = store.BUCKETS,
+) -> int:
+    """Map, unite, score and merge into the store; the version this made.
+
+    Only the buckets that the found postings fall into are rewritten.
+    """
     found = score_with_query(collect_sources(payloads, others), query)
-    return store_postings(spark, found, old_path, new_path)
+    return store.upsert(spark, store_path, found, buckets)
 
 
 def export_run(
     spark: SparkSession, store_path: str, out_path: str, formats: Sequence[str], as_of: Column
 ) -> list[str]:
-    """Write the store in each format; no rows or an unknown format is an error."""
+    """Write the last version of the store in each format; no rows or an unknown format is an error."""
     writers = {"csv": write_postings_csv, "json": write_postings_json}
     wanted = [f.lower() for f in formats]
     unknown = [f for f in wanted if f not in writers]
     if unknown:
         raise ValueError(f"unsupported export format: {unknown[0]}")
-    postings = read_store(spark, store_path)
+    postings = store.read_version(spark, store_path)
     if postings.isEmpty():
         raise ValueError("no jobs found to export")
     paths = []
