@@ -15,6 +15,8 @@ from jobloom.catalog.base import (
 )
 from jobloom.operators import ranking as K
 from jobloom.operators.stats import count_by
+from jobloom.session import new_path
+from jobloom.sources.ordered import ordered_page_info, read_page, write_ordered
 
 
 @query(
@@ -103,6 +105,36 @@ def page_by_rank(spark, sf):
     )
 
 
+@query(
+    "page_by_index",
+    on_offers(
+        """SELECT l_orderkey, l_linenumber, salary, rank FROM (SELECT *,
+             row_number() OVER (ORDER BY salary DESC, l_orderkey, l_linenumber) AS rank FROM offers)
+           WHERE rank > 4995 AND rank <= 5000"""
+    ),
+)
+def page_by_index(spark, sf):
+    """Page 1,000 of all offers, kept in the order of the salary."""
+    rows = offers(spark, sf).select("l_orderkey", "l_linenumber", "salary")
+    path = new_path(spark, "ordered")
+    write_ordered(rows, [F.desc("salary"), F.asc("l_orderkey"), F.asc("l_linenumber")], path)
+    return read_page(spark, path, limit=5, offset=4995)
+
+
+@query(
+    "page_info_by_index",
+    on_postings(
+        """SELECT n AS total, CAST(3 AS BIGINT) AS page, CAST(40 AS BIGINT) AS per_page,
+             CAST(ceil(n / 40.0) AS BIGINT) AS total_pages, n - 80 >= 40 AND n > 120 AS has_more
+           FROM (SELECT count(*) AS n FROM postings)"""
+    ),
+)
+def page_info_by_index(spark, sf):
+    path = new_path(spark, "ordered")
+    write_ordered(full_postings(spark, sf).select("key", "scraped_at", "relevance"), K.search_order("key"), path)
+    return ordered_page_info(spark, path, limit=40, offset=80)
+
+
 @query(
     "page_info",
     on_postings(

@@ -34,6 +34,17 @@ def dedup(spark, sf):
     return _plain(found, "scraped_at")
 
 
+@query(
+    "stream_dedup_both",
+    on_postings("SELECT DISTINCT lower(title) AS title, lower(company) AS company FROM postings"),
+)
+def dedup_both(spark, sf):
+    """Every posting arrives twice, and its title and company under many ids."""
+    once, again = (_postings(spark, sf).select("id", "title", "company", "scraped_at") for _ in range(2))
+    found = X.run_available(X.stream_dedup_both(once.unionByName(again)), "dedup-both")
+    return found.select(F.lower("title").alias("title"), F.lower("company").alias("company"))
+
+
 @query(
     "stream_daily_counts",
     on_postings(
@@ -56,7 +67,9 @@ def daily(spark, sf):
     ),
 )
 def recent(spark, sf):
-    return _plain(X.run_updates(X.stream_recent(_postings(spark, sf)), "recent", ["as_of"]), "as_of")
+    """Each posting is counted in one hour; the hours are added up."""
+    panes = X.run_updates(X.stream_hours(_postings(spark, sf)), "hours", ["hour_end"])
+    return _plain(X.recent_from_hours(panes), "as_of")
 
 
 @query(

@@ -18,6 +18,8 @@ from jobloom.functions import values as V
 from jobloom.operators import querytext as K
 from jobloom.operators.frontier import crawl_frontier
 from jobloom.operators.matching import match_queries, score_many, search_many
+from jobloom.operators.substrings import build_index, count_indexed, search_indexed
+from jobloom.session import new_path
 
 
 def _processed(spark, sf):
@@ -170,6 +172,47 @@ def search_each(spark, sf):
     )
 
 
+def _index(spark, postings):
+    path = new_path(spark, "substrings")
+    build_index(postings, path)
+    return path
+
+
+@query(
+    "match_counts",
+    on_queries(
+        """SELECT query_id, CAST(count(DISTINCT key) AS BIGINT) AS n FROM processed LEFT JOIN (
+             SELECT query_id, key FROM terms JOIN t ON contains(title, term)
+               OR contains(description, term) OR contains(words, term)) USING (query_id) GROUP BY query_id""",
+        POSTINGS,
+        _PAIRS,
+    ),
+)
+def match_counts(spark, sf):
+    """The postings that match each query, counted by the substring index."""
+    rows = _postings(spark, sf)
+    return count_indexed(_index(spark, rows), _processed(spark, sf), rows)
+
+
+@query(
+    "search_indexed",
+    on_queries(
+        """SELECT query_id, search_rank, key, round(relevance, 9) AS relevance FROM (SELECT *, row_number() OVER (
+             PARTITION BY query_id ORDER BY relevance DESC, key) AS search_rank FROM (
+               SELECT query_id, key, CAST(sum(1 + CAST(contains(title, term) AS INTEGER)) AS DOUBLE)
+                 / max(n_terms) AS relevance
+               FROM terms JOIN t ON contains(both_texts, term) GROUP BY query_id, key)) WHERE search_rank <= 10""",
+        POSTINGS,
+        _PAIRS,
+    ),
+)
+def search_by_index(spark, sf):
+    """The best postings of each query by the ratio, from the substring index."""
+    rows = _postings(spark, sf)
+    found = search_indexed(_index(spark, rows), _processed(spark, sf), rows, 10, "ratio")
+    return found.withColumn("relevance", F.round("relevance", 9))
+
+
 BOARDS = [
     ("alpha", "scraping", "https://alpha.example", "/find",
      {"q": "{keywords}", "at": "{location}", "kind": "full"}, 75),

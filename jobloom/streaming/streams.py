@@ -10,7 +10,9 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from jobloom.operators.calls import WINDOWS, alert_aggregates, call_aggregates, over_quota
+from jobloom.operators.merge import folded
 from jobloom.operators.ranking import first_per_key
+from jobloom.operators.sketches import sketch_aggregates
 from jobloom.session import new_path
 
 
@@ -29,6 +31,18 @@ def stream_dedup(postings: DataFrame, key: str = "id", delay: str = "7 days") ->
     return postings.withWatermark("scraped_at", delay).dropDuplicatesWithinWatermark([key])
 
 
+def stream_dedup_both(
+    postings: DataFrame, key: str = "id", delay: str = "7 days", title: str = "title", company: str = "company"
+) -> DataFrame:
+    """The first posting of each id, and of those the first of each title and company in any case.
+
+    Each rule keeps its keys for the delay only; the second sees what the first lets through.
+    """
+    by_id = postings.withWatermark("scraped_at", delay).dropDuplicatesWithinWatermark([key])
+    named = by_id.withColumns({"_title": folded(F.col(title)), "_company": folded(F.col(company))})
+    return named.dropDuplicatesWithinWatermark(["_title", "_company"]).drop("_title", "_company")
+
+
 def stream_daily_counts(postings: DataFrame, delay: str = "1 day") -> DataFrame:
     """Postings per day."""
     window = F.window("scraped_at", "1 day")
@@ -36,11 +50,19 @@ def stream_daily_counts(postings: DataFrame, delay: str = "1 day") -> DataFrame:
     return counts.select(F.to_date("window.start").alias("day"), "n")
 
 
-def stream_recent(postings: DataFrame, hours: int = 24, delay: str = "1 hour") -> DataFrame:
-    """Postings of the last hours, at every full hour."""
-    window = F.window("scraped_at", f"{hours} hours", "1 hour")
+def stream_hours(postings: DataFrame, delay: str = "1 hour") -> DataFrame:
+    """Postings per hour: panes, each event counted in one."""
+    window = F.window("scraped_at", "1 hour")
     counts = postings.withWatermark("scraped_at", delay).groupBy(window).agg(F.count(F.lit(1)).alias("n"))
-    return counts.select(F.col("window.end").alias("as_of"), "n")
+    return counts.select(F.col("window.end").alias("hour_end"), "n")
+
+
+def recent_from_hours(panes: DataFrame, hours: int = 24) -> DataFrame:
+    """(as_of, n): postings of the last hours at every full hour, added up from the panes."""
+    later = F.explode(F.sequence(F.lit(0), F.lit(hours - 1)))
+    spread = panes.select("hour_end", "n", later.alias("_later"))
+    as_of = F.col("hour_end") + F.make_dt_interval(hours=F.col("_later"))
+    return spread.groupBy(as_of.alias("as_of")).agg(F.sum("n").alias("n"))
 
 
 def stream_call_stats(calls: DataFrame, size: str = "1 hour", delay: str = "10 minutes") -> DataFrame:
@@ -50,6 +72,13 @@ def stream_call_stats(calls: DataFrame, size: str = "1 hour", delay: str = "10 m
     return stats.select(F.col("window.start").alias("window_start"), *[c for c in stats.columns if c != "window"])
 
 
+def stream_latency(calls: DataFrame, size: str = "1 hour", delay: str = "10 minutes") -> DataFrame:
+    """Calls, failures and a sketch of the latencies per source and window; the state of a hot source stays small."""
+    grouped = calls.withWatermark("called_at", delay).groupBy("provider", F.window("called_at", size))
+    told = grouped.agg(*sketch_aggregates())
+    return told.select("provider", F.col("window.start").alias("window_start"), *told.columns[2:])
+
+
 def stream_quota_breaches(
     calls: DataFrame, quotas: DataFrame, period: str, delay: str = "10 minutes"
 ) -> DataFrame:
