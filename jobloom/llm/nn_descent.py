@@ -3,9 +3,10 @@
 A graph of neighbour lists starts from random projections: the vectors, sorted by the signs of
 their projections, are cut into leaves, and each vector takes the nearest ones of its leaves.
 Then every vector joins its neighbours with each other: neighbours of a neighbour are compared
-and the lists keep the nearest. A list starts with room for ``ROOM`` entries; one that is full of
-vectors within the threshold is saturated, gets twice the room and is joined anew for as long as
-that unites components. Lists hold no vector farther off than twice the threshold's angle: two
+and the lists keep the nearest, round by round until hardly an entry is new. A list starts with
+room for ``ROOM`` entries; one that is full of vectors within the threshold is saturated. It needs
+no further rounds to be linked, but gets twice the room and is joined anew for as long as that
+finds links between components. Lists hold no vector farther off than twice the threshold's angle: two
 vectors linked to a third are no farther apart. Entries within the threshold are the edges.
 
 An audit compares a bounded number of probes (``PROBES``) with all vectors in blocks, and asks
@@ -141,8 +142,8 @@ def _local_join(room: int, floor: float):
     return run
 
 
-def _kept(entries: DataFrame, room: int) -> DataFrame:
-    """One entry per pair; of each list the nearest that it has room for."""
+def _kept(entries: DataFrame, room: int, threshold: float) -> DataFrame:
+    """One entry per pair; of each list the nearest that it has room for, and whether it is saturated."""
     once = entries.groupBy("node", "other").agg(
         F.max("sim").alias("sim"), F.min("new").alias("new"), F.max("room").alias("room")
     )
@@ -151,11 +152,12 @@ def _kept(entries: DataFrame, room: int) -> DataFrame:
         once.withColumn("room", F.coalesce(F.max("room").over(of), F.lit(room)))
         .withColumn("__place", F.row_number().over(of.orderBy(F.desc("sim"), "other")))
         .where("__place <= room")
+        .withColumn("full", (F.count("*").over(of) == F.col("room")) & (F.min("sim").over(of) >= threshold))
         .drop("__place")
     )
 
 
-def _round(lists: DataFrame, points: DataFrame, room: int, floor: float, seed: int, tasks: int) -> DataFrame:
+def _round(lists: DataFrame, points: DataFrame, room: int, floor: float, threshold: float, seed: int, tasks: int) -> DataFrame:
     """The lists after every vector joined its neighbours, in both directions, with each other.
 
     A vector that many lists hold is drawn into a bounded number of joins, others each round.
@@ -175,34 +177,39 @@ def _round(lists: DataFrame, points: DataFrame, room: int, floor: float, seed: i
         .applyInPandas(_local_join(room, floor), ENTRY)
         .select("*", F.lit(True).alias("new"), F.lit(None).cast("int").alias("room"))
     )
-    return _kept(lists.withColumn("new", F.lit(False)).union(found), room)
+    older = lists.select("node", "other", "sim", F.lit(False).alias("new"), "room")
+    return _kept(older.union(found), room, threshold).checkpoint()
 
 
-def _settle(lists: DataFrame, points: DataFrame, room: int, floor: float, seed: int, tasks: int) -> DataFrame:
-    """Rounds until hardly an entry is new."""
+def _settle(lists: DataFrame, points: DataFrame, room: int, floor: float, threshold: float, seed: int, tasks: int) -> DataFrame:
+    """Rounds until hardly an entry of a list that is not saturated is new."""
     while True:
-        count = lists.agg(F.count("*").alias("n"), F.count_if("new").alias("new")).head()
+        count = lists.agg(F.count("*").alias("n"), F.count_if(F.col("new") & ~F.col("full")).alias("new")).head()
         if count["new"] <= SETTLED * count["n"]:
             return lists
         seed += 1
-        lists = _round(lists, points, room, floor, seed, tasks).checkpoint()
+        lists = _round(lists, points, room, floor, threshold, seed, tasks)
 
 
-def _enlarged(lists: DataFrame, threshold: float) -> DataFrame:
-    """Saturated lists, full within the threshold, get twice the room and count as new."""
-    of = Window.partitionBy("node")
-    full = (F.count("*").over(of) >= F.col("room")) & (F.min("sim").over(of) >= threshold)
-    return lists.withColumn("__full", full).select(
-        "node", "other", "sim", F.col("__full").alias("new"),
-        F.when(F.col("__full"), F.col("room") * 2).otherwise(F.col("room")).alias("room"),
-    )
+def _edges(lists: DataFrame, threshold: float) -> DataFrame:
+    return lists.where(F.col("sim") >= threshold).select("node", "other")
 
 
-def _united(lists: DataFrame, threshold: float) -> tuple[DataFrame, int]:
-    """(node, root) of every vector with an edge, and the number of components."""
-    edges = lists.where(F.col("sim") >= threshold).select("node", "other")
-    roots = components(edges, "node", "other")
-    return roots, roots.select("root").distinct().count()
+def _united(
+    lists: DataFrame, points: DataFrame, room: int, floor: float, threshold: float, seed: int, tasks: int
+) -> tuple[DataFrame, DataFrame]:
+    """(node, root) of every vector with an edge, after saturated lists had room for all that unites; and the lists."""
+    roots = components(_edges(lists, threshold), "node", "other")
+    while lists.where("full").head(1):
+        seed += 1
+        wider = lists.withColumns({"new": F.col("full"), "room": F.when(F.col("full"), F.col("room") * 2).otherwise(F.col("room"))})
+        lists = _round(wider, points, room, floor, threshold, seed, tasks)
+        placed = _edges(lists, threshold).join(roots.select("node", F.col("root").alias("from")), "node", "left")
+        placed = placed.join(roots.select(F.col("node").alias("other"), F.col("root").alias("to")), "other", "left")
+        if not placed.where("NOT (from <=> to) OR from IS NULL").head(1):
+            break
+        roots = components(_edges(lists, threshold), "node", "other")
+    return roots, lists
 
 
 def _audit(points: DataFrame, roots: DataFrame, threshold: float, probes: int) -> float:
@@ -292,19 +299,12 @@ def _linked(
             .mapInPandas(_leaves(leaf, room, floor), ENTRY)
             .select("*", F.lit(True).alias("new"), F.lit(None).cast("int").alias("room"))
         )
-        lists = _kept(fresh if lists is None else lists.union(fresh.select(lists.columns)), room).checkpoint()
+        if lists is not None:
+            fresh = lists.select(fresh.columns).union(fresh)
+        lists = _kept(fresh, room, threshold).checkpoint()
         drawn += trees
-        lists = _settle(lists, points, room, floor, drawn * 1000, 4 * parts)
-        roots, united = _united(lists, threshold)
-        while True:
-            wider = _enlarged(lists, threshold).checkpoint()
-            if not wider.where("new").head(1):
-                break
-            lists = _settle(wider, points, room, floor, drawn * 1000 + 500, 4 * parts)
-            roots, now = _united(lists, threshold)
-            if now == united:
-                break
-            united = now
+        lists = _settle(lists, points, room, floor, threshold, drawn * 1000, 4 * parts)
+        roots, lists = _united(lists, points, room, floor, threshold, drawn * 1000 + 500, 4 * parts)
         if leaf >= rows or _audit(points, roots, threshold, probes) >= recall:
             break
         leaf *= 2
