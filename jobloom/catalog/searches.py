@@ -22,6 +22,7 @@ from jobloom.functions.sqlfuncs import register_sql_functions
 from jobloom.operators.filters import SearchSpec
 from jobloom.plans import registry
 from jobloom.plans.search import search_agent, search_hybrid, search_stored
+from jobloom.plans.tables import register_search_functions
 
 SPEC = SearchSpec(keywords=["python", "golang"], location="remote", limit=50)
 HITS = """hits AS (SELECT * FROM postings WHERE (title ILIKE '%python%' OR description ILIKE '%python%'
@@ -75,6 +76,36 @@ def agent(spark, sf):
     return found.rows.select("key", "title", "relevance", "search_rank")
 
 
+@query(
+    "search_stored_sql",
+    on_postings("SELECT key, id, title, company, location, scraped_at, relevance FROM hits", HITS),
+)
+def stored_by_name(spark, sf):
+    """The stored search called by name in SQL."""
+    register_search_functions(spark, full_postings(spark, sf), "key")
+    return spark.sql(
+        """SELECT key, id, title, company, location, scraped_at, relevance
+           FROM search_stored(array('python', 'golang'), 'remote', 50)"""
+    )
+
+
+@query(
+    "search_insights_sql",
+    on_postings(
+        """SELECT 'total_results' AS metric, '' AS key, count(*) AS n FROM hits
+           UNION ALL SELECT 'sources', source, count(*) FROM hits GROUP BY source
+           UNION ALL (SELECT 'top_companies', company, count(*) AS n FROM hits GROUP BY company
+             ORDER BY n DESC, company LIMIT 5)
+           UNION ALL (SELECT 'top_locations', location, count(*) AS n FROM hits GROUP BY location
+             ORDER BY n DESC, location LIMIT 5)""",
+        HITS,
+    ),
+)
+def insights_by_name(spark, sf):
+    register_search_functions(spark, full_postings(spark, sf), "key")
+    return spark.sql("SELECT * FROM search_insights(array('python', 'golang'), 'remote', 50)")
+
+
 HYBRID = [
     """stored AS (SELECT * FROM postings WHERE (title ILIKE '%data science%'
         OR description ILIKE '%data science%' OR array_to_string(keywords, '; ') ILIKE '%data science%')

@@ -17,7 +17,8 @@ from jobloom.catalog.base import (
 from jobloom.functions import values as V
 from jobloom.operators import querytext as K
 from jobloom.operators.frontier import crawl_frontier
-from jobloom.operators.matching import match_queries, score_many, search_many
+from jobloom.operators.matching import match_queries, score_many
+from jobloom.operators.scanning import count_many, search_many
 from jobloom.operators.substrings import build_index, count_indexed, search_indexed
 from jobloom.session import new_path
 
@@ -178,18 +179,24 @@ def _index(spark, postings):
     return path
 
 
-@query(
-    "match_counts",
-    on_queries(
-        """SELECT query_id, CAST(count(DISTINCT key) AS BIGINT) AS n FROM processed LEFT JOIN (
-             SELECT query_id, key FROM terms JOIN t ON contains(title, term)
-               OR contains(description, term) OR contains(words, term)) USING (query_id) GROUP BY query_id""",
-        POSTINGS,
-        _PAIRS,
-    ),
+COUNTS = on_queries(
+    """SELECT query_id, CAST(count(DISTINCT key) AS BIGINT) AS n FROM processed LEFT JOIN (
+         SELECT query_id, key FROM terms JOIN t ON contains(title, term)
+           OR contains(description, term) OR contains(words, term)) USING (query_id) GROUP BY query_id""",
+    POSTINGS,
+    _PAIRS,
 )
+
+
+@query("match_counts", COUNTS)
 def match_counts(spark, sf):
-    """The postings that match each query, counted by the substring index."""
+    """The postings that match each query, counted in one pass over the texts."""
+    return count_many(_processed(spark, sf), _postings(spark, sf))
+
+
+@query("match_counts_indexed", COUNTS)
+def match_counts_indexed(spark, sf):
+    """The same from the substring index."""
     rows = _postings(spark, sf)
     return count_indexed(_index(spark, rows), _processed(spark, sf), rows)
 

@@ -16,7 +16,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from jobloom.functions.text import text_of, title_and_description
-from jobloom.operators.ranking import top_per_group
 
 SPACE = r"[ \t\n\r]+"
 # Terms up to this length are looked for by word; longer ones are checked on the texts.
@@ -185,18 +184,3 @@ def score_many(
         .groupBy(query_id, key)
         .agg((F.sum(F.col("points") * F.col("times")) / F.max("n_terms")).alias("relevance"))
     )
-
-
-def search_many(
-    queries: DataFrame,
-    postings: DataFrame,
-    k: int,
-    formula: str = "weighted",
-    query_id: str = "query_id",
-    key: str = "key",
-) -> DataFrame:
-    """(query_id, rank, key, relevance): the best ``k`` postings of each query."""
-    scored = score_many(queries, postings, formula, query_id, key)
-    return top_per_group(
-        scored, [query_id], [F.desc("relevance"), F.asc(key)], k, rank="search_rank", salt_on=key
-    )

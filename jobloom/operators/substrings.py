@@ -24,17 +24,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from jobloom.functions.text import title_and_description
-from jobloom.operators.matching import FIELDS, LONGEST_PROBE, SPACE, _field_texts, _field_words, _windows, _word_name, query_terms
-from jobloom.operators.ranking import top_per_group
+from jobloom.operators.matching import FIELDS, LONGEST_PROBE, SPACE, _field_texts, _field_words, _windows, _word_name
+from jobloom.operators.scanning import (
+    Scorer, best_of_all, counting, counts_of_all, keeping_best, numbered_queries, points, read_fields, run_passes,
+)
 from jobloom.session import shared_folder
 
 GRAM = 3
 BUCKETS = 16
-# Queries that are scored at once, cells (postings x terms) held for that, and (query, term) rows
-# that are sent to every task at a time.
-QUERIES = 256
-CELLS = 1 << 22
-SENT_ROWS = 1 << 20
 
 
 def _bucket(column: str, buckets: int) -> Column:
@@ -180,74 +177,36 @@ def term_lists(path: str, postings: DataFrame, terms: DataFrame, key: str = "key
     )
 
 
-POINTS = {
-    # points by the field that holds the term
-    "weighted": {"title": 3.0, "description": 1.0, "company": 0.5},
-    "match": {"title": 1.0, "description": 1.0, "keywords": 1.0},
-}
-
-
-def _held(lists: pd.Series, terms: np.ndarray) -> np.ndarray:
-    """(rows x terms) which of the terms each list holds."""
-    out = np.zeros((len(lists), len(terms)))
-    sizes = lists.map(len).to_numpy()
-    if sizes.sum():
-        found = np.concatenate([np.asarray(x, dtype=np.int64) for x in lists if len(x)])
-        at = np.minimum(np.searchsorted(terms, found), len(terms) - 1)
-        known = terms[at] == found
-        out[np.repeat(np.arange(len(lists)), sizes)[known], at[known]] = 1
-    return out
-
-
-def _points(lists: pd.DataFrame, terms: np.ndarray, formula: str) -> np.ndarray:
-    """(rows x terms) the points of each term in each posting."""
-    if formula == "ratio":
-        return _held(lists["text"], terms) * (1 + _held(lists["title"], terms))
-    return sum(weight * _held(lists[name], terms) for name, weight in POINTS[formula].items())
-
-
-def _score(weights: pd.DataFrame, formula: str):
-    """Gives (keys, query ids, rows x queries scores) of frames of postings, in parts of bounded size."""
-    blocks = []
-    ids = np.sort(weights["query_id"].unique())
-    for begin in range(0, len(ids), QUERIES):
-        some = ids[begin : begin + QUERIES]
-        part = weights[weights["query_id"].isin(some)]
-        terms = np.sort(part["term_id"].unique())
-        matrix = np.zeros((len(terms), len(some)))
-        matrix[np.searchsorted(terms, part["term_id"]), np.searchsorted(some, part["query_id"])] = part["times"]
-        size = part.groupby("query_id")["n_terms"].first().to_numpy()
-        blocks.append((some, terms, matrix, size))
-
-    def run(frame: pd.DataFrame):
-        for some, terms, matrix, size in blocks:
-            step = max(1, CELLS // len(terms))
-            for begin in range(0, len(frame), step):
-                part = frame[begin : begin + step]
-                # Points are whole halves, so the sums are exact in any order.
-                yield part["key"], some, _points(part, terms, formula) @ matrix / size
+def _weights(queries: DataFrame, query_id: str) -> tuple[DataFrame, DataFrame]:
+    """The numbered terms, and (query_id, term, times, n_terms) with the number as the term."""
+    rows = numbered_queries(queries, query_id)
+    terms = _numbered(rows)
+    numbers = terms.select("term", F.format_string("%020d", "term_id").alias("number"))
+    return terms, rows.join(numbers, "term").select("query_id", F.col("number").alias("term"), "times", "n_terms")
 
-    return run
 
+def _list_scores(scorer: Scorer, formula: str):
+    """Gives (keys, query ids, rows x queries scores) of frames of term lists."""
+    known = scorer.terms.astype(np.int64)
 
-def _query_rows(queries: DataFrame, query_id: str) -> tuple[DataFrame, DataFrame]:
-    """The numbered terms, and (query_id, term_id, times, n_terms) of the queries."""
-    rows = query_terms(queries, query_id).withColumnRenamed(query_id, "query_id")
-    terms = _numbered(rows)
-    return terms, rows.join(terms.select("term", "term_id"), "term").drop("term")
+    def held_in(lists: pd.Series) -> np.ndarray:
+        out = np.zeros((len(lists), len(known)))
+        sizes = lists.map(len).to_numpy()
+        if sizes.sum():
+            found = np.concatenate([np.asarray(x, dtype=np.int64) for x in lists if len(x)])
+            at = np.minimum(np.searchsorted(known, found), len(known) - 1)
+            mine = known[at] == found
+            out[np.repeat(np.arange(len(lists)), sizes)[mine], at[mine]] = 1
+        return out
 
+    def run(frame: pd.DataFrame):
+        for begin in range(0, len(frame), scorer.step):
+            part = frame[begin : begin + scorer.step]
+            value = points(lambda name, part=part: held_in(part[name]), formula)
+            for some, found in scorer.scores(value):
+                yield part["key"].to_numpy(), some, found
 
-def _over_queries(hits: DataFrame, weights: DataFrame, task, schema: str) -> DataFrame:
-    """The rows that ``task`` makes of the hits for each part of the queries that is sent at a time."""
-    parts = weights.count() // SENT_ROWS + 1
-    found = None
-    for number in range(parts):
-        sent = weights.where(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == number).toPandas()
-        if sent.empty:
-            continue
-        some = hits.mapInPandas(task(sent), schema)
-        found = some if found is None else found.union(some)
-    return hits.sparkSession.createDataFrame([], schema) if found is None else found
+    return run
 
 
 def count_indexed(
@@ -255,80 +214,28 @@ def count_indexed(
 ) -> DataFrame:
     """(query_id, n): how many postings hold a term of each query in title, description or keywords."""
     shared_folder(postings.sparkSession)
-    terms, weights = _query_rows(queries, query_id)
+    terms, weights = _weights(queries, query_id)
+    kind = weights.schema["query_id"].dataType.simpleString()
 
     def task(sent: pd.DataFrame):
-        score = _score(sent, "match")
+        return counting(_list_scores(Scorer(sent), "match"))
 
-        def run(frames):
-            total: dict = {}
-            for frame in frames:
-                for _, some, found in score(frame):
-                    for query, n in zip(some.tolist(), (found > 0).sum(axis=0).tolist(), strict=True):
-                        total[query] = total.get(query, 0) + n
-            yield pd.DataFrame(total.items(), columns=["query_id", "n"])
-
-        return run
-
-    kind = weights.schema["query_id"].dataType.simpleString()
     hits = term_lists(path, postings, terms, key)
-    counted = _over_queries(hits, weights, task, f"query_id {kind}, n bigint").groupBy("query_id").agg(F.sum("n").alias("n"))
-    asked = queries.select(F.col(query_id).alias("query_id")).distinct()
-    return asked.join(counted, "query_id", "left").select(
-        F.col("query_id").alias(query_id), F.coalesce("n", F.lit(0)).alias("n")
-    )
+    return counts_of_all(queries, run_passes(hits, weights, task, f"query_id {kind}, n bigint"), query_id)
 
 
 def search_indexed(
     path: str, queries: DataFrame, postings: DataFrame, k: int, formula: str = "weighted",
     query_id: str = "query_id", key: str = "key",
 ) -> DataFrame:
-    """(query_id, search_rank, key, relevance): the best ``k`` postings of each query, by score and key.
-
-    ``weighted``: 3 points for a term in the title, 1 in the description, 0.5 in the company.
-    ``ratio``: one in the text, one more in the title. The score is the sum over the terms, divided by their number.
-    """
-    if formula not in ("weighted", "ratio"):
-        raise ValueError(f"unknown formula: {formula}")
+    """(query_id, search_rank, key, relevance): the best ``k`` postings of each query, as ``search_many`` scores them."""
+    read_fields(formula)
     shared_folder(postings.sparkSession)
-    terms, weights = _query_rows(queries, query_id)
-
-    def best(rows: pd.DataFrame) -> pd.DataFrame:
-        ordered = rows.sort_values(["query_id", "relevance", "key"], ascending=[True, False, True])
-        return ordered[ordered.groupby("query_id").cumcount() < k]
+    terms, weights = _weights(queries, query_id)
+    kind, of = weights.schema["query_id"].dataType.simpleString(), postings.schema[key].dataType.simpleString()
 
     def task(sent: pd.DataFrame):
-        score = _score(sent, formula)
-        room = 4 * k * sent["query_id"].nunique()
-
-        def run(frames):
-            held, size = [], 0
-            for frame in frames:
-                for keys, some, found in score(frame.sort_values("key")):
-                    # By score; the keys rise, so a stable order breaks ties by key.
-                    order = np.argsort(-found, axis=0, kind="stable")[:k]
-                    value = np.take_along_axis(found, order, axis=0)
-                    row, query = np.nonzero(value > 0)
-                    held.append(
-                        pd.DataFrame(
-                            {
-                                "query_id": some[query], "key": keys.to_numpy()[order[row, query]],
-                                "relevance": value[row, query],
-                            }
-                        )
-                    )
-                    size += len(held[-1])
-                    if size > room:
-                        held = [best(pd.concat(held))]
-                        size = len(held[0])
-            if held:
-                yield best(pd.concat(held))
-
-        return run
+        return keeping_best(_list_scores(Scorer(sent), formula), k, sent["query_id"].nunique())
 
-    kind = weights.schema["query_id"].dataType.simpleString()
-    of = postings.schema[key].dataType.simpleString()
     hits = term_lists(path, postings, terms, key)
-    scored = _over_queries(hits, weights, task, f"query_id {kind}, key {of}, relevance double")
-    ranked = top_per_group(scored, ["query_id"], [F.desc("relevance"), F.asc("key")], k, rank="search_rank", salt_on="key")
-    return ranked.select(F.col("query_id").alias(query_id), "search_rank", F.col("key").alias(key), "relevance")
+    return best_of_all(run_passes(hits, weights, task, f"query_id {kind}, key {of}, relevance double"), k, query_id, key)

@@ -237,11 +237,19 @@ def map_generic(raw: DataFrame, board: str = "generic", keep: Sequence[str] = ()
 def map_by_paths(
     raw: DataFrame, paths: Mapping[str, str], board: str = "generic", keep: Sequence[str] = ()
 ) -> DataFrame:
-    """One posting per payload, each field at a JSON path such as ``$.company.name``."""
-    columns = {name: F.get_json_object("payload", path) for name, path in paths.items()}
-    posted = columns.pop("posted_date", F.lit(None).cast("string"))
-    fields = raw.withColumn("fetched_at", parse_posted_date(posted, F.col("fetched_at")))
-    mapped = _new(fields, keep, board, **columns)
+    """One posting per payload, each field at a JSON path such as ``$.company.name``.
+
+    A payload is parsed once, into a variant, whatever the number of paths; one that is no JSON gives
+    no posting. A path to an object or a list gives its JSON text.
+    """
+    # The generator keeps the optimizer from repeating the parse for each path.
+    parsed = raw.withColumn("_variant", F.explode(F.array(F.try_parse_json("payload"))))
+    columns = {name: F.try_variant_get("_variant", path, "string") for name, path in paths.items()}
+    found = parsed.select(*raw.columns, F.struct(*[c.alias(name) for name, c in columns.items()]).alias("_found"))
+    values = {name: F.col(f"_found.{name}") for name in paths}
+    posted = values.pop("posted_date", F.lit(None).cast("string"))
+    fields = found.withColumn("fetched_at", parse_posted_date(posted, F.col("fetched_at")))
+    mapped = _new(fields, keep, board, **values)
     return mapped.where(filled(F.col("title")) & filled(F.col("company")))
 
 
