@@ -133,32 +133,36 @@ def score(docs: DataFrame, gain: np.ndarray, words: int = WORDS, seed: int = SEE
     return scored.withColumn("score", (F.col("weight") + noise).cast("bigint"))
 
 
-def _key(rows: np.ndarray, low: dict[str, int], width: dict[str, int], at: int) -> np.ndarray:
+def _key(rows: np.ndarray, low: dict[str, int], width: dict[str, int], bits: int, at: int) -> np.ndarray:
     """Digit ``at`` of the composite key, counted from below; a field starts at a digit of its own."""
     for name in ("n_features", "doc_id", "null", "score"):
-        digits = -(-width[name] // DIGIT)
+        digits = -(-width[name] // bits)
         if at < digits:
             value = rows[name].astype(np.int64)
             value = low["top"] - value if name == "score" else value - low[name]
-            return (value >> (DIGIT * at)) & ((1 << DIGIT) - 1)
+            return (value >> (bits * at)) & ((1 << bits) - 1)
         at -= digits
     raise IndexError(at)
 
 
-def _blocks(frames):
+def _blocks(size: int):
     """Packs rows into blocks; a block's number comes later."""
-    for frame in frames:
-        rows = np.zeros(len(frame), dtype=ROW)
-        rows["null"] = frame["doc_id"].isna()
-        rows["doc_id"] = frame["doc_id"].fillna(0)
-        for name in ("n_features", "weight", "score"):
-            rows[name] = frame[name]
-        for begin in range(0, len(rows), BLOCK):
-            some = rows[begin : begin + BLOCK]
-            yield pd.DataFrame({"rows": [some.tobytes()], "n": [len(some)]})
-
-
-def _count_digit(low: dict[str, int], width: dict[str, int], at: int):
+
+    def run(frames):
+        for frame in frames:
+            rows = np.zeros(len(frame), dtype=ROW)
+            rows["null"] = frame["doc_id"].isna()
+            rows["doc_id"] = frame["doc_id"].fillna(0)
+            for name in ("n_features", "weight", "score"):
+                rows[name] = frame[name]
+            for begin in range(0, len(rows), size):
+                some = rows[begin : begin + size]
+                yield pd.DataFrame({"rows": [some.tobytes()], "n": [len(some)]})
+
+    return run
+
+
+def _count_digit(low: dict[str, int], width: dict[str, int], bits: int, at: int):
     """Per block: its rows in the order of the digit, stably, and the runs of equal digits."""
 
     def run(frames):
@@ -166,7 +170,7 @@ def _count_digit(low: dict[str, int], width: dict[str, int], at: int):
             out = []
             for block, packed in zip(frame["block"], frame["rows"], strict=True):
                 rows = np.frombuffer(packed, dtype=ROW)
-                digit = _key(rows, low, width, at)
+                digit = _key(rows, low, width, bits, at)
                 order = np.argsort(digit, kind="stable")
                 found, size = np.unique(digit, return_counts=True)
                 runs = [(int(d), int(n)) for d, n in zip(found, size, strict=True)]
@@ -176,23 +180,27 @@ def _count_digit(low: dict[str, int], width: dict[str, int], at: int):
     return run
 
 
-def _deal(frames):
+def _deal(size: int):
     """Rows to their places: a piece for each next block that a run of equal digits reaches into."""
-    for frame in frames:
-        out = []
-        for packed, offsets in zip(frame["rows"], frame["offsets"], strict=True):
-            rows = np.frombuffer(packed, dtype=ROW)
-            begin = 0
-            place = np.empty(len(rows), dtype=np.int64)
-            for _, n, offset in sorted((o["digit"], o["n"], o["offset"]) for o in offsets):
-                place[begin : begin + n] = offset + np.arange(n)
-                begin += n
-            to = place // BLOCK
-            cuts = np.concatenate([[0], np.flatnonzero(np.diff(to)) + 1, [len(rows)]])
-            # Places rise inside a block, and so do the blocks they are dealt to.
-            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-                out.append((int(to[a]), place[a:b].tobytes(), rows[a:b].tobytes()))
-        yield pd.DataFrame(out, columns=["block", "places", "rows"])
+
+    def run(frames):
+        for frame in frames:
+            out = []
+            for packed, offsets in zip(frame["rows"], frame["offsets"], strict=True):
+                rows = np.frombuffer(packed, dtype=ROW)
+                begin = 0
+                place = np.empty(len(rows), dtype=np.int64)
+                for _, n, offset in sorted((o["digit"], o["n"], o["offset"]) for o in offsets):
+                    place[begin : begin + n] = offset + np.arange(n)
+                    begin += n
+                to = place // size
+                cuts = np.concatenate([[0], np.flatnonzero(np.diff(to)) + 1, [len(rows)]])
+                # Places rise inside a block, and so do the blocks they are dealt to.
+                for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                    out.append((int(to[a]), place[a:b].tobytes(), rows[a:b].tobytes()))
+            yield pd.DataFrame(out, columns=["block", "places", "rows"])
+
+    return run
 
 
 def _place(frame: pd.DataFrame) -> pd.DataFrame:
@@ -202,8 +210,11 @@ def _place(frame: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"block": frame["block"].iloc[:1], "rows": [rows[np.argsort(places)].tobytes()]})
 
 
-def radix_ranks(scored: DataFrame) -> DataFrame:
-    """The rows with their ``rank`` from 1, by score descending, id (null last) and features."""
+def radix_ranks(scored: DataFrame, bits: int = DIGIT, size: int = BLOCK) -> DataFrame:
+    """The rows with their ``rank`` from 1, by score descending, id (null last) and features.
+
+    ``bits`` of a digit are counted at a time; a block holds ``size`` rows.
+    """
     fields = ("n_features", "score", "doc_id")
     bounds = scored.agg(
         *[f(c).alias(f"{f.__name__}_{c}") for c in fields for f in (F.min, F.max)], F.max(F.col("doc_id").isNull()).alias("nulls")
@@ -214,21 +225,21 @@ def radix_ranks(scored: DataFrame) -> DataFrame:
     if bounds["nulls"]:
         low["doc_id"] = min(low["doc_id"], 0)
         width["doc_id"] = max((bounds["max_doc_id"] or 0) - low["doc_id"], -low["doc_id"]).bit_length()
-    passes = sum(-(-w // DIGIT) for w in width.values())
+    passes = sum(-(-w // bits) for w in width.values())
     blocks = (
-        scored.mapInPandas(_blocks, "rows binary, n bigint")
+        scored.mapInPandas(_blocks(size), "rows binary, n bigint")
         .where("n > 0")
         .select(F.monotonically_increasing_id().alias("block"), "rows")
         .checkpoint()
     )
     for at in range(passes):
         counted = blocks.mapInPandas(
-            _count_digit(low, width, at), "block bigint, rows binary, runs array<struct<digit:bigint,n:bigint>>"
+            _count_digit(low, width, bits, at), "block bigint, rows binary, runs array<struct<digit:bigint,n:bigint>>"
         ).checkpoint()
         runs = counted.select("block", F.inline("runs"))
         digits = runs.groupBy("digit").agg(F.sum("n").alias("n"))
         before = Window.orderBy("digit").rowsBetween(Window.unboundedPreceding, -1)
-        # At most 2**DIGIT rows.
+        # At most 2**bits rows.
         starts = digits.select("digit", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
         earlier = Window.partitionBy("digit").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
         offsets = (
@@ -240,7 +251,7 @@ def radix_ranks(scored: DataFrame) -> DataFrame:
         blocks = (
             counted.select("block", "rows")
             .join(offsets, "block")
-            .mapInPandas(_deal, "block bigint, places binary, rows binary")
+            .mapInPandas(_deal(size), "block bigint, places binary, rows binary")
             .groupBy("block")
             .applyInPandas(_place, "block bigint, rows binary")
         )
@@ -252,7 +263,7 @@ def radix_ranks(scored: DataFrame) -> DataFrame:
                 out = pd.DataFrame({name: rows[name] for name in ("n_features", "weight", "score")})
                 out.insert(0, "doc_id", pd.array(rows["doc_id"], dtype="Int64"))
                 out.loc[rows["null"], "doc_id"] = pd.NA
-                out["rank"] = int(block) * BLOCK + 1 + np.arange(len(rows))
+                out["rank"] = int(block) * size + 1 + np.arange(len(rows))
                 yield out
 
     return blocks.mapInPandas(unpacked, "doc_id bigint, n_features bigint, weight bigint, score bigint, rank bigint")

@@ -214,16 +214,11 @@ def _merge(frame: pd.DataFrame) -> pd.DataFrame:
             if near.any():
                 pairs.append(pd.DataFrame({"a": some.index[i[near]], "b": some.index[j[near]]}))
     if not pairs:
-        return pd.DataFrame({"word": [], "near": [], "near_n": []})
+        return pd.DataFrame(columns=["word", "near", "near_n"], dtype=object)
     both = pd.concat(pairs)
-    a, b = (frame.loc[both[c], ["word", "n"]].reset_index(drop=True) for c in ("a", "b"))
-    out = pd.concat(
-        [
-            pd.DataFrame({"word": x["word"], "near": y["word"], "near_n": y["n"]})
-            for x, y in ((a, b), (b, a))
-        ]
-    )
-    return out.drop_duplicates(["word", "near"])
+    a, b = (np.concatenate([both[x], both[y]]) for x, y in (("a", "b"), ("b", "a")))
+    words, counts = frame["word"].to_numpy(dtype=object), frame["n"].to_numpy()
+    return pd.DataFrame({"word": words[a], "near": words[b], "near_n": counts[b]}).drop_duplicates(["word", "near"])
 
 
 def near_words(words: DataFrame, dictionary: int = DICTIONARY, longest_list: int = LIST) -> DataFrame:
