@@ -104,7 +104,8 @@ def _leaves(leaf: int, room: int, floor: float):
     def joined(frame: pd.DataFrame) -> list[np.ndarray]:
         unit, nodes = _matrix(frame["vec"]), frame["node"].to_numpy()
         sims = unit @ unit.T
-        np.fill_diagonal(sims, -2)
+        # Where one tree ends and the next begins, a vector can be in a leaf twice.
+        sims[nodes[:, None] == nodes[None, :]] = -2
         return _nearest(sims, nodes, room, floor)
 
     def run(frames):
