@@ -3,7 +3,8 @@
 The distinct terms of all queries become one automaton that a task runs over each text once,
 whatever the number of terms; it finds every term, overlapping ones too, wherever it stands. The
 terms a posting holds meet the queries inside its task, against a matrix of (term, query) counts, so no
-text is shuffled and nothing leaves a task but counts, or the best ``k`` of each query.
+text is shuffled and nothing leaves a task but counts, or the best ``k`` of each query. Each row is a
+posting, also where rows share a key.
 
 The terms are sent to the tasks in parts of bounded size (``SENT_CHARS``), a pass each. For a few terms
 against a store that is searched often, ``substrings`` keeps an index in place of the pass.

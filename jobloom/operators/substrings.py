@@ -11,7 +11,8 @@ the grams that begin with them. Only the buckets that a search asks for are read
 held in windows of bounded size, by a digest; terms of several words, or longer than a window can
 answer for, are looked up by a piece and compared with the texts of the postings found that way.
 
-Searches give counts and the best postings of each query. The hits of a posting, a list of term
+A key names a posting: rows that share one are one posting here. Searches give counts and the
+best postings of each query. The hits of a posting, a list of term
 numbers a field, meet the queries inside its task, against a matrix of the weights of a block of queries;
 no (query, posting) row leaves a task but the best ``k``.
 """
