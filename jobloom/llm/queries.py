@@ -105,7 +105,95 @@ QUERIES = {
 
 _WORDS = r"list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '')"
 
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+#: The unsigned crc32 of a text: of each byte value eight shifts, then a byte of the text at a time.
+_CRC_TABLE = """crc AS (
+    SELECT list(list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0],
+      lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS t
+    FROM (SELECT CAST(unnest(range(256)) AS BIGINT) AS i))"""
+
+
+def _crc(text: str) -> str:
+    data = f"hex(encode({text}))"
+    octets = f"list_transform(range(CAST(length({data}) // 2 AS BIGINT)), lambda i: CAST('0x' || substr({data}, 2 * i + 1, 2) AS BIGINT))"
+    return (
+        f"xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), {octets}), "
+        "lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295)"
+    )
+
+
+_RUNS = f"regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[a-z\\x{{C0}}-\\x{{FF}}]+')"
+_FEATURES = (
+    f"regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), "
+    "'[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+)
+
 SQL = {
+    "op11_spelling_variants": f"""
+        WITH RECURSIVE {_CRC_TABLE},
+        runs AS (SELECT doc_id, w, count(*) AS k FROM (SELECT doc_id, unnest({_RUNS}) AS w FROM documents) GROUP BY ALL),
+        drawn AS (SELECT w, k, {_crc("coalesce(CAST(doc_id AS VARCHAR), '') || ':' || w")} AS h FROM runs, crc),
+        read AS (SELECT k, CASE WHEN h % 97 = 0
+            THEN substr(w, 1, h % length(w)) || substr(w, h % length(w) + 2) ELSE w END AS word FROM drawn),
+        words AS (SELECT word, CAST(sum(k) AS BIGINT) AS n FROM read WHERE length(word) >= 5
+            GROUP BY word HAVING sum(k) >= 3),
+        places AS (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM words),
+        gone AS (SELECT word, i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest FROM places),
+        near AS (
+            SELECT a.word, b.word AS other FROM gone AS a JOIN gone AS b USING (rest, i) WHERE a.word <> b.word
+            UNION SELECT gone.word, words.word FROM gone JOIN words ON rest = words.word
+            UNION SELECT words.word, gone.word FROM gone JOIN words ON rest = words.word),
+        ranked AS (SELECT near.word, other, o.n AS other_n,
+            row_number() OVER (PARTITION BY near.word ORDER BY o.n DESC, encode(other)) AS place,
+            count(*) OVER (PARTITION BY near.word) AS n_near FROM near JOIN words AS o ON other = o.word),
+        formed AS (SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN other_n >= 2 * n THEN other END AS form,
+            CASE WHEN other_n >= 2 * n THEN other_n END AS form_n
+            FROM words LEFT JOIN (SELECT * FROM ranked WHERE place = 1) USING (word)),
+        followed AS (
+            SELECT word, word AS here, form AS next FROM formed
+            UNION ALL SELECT f.word, f.next, g.form FROM followed AS f JOIN formed AS g ON f.next = g.word)
+        SELECT formed.word, n, n_near, form, form_n, here AS root
+        FROM formed JOIN (SELECT word, here FROM followed WHERE next IS NULL) AS ends USING (word)
+    """,
+    "op12_nn_descent": """
+        WITH RECURSIVE v AS (SELECT row_number() OVER () AS row, vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+        usable AS (SELECT row, e FROM v WHERE len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+            AND len(list_filter(e, lambda x: x <> 0)) > 0),
+        links AS (SELECT a.row AS a, b.row AS b FROM usable AS a JOIN usable AS b
+            ON a.row <> b.row AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.95),
+        reached AS (SELECT row, row AS other FROM v
+            UNION SELECT reached.row, b FROM reached JOIN links ON other = a),
+        heads AS (SELECT reached.row, min(v.vec_id) AS component_id FROM reached JOIN v ON other = v.row GROUP BY reached.row),
+        counted AS (SELECT a AS row, count(*) AS n FROM links GROUP BY a)
+        SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id IS NOT DISTINCT FROM component_id AS kept
+        FROM v JOIN heads USING (row) LEFT JOIN counted USING (row)
+    """,
+    "op13_importance_resampling": f"""
+        WITH {_CRC_TABLE},
+        docs AS (SELECT row_number() OVER () AS row, doc_id, {_FEATURES} AS found FROM documents),
+        asked AS (SELECT {_FEATURES} AS found FROM benchmark),
+        words AS (SELECT row, w, count(*) AS k FROM (SELECT row, unnest(found) AS w FROM docs) GROUP BY ALL),
+        aims AS (SELECT w, count(*) AS k FROM (SELECT unnest(found) AS w FROM asked) GROUP BY ALL),
+        hashed AS (SELECT w, {_crc("w")} % 10000 AS bucket
+            FROM (SELECT w FROM words UNION SELECT w FROM aims), crc),
+        s AS (SELECT bucket, sum(k) AS s FROM words JOIN hashed USING (w) GROUP BY bucket),
+        t AS (SELECT bucket, sum(k) AS t FROM aims JOIN hashed USING (w) GROUP BY bucket),
+        total AS (SELECT coalesce((SELECT sum(s) FROM s), 0) AS many, coalesce((SELECT sum(t) FROM t), 0) AS few),
+        gain AS (SELECT bucket, CAST(floor(1000 * ln(CAST((coalesce(t, 0) + 1) * (many + 10000) AS DOUBLE)
+            / CAST((coalesce(s, 0) + 1) * (few + 10000) AS DOUBLE))) AS BIGINT) AS gain
+            FROM s FULL JOIN t USING (bucket), total),
+        weighed AS (SELECT row, CAST(sum(k * gain) AS BIGINT) AS weight
+            FROM words JOIN hashed USING (w) JOIN gain USING (bucket) GROUP BY row),
+        scored AS (SELECT doc_id, CAST(len(found) AS BIGINT) AS n_features, coalesce(weight, 0) AS weight,
+            coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('2024:'
+              || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296::DOUBLE))) AS BIGINT) AS score
+            FROM docs LEFT JOIN weighed USING (row)),
+        ranked AS (SELECT *, CASE WHEN n_features >= 20 THEN row_number() OVER (PARTITION BY n_features >= 20
+            ORDER BY score DESC, doc_id NULLS LAST, n_features) END AS place FROM scored)
+        SELECT doc_id, n_features, weight, score, CASE WHEN place <= 10 * (SELECT count(*) FROM scored
+            WHERE n_features >= 20) // 100 THEN place END AS rank FROM ranked
+    """,
     "op8_decontamination": rf"""
         WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
         b AS (SELECT item_id, {_WORDS} AS w FROM benchmark),
