@@ -189,11 +189,6 @@ QUOTAS = {
     "jsearch": (30, 500, 5000),
 }
 
-# Breaker thresholds of a source.
-BREAKER_FAILURES = 5
-BREAKER_RECOVERY_SECONDS = 60
-BREAKER_SUCCESSES = 3
-
 # Names and texts given to records of single providers.
 REED_SOURCE = "Reed"
 USAJOBS_SOURCE = "USAJobs"

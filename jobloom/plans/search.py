@@ -20,6 +20,7 @@ from jobloom.operators.ranking import (
     search_rank,
 )
 from jobloom.operators.stats import insights_agent, insights_hybrid, insights_search
+from jobloom.session import shared_folder
 
 
 @dataclass
@@ -70,8 +71,13 @@ def search_hybrid(
     include_live: bool = True,
     key: str = "id",
 ) -> SearchResult:
-    """Stored hits, live rows if the hits are few, one row per posting, best score first."""
-    hits = search_stored(stored, spec, key).rows
+    """Stored hits, live rows if the hits are few, one row per posting, best score first.
+
+    The stored hits, one page at most, are found once, when this is called: rows, counts and the test for
+    the fallback all read what was found.
+    """
+    shared_folder(stored.sparkSession)
+    hits = search_stored(stored, spec, key).rows.checkpoint()
     asked = fallback_union(hits, live, threshold, include_live)
     merged = combine_dedup(hits, asked, spec.keywords, as_of, search_order(key))
     rows = rank_combined(merged, spec.limit, key)
