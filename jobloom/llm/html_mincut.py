@@ -31,14 +31,16 @@ SKIPPED = frozenset("head title script style noscript template svg math iframe o
 RAW = ("script", "style", "textarea", "title", "noscript", "iframe")
 BAD_TAGS = {"nav": 6.0, "footer": 6.0, "aside": 6.0, "form": 6.0, "menu": 6.0, "dialog": 6.0, "button": 5.0, "header": 3.0, "address": 1.0}
 GOOD_TAGS = {"article": 5.0, "main": 4.0}
-BAD_NAMES = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|advertising|banner|sponsor(?:ed)?|promo(?:tion)?|cookies?|consent|gdpr|notice|"
-    r"alert|popup|modal|overlay|sidebar|side|widget|related|recommend(?:ed|ations)?|menu|nav|navbar|navigation|breadcrumbs?|"
-    r"footer|header|masthead|topbar|comments?|comment-list|repl(?:y|ies)|disqus|share|sharing|social|newsletter|subscribe|"
-    r"signup|login|search|form|pagination|pager|toolbar|disclaimer|legal|copyright|tags?|skip)(?:$|[\s_-])",
-    re.I,
+# Parts of class names that speak against content, and for it.
+BAD_NAMES = frozenset(
+    "ad ads advert adverts advertisement advertising banner sponsor sponsored promo promotion cookie cookies consent gdpr "
+    "notice alert popup modal overlay sidebar side widget related recommend recommended recommendations menu nav navbar "
+    "navigation breadcrumb breadcrumbs footer header masthead topbar comment comments reply replies disqus share sharing social "
+    "newsletter subscribe signup login search form pagination pager toolbar disclaimer legal copyright tag tags skip".split()
 )
-GOOD_NAMES = re.compile(r"(?:^|[\s_-])(?:article|content|post|entry|story|body|main|text)(?:$|[\s_-])", re.I)
+GOOD_NAMES = frozenset("article content post entry story body main text".split())
+# What such a part comes after in names that only tell how a page is laid out or filed.
+QUALIFIERS = frozenset("no not has have with without is in category cat tag type format status page layout".split())
 BAD_ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar toolbar form".split())
 
 _TOKEN = re.compile(
@@ -56,6 +58,10 @@ ADJACENT, SIBLING = 20, 40
 SCALE = 100
 
 
+#: A container that holds so much of a page's text is not judged by its class.
+WHOLE = 0.8
+
+
 class Block:
     __slots__ = ("text", "linked", "score", "parent")
 
@@ -63,40 +69,95 @@ class Block:
         self.text, self.linked, self.score, self.parent = text, linked, score, parent
 
 
-def _weigh(tag: str, attrs: str) -> tuple[float, bool]:
-    """How much a container speaks against content, and whether it is hidden."""
-    score = BAD_TAGS.get(tag, 0.0) - GOOD_TAGS.get(tag, 0.0)
+class Container:
+    """An open element: what its tag and its names say against content, and the text below it."""
+
+    __slots__ = ("parent", "tag", "firm", "named", "mass")
+
+    def __init__(self, parent: int, tag: str, firm: float, named: float) -> None:
+        self.parent, self.tag, self.firm, self.named, self.mass = parent, tag, firm, named, 0
+
+
+def _name_score(value: str) -> float:
+    """What a class or id says: a whole name most, a part of one less, a part that only files the page nothing."""
+    bad = good = 0.0
+    for name in value.lower().split():
+        parts = re.split("[_-]+", name)
+        praised = any(p in GOOD_NAMES for p in parts)
+        at = next((i for i, p in enumerate(parts) if p in BAD_NAMES and not (p == "tag" and i + 1 < len(parts))), None)
+        if at is None or any(p in QUALIFIERS for p in parts[:at]):
+            good = max(good, 2.0 * praised)
+        elif len(parts) == 1:
+            bad = max(bad, 6.0)
+        elif not praised:
+            bad = max(bad, 5.0)
+        elif parts[at] != "header":
+            bad = max(bad, 3.0)
+    return bad or -good
+
+
+def _weigh(tag: str, attrs: str) -> tuple[float, float, bool]:
+    """How much a container's tag and role, and its names, speak against content, and whether it is hidden."""
+    firm = BAD_TAGS.get(tag, 0.0) - GOOD_TAGS.get(tag, 0.0)
+    named = 0.0
     hidden = False
     if attrs:
         for m in _ATTR.finditer(attrs):
             name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
-            if name in ("class", "id"):
-                if BAD_NAMES.search(value):
-                    score += 6.0
-                elif GOOD_NAMES.search(value):
-                    score -= 2.0
+            if name in ("class", "id") and tag not in ("html", "body"):
+                named += _name_score(value)
             elif name == "role":
-                score += 6.0 if value.lower() in BAD_ROLES else -4.0 if value.lower() in ("main", "article") else 0.0
+                firm += 6.0 if value.lower() in BAD_ROLES else -4.0 if value.lower() in ("main", "article") else 0.0
             elif name == "hidden" or (name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I)) or (name == "aria-hidden" and value.lower() == "true"):
                 hidden = True
-    return score, hidden
+    return firm, named, hidden
+
+
+def _scores(containers: list[Container]) -> list[float]:
+    """Per container what speaks against the text directly inside, its ancestors included."""
+    for c in reversed(containers[1:]):
+        containers[c.parent].mass += c.mass
+    total = containers[0].mass
+    scores, firms = [0.0], [0.0]
+    for c in containers[1:]:
+        named = c.named if c.mass < WHOLE * total else min(c.named, 0.0)
+        above, firm_above = scores[c.parent], firms[c.parent]
+        own = c.firm + named if named < 6 else max(c.firm, 0.0) + named
+        if c.tag == "header" and above < 0:
+            # The head of an article holds its title.
+            own -= BAD_TAGS["header"]
+        if own < 0 < above:
+            # An article inside an aside is not the article; one below a class name is.
+            inner = own if c.firm < 0 and firm_above <= 0 else above
+        elif own > 0 > above:
+            # A menu inside an article is a menu.
+            inner = own - 1.0
+        else:
+            inner = above + own
+        scores.append(max(-8.0, min(inner, 12.0)))
+        firms.append(max(firm_above, 0.0) + c.firm if c.firm > 0 else firm_above)
+    return scores
 
 
 def blocks(page: str) -> list[Block]:
     """The blocks of a page in order."""
     found: list[Block] = []
-    # Per open container: tag, its number, what speaks against the text inside, hidden or skipped.
-    stack: list[tuple[str, int, float, bool]] = [("", 0, 0.0, False)]
+    containers = [Container(0, "", 0.0, 0.0)]
+    # Per open container: tag, its number, hidden or skipped.
+    stack: list[tuple[str, int, bool]] = [("", 0, False)]
     opened = {"": 1}
     parts: list[str] = []
-    linked = in_link = number = 0
+    linked = in_link = 0
 
     def flush() -> None:
         nonlocal parts, linked
         if parts:
             text = _WHITE.sub(" ", "".join(parts)).strip()
-            if text and not stack[-1][3]:
-                found.append(Block(text, linked, stack[-1][2], _parent()))
+            if text and not stack[-1][2]:
+                number = stack[-1][1]
+                containers[number].mass += len(text)
+                # The number of the container, until it is known what speaks against it.
+                found.append(Block(text, linked, number, _parent()))
         parts, linked = [], 0
 
     def _parent() -> int:
@@ -111,7 +172,7 @@ def blocks(page: str) -> list[Block]:
 
     def say(text: str) -> None:
         nonlocal linked
-        if text and not stack[-1][3]:
+        if text and not stack[-1][2]:
             text = entities.unescape(text)
             parts.append(text)
             if in_link:
@@ -165,29 +226,44 @@ def blocks(page: str) -> list[Block]:
             close("p")
         if m["attrs"].endswith("/"):
             continue
-        number += 1
-        score, hidden = _weigh(tag, m["attrs"])
-        _, _, above, dead = stack[-1]
+        firm, named, hidden = _weigh(tag, m["attrs"])
+        _, above, dead = stack[-1]
         if tag == "body" and stack[-1][0] == "head":
-            above, dead = 0.0, False
-        # An article inside a sidebar is not the article; a menu inside an article is a menu.
-        inner = above + score if not (score < 0 < above) else above
-        if score > 0 > above:
-            inner = score - 1.0
-        stack.append((tag, number, max(-8.0, min(inner, 12.0)), dead or hidden or tag in SKIPPED))
+            dead = False
+        stack.append((tag, len(containers), dead or hidden or tag in SKIPPED))
+        containers.append(Container(above, tag, firm, named))
         opened[tag] = opened.get(tag, 0) + 1
     flush()
+    scores = _scores(containers)
+    for block in found:
+        block.score = scores[int(block.score)]
     return found
 
 
-def against(block: Block) -> float:
-    """Log odds that a block is boilerplate."""
-    length = len(block.text)
-    density = min(1.0, block.linked / max(1, length))
-    score = block.score + 3.0 * density
-    if block.score >= 0:
-        score += 1.5 - 0.6 * math.log1p(length / 20)
-    return score
+def priors(found: list[Block]) -> list[float]:
+    """Log odds of each block that it is boilerplate.
+
+    Blocks below a container that speaks for content or against it follow that. Others are judged by their
+    length where some container speaks for content, else by the plain text of their container, as a share of
+    the container of the page that has most: a page without such marks has its text where most of it stands.
+    """
+    mass: dict[int, int] = {}
+    for block in found:
+        if block.score < 1:
+            mass[block.parent] = mass.get(block.parent, 0) + max(0, len(block.text) - block.linked)
+    most = max(mass.values(), default=0)
+    marked = any(block.score < -2.5 and len(block.text) > block.linked for block in found)
+    out = []
+    for block in found:
+        length = len(block.text)
+        odds = block.score + 3.0 * min(1.0, block.linked / max(1, length))
+        if block.score >= 0 or not marked:
+            if marked or not most or block.score >= 1:
+                odds += 1.5 - 0.6 * math.log1p(length / 20)
+            else:
+                odds += 1.5 - 3.0 * mass[block.parent] / most
+        out.append(odds)
+    return out
 
 
 def content(found: list[Block]) -> list[bool]:
@@ -209,8 +285,7 @@ def content(found: list[Block]) -> list[bool]:
         room.append(back)
 
     last: dict[int, int] = {}
-    for k, block in enumerate(found):
-        odds = against(block)
+    for k, (block, odds) in enumerate(zip(found, priors(found), strict=True)):
         tie(source, k, int(SCALE * math.log1p(math.exp(-odds))), 0)
         tie(k, sink, int(SCALE * math.log1p(math.exp(odds))), 0)
         if k:

@@ -16,7 +16,7 @@ import pytest
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
-from jobloom.llm import importance, nn_descent, queries, spelling
+from jobloom.llm import html_mincut, importance, nn_descent, queries, spelling
 
 SF = "/root/testdata/sf0.001"
 DOCS = "doc_id bigint, text string, n string, word string, rank string, weight string"
@@ -316,3 +316,76 @@ def test_resample_query(spark):
     found = ranks_of(queries.op13_importance_resampling(spark, SF))
     expected = plain_resample(table("documents", "doc_id, text"), [r[0] for r in table("benchmark", "text")])
     assert found == expected and any(r[4] for r in found)
+
+
+# Main text of ordinary pages
+
+STORY = " ".join(f"This is sentence number {k} of the article." for k in range(20))
+SHORT = [f"Paragraph {k} with some words, which is short for a block of an article that has many of them." for k in range(50)]
+
+
+def page_of(inner, body="<body>"):
+    return (
+        f"<html><head><title>t</title></head>{body}<nav><a href=/>Home</a><a href=/x>More</a></nav>{inner}"
+        "<footer>(c) 2024 Someone</footer></body></html>"
+    )
+
+
+@pytest.mark.parametrize(
+    ("inner", "body", "expected"),
+    [
+        (f"<article><p>{STORY}</p></article>", '<body class="home no-sidebar">', STORY),
+        (f"<main><article><p>{STORY}</p></article></main>", '<body class="has-sidebar">', STORY),
+        (f'<div class="content-with-sidebar"><article><p>{STORY}</p></article></div>', "<body>", STORY),
+        (f'<div class="site side"><article><p>{STORY}</p></article></div>', "<body>", STORY),
+        (f'<article class="post category-legal"><p>{STORY}</p></article>', "<body>", STORY),
+        (f'<article class="post tag-search"><p>{STORY}</p></article>', "<body>", STORY),
+        (f'<div class="sidebar"><p>{STORY}</p></div>', "<body>", STORY),
+        ("<div><h1>Notice of the day</h1><p>Shops stay open.</p></div>", "<body>", "Notice of the day Shops stay open."),
+        ("<div>" + "".join(f"<p>{p}</p>" for p in SHORT) + "</div>", "<body>", " ".join(SHORT)),
+        ("".join(f"<div>{p}</div>" for p in SHORT), "<body>", " ".join(SHORT)),
+        (f'<article><header class="post-header"><h1>A title</h1></header><p>{STORY}</p></article>', "<body>", f"A title {STORY}"),
+        (f'<article><p>{STORY}</p><div class="share-buttons">Share this</div><div class="related-posts"><p>{STORY}</p></div></article>', "<body>", STORY),
+        (f'<main><p>{STORY}</p><article class="comment"><p>{STORY} I say.</p></article></main>', "<body>", STORY),
+        (f"<article><p>{STORY}</p></article><aside><article><p>{STORY} teaser</p></article></aside>", "<body>", STORY),
+    ],
+)
+def test_ordinary_pages(inner, body, expected):
+    assert html_mincut.main_text(page_of(inner, body)) == expected
+
+
+def cut_cost(found, odds, keep):
+    """What a labelling costs: capacities of blocks on the wrong side, and ties that are cut."""
+    cost, last = 0, {}
+    for k, block in enumerate(found):
+        sides = (math.exp(odds[k]), math.exp(-odds[k]))
+        cost += int(html_mincut.SCALE * math.log1p(sides[0] if keep[k] else sides[1]))
+        if k:
+            cost += html_mincut.ADJACENT * (keep[k] != keep[k - 1])
+        if block.parent in last:
+            cost += html_mincut.SIBLING * (keep[k] != keep[last[block.parent]])
+        last[block.parent] = k
+    return cost
+
+
+def test_the_cut_is_least_among_all_labellings():
+    draw = random.Random(8)
+    for _ in range(60):
+        found = [
+            html_mincut.Block("x" * draw.randint(1, 400), 0, draw.choice([-6.0, -3.0, 0.0, 0.5, 2.0, 6.0]), draw.randint(0, 3))
+            for _ in range(draw.randint(1, 9))
+        ]
+        for block in found:
+            block.linked = draw.choice([0, 0, len(block.text)])
+        odds = html_mincut.priors(found)
+        least = min(cut_cost(found, odds, keep) for keep in itertools.product([False, True], repeat=len(found)))
+        assert cut_cost(found, odds, html_mincut.content(found)) == least
+
+
+def test_pages_again_long_and_with_clashing_columns(spark):
+    long = page_of("<article>" + "".join(f"<p>{p}</p>" for p in SHORT * 100) + "</article>")
+    rows = [(1, "u", long, "x", 7), (1, "u", long, "y", 8), (2, None, "", "z", 9)]
+    frame = spark.createDataFrame(rows, "page_id bigint, url string, html string, text string, n_chars bigint")
+    found = sorted((r["page_id"], r["text"], r["n_chars"]) for r in html_mincut.extract(frame).select("page_id", "text", "n_chars").collect())
+    whole = " ".join(SHORT * 100)
+    assert found == [(1, whole, len(whole)), (1, whole, len(whole)), (2, "", 0)]
