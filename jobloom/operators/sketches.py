@@ -16,6 +16,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from jobloom.operators.calls import MAX_FAILURE_RATE, MAX_LATENCY_MS
+
 LG = 14
 KLL = 400
 # Of KLL sketches of this size, with room to spare.
@@ -79,3 +81,18 @@ def latency_over(
     return sketches.groupBy(*by).agg(
         F.sum("n").alias("n"), F.sum("failed").alias("failed"), quantiles.alias("quantiles")
     )
+
+
+def alerts_from_sketches(
+    sketches: DataFrame, max_failure_rate: float = MAX_FAILURE_RATE, max_latency_ms: float = MAX_LATENCY_MS
+) -> DataFrame:
+    """The columns of ``source_alerts`` from kept sketches: the percentile is near, all else exact.
+
+    Sketches of a provider and window from several runs are merged. A latency without value is not counted.
+    """
+    told = latency_over(sketches, ["provider", "window_start"], [0.95])
+    rate, slow = F.col("failed") / F.col("n"), F.col("quantiles")[0]
+    return told.select(
+        "provider", "window_start", "n", rate.alias("failure_rate"), slow.alias("p95_latency_ms"),
+        (rate > max_failure_rate).alias("failing"), (slow > max_latency_ms).alias("slow"),
+    )

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from jobloom.operators import sketches as S
+from jobloom.operators.calls import source_alerts
 from jobloom.operators.merge import dedup_postings
 from jobloom.session import new_path
 from jobloom.sources.ordered import ordered_page_info, ordered_parts, read_page, write_ordered
@@ -103,6 +104,20 @@ def test_quantiles_of_a_hot_provider(spark):
         assert abs(rank - share) <= S.RANK_ERROR
 
 
+def test_alerts_from_the_sketches_of_two_runs(spark):
+    calls = call_rows(spark, 50_000)
+    runs = [S.latency_sketches(calls.where(c)) for c in ("latency_ms < 40000", "latency_ms >= 40000")]
+    limits = {"max_failure_rate": 0.05, "max_latency_ms": 90_000.0}
+    found = {r["window_start"]: r for r in S.alerts_from_sketches(runs[0].unionByName(runs[1]), **limits).collect()}
+    exact = {r["window_start"]: r for r in source_alerts(calls, **limits).collect()}
+    assert found.keys() == exact.keys() and len(found) == 10
+    for at, row in found.items():
+        assert (row["n"], row["failure_rate"], row["failing"]) == (exact[at]["n"], exact[at]["failure_rate"], exact[at]["failing"])
+        # Latencies are spread evenly, so an error of the rank is one of the value.
+        assert abs(row["p95_latency_ms"] - exact[at]["p95_latency_ms"]) <= 100_000 * (S.RANK_ERROR + 0.01)
+        assert row["slow"] == exact[at]["slow"]
+
+
 def test_panes_add_up(spark):
     seen = [START + timedelta(hours=h, minutes=m) for h, m in [(0, 0), (0, 59), (5, 1), (23, 0), (30, 30)]]
     rows = spark.createDataFrame([(t,) for t in seen], "scraped_at timestamp")
