@@ -240,7 +240,7 @@ def map_by_paths(
     """One posting per payload, each field at a JSON path such as ``$.company.name``.
 
     A payload is parsed once, into a variant, whatever the number of paths; one that is no JSON gives
-    no posting. A path to an object or a list gives its JSON text.
+    no posting. A path to an object or a list gives its JSON text, a number its plain form (50000 for 50000.0).
     """
     # The generator keeps the optimizer from repeating the parse for each path.
     parsed = raw.withColumn("_variant", F.explode(F.array(F.try_parse_json("payload"))))
