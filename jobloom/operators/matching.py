@@ -8,20 +8,28 @@ word. Every step is an equi-join or an aggregate; no posting meets every term.
 
 A long word is cut into overlapping windows, so its parts stay in proportion to it. Hits
 are partitioned by posting once; what follows per posting needs no other exchange.
+
+The (query, posting) rows of ``match_queries`` and ``score_many`` need no hits as rows: texts are
+partitioned by posting once, and a task finds the terms of each with one automaton and scores
+them against a matrix of (term, query) counts.
 """
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from jobloom.functions.text import text_of, title_and_description
+from jobloom.operators.holding import BITS, Scorer, automaton, codes_of, points_of, read_fields, run_passes
 
 SPACE = r"[ \t\n\r]+"
 # Terms up to this length are looked for by word; longer ones are checked on the texts.
 LONGEST_PROBE = 32
-# Terms of up to this many bytes in all are sent to every task; more are joined by a shuffle.
-SENT_BYTES = 8 << 20
 FIELDS = ["title", "description", "company", "keywords"]
 
 
@@ -138,20 +146,85 @@ def term_hits(postings: DataFrame, terms: DataFrame, key: str = "key") -> DataFr
     return hits.where(anywhere)
 
 
-def _sent(terms: DataFrame) -> DataFrame:
-    """The terms, sent to every task if their measured size is small; that keeps the hits where they are."""
-    size = terms.agg(F.sum(F.octet_length("term") + 32)).head()[0] or 0
-    return F.broadcast(terms) if size <= SENT_BYTES else terms
+def _held(texts: list[list[str]], names: list[str], terms: list[str], machine) -> np.ndarray:
+    """(rows x terms) bits of the fields that hold each term."""
+    out = np.zeros((len(texts[0]), len(terms)), dtype=np.uint8)
+    for name, column in zip(names, texts, strict=True):
+        if len(machine):
+            for row, text in enumerate(column):
+                out[row, list({number for _, number in machine.iter(text)})] |= BITS[name]
+        out[:, [n for n, term in enumerate(terms) if not term]] |= BITS[name]
+    return out
+
+
+def _each_posting(batches: Iterator[pa.RecordBatch], scorer: Scorer, formula: str):
+    """Gives (keys, points) of postings that come sorted by key.
+
+    The rows of one key are one posting: a term holds that one of them holds, but terms that are checked on
+    the texts count in each row, and in none without a key.
+    """
+    names, terms = read_fields(formula), scorer.terms.to_pylist()
+    machine = automaton(terms)
+    on_text = np.array([bool(re.search(SPACE, t)) or not t or len(t) > LONGEST_PROBE for t in terms], dtype=bool)
+    # What is known of the last key, since its rows may go on.
+    keys, bits, sums = None, np.zeros((0, len(terms)), np.uint8), np.zeros((0, int(on_text.sum())))
+
+    def value(bits: np.ndarray, sums: np.ndarray) -> np.ndarray:
+        found = points_of(bits, formula)
+        found[:, on_text] = sums
+        return found
+
+    for batch in batches:
+        for begin in range(0, batch.num_rows, scorer.step):
+            part = batch.slice(begin, scorer.step)
+            held = _held([part[n].to_pylist() for n in names], names, terms, machine)
+            own = points_of(held[:, on_text], formula)
+            own[part["key"].is_null().to_numpy(zero_copy_only=False)] = 0
+            keys = part["key"] if keys is None else pa.concat_arrays([keys, part["key"]])
+            bits, sums = np.vstack([bits, held]), np.vstack([sums, own])
+            code, _ = codes_of(keys)
+            first = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]]))
+            if len(first) < len(code):
+                bits, sums = np.bitwise_or.reduceat(bits, first), np.add.reduceat(sums, first)
+            keys = keys.take(pa.array(first))
+            if len(first) > 1:
+                yield keys[:-1], value(bits[:-1], sums[:-1])
+            keys, bits, sums = keys[-1:], bits[-1:], sums[-1:]
+    if keys is not None:
+        yield keys, value(bits, sums)
+
+
+def _scored(queries: DataFrame, postings: DataFrame, formula: str, query_id: str, key: str) -> DataFrame:
+    """(query_id, key, relevance) for the postings with a score above 0. Reads the terms when it is called."""
+    fields = read_fields(formula)
+    weights = query_terms(queries, query_id).withColumnRenamed(query_id, "query_id")
+    kind, of = weights.schema["query_id"].dataType.simpleString(), postings.schema[key].dataType.simpleString()
+    schema = f"query_id {kind}, key {of}, relevance double"
+    texts = {**_field_texts(postings), "text": title_and_description(F.col("title"), F.col("description"))}
+    rows = postings.select(F.col(key).alias("key"), *[texts[n].alias(n) for n in fields]).repartition("key")
+    rows = rows.sortWithinPartitions("key")
+
+    def one(sent: pa.Table) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            scorer = Scorer(sent)
+            for keys, value in _each_posting(batches, scorer, formula):
+                for ids, found in scorer.scores(value):
+                    row, query = np.nonzero(found > 0)
+                    columns = [ids.take(pa.array(query)), keys.take(pa.array(row)), pa.array(found[row, query])]
+                    yield pa.RecordBatch.from_arrays(columns, ["query_id", "key", "relevance"])
+
+        return rows.mapInArrow(run, schema)
+
+    return run_passes(weights, one, schema).select(
+        F.col("query_id").alias(query_id), F.col("key").alias(key), "relevance"
+    )
 
 
 def match_queries(
     queries: DataFrame, postings: DataFrame, query_id: str = "query_id", key: str = "key"
 ) -> DataFrame:
     """(query_id, key): the postings with one term or more in title, description or keywords."""
-    terms = query_terms(queries, query_id)
-    hits = term_hits(postings, terms.select("term"), key)
-    matched = hits.where(F.col("in_title") | F.col("in_description") | F.col("in_keywords"))
-    return matched.join(_sent(terms), "term").select(query_id, key).distinct()
+    return _scored(queries, postings, "match", query_id, key).select(query_id, key)
 
 
 def score_many(
@@ -166,21 +239,6 @@ def score_many(
     ``ratio``: one point per term in the text, one more in the title. ``weighted``:
     3 for the title, 1 for the description, 0.5 for the company. Both are means.
     """
-
-    def one(name: str) -> Column:
-        return F.col(name).cast("double")
-
-    if formula == "ratio":
-        points = one("in_text") + F.when(F.col("in_text"), one("in_title")).otherwise(F.lit(0.0))
-    elif formula == "weighted":
-        points = 3.0 * one("in_title") + one("in_description") + 0.5 * one("in_company")
-    else:
+    if formula not in ("ratio", "weighted"):
         raise ValueError(f"unknown formula: {formula}")
-    terms = query_terms(queries, query_id)
-    hits = term_hits(postings, terms.select("term"), key).select(key, "term", points.alias("points"))
-    return (
-        hits.where(F.col("points") > 0)
-        .join(_sent(terms), "term")
-        .groupBy(query_id, key)
-        .agg((F.sum(F.col("points") * F.col("times")) / F.max("n_terms")).alias("relevance"))
-    )
+    return _scored(queries, postings, formula, query_id, key)

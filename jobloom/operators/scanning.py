@@ -12,16 +12,16 @@ against a store that is searched often, ``substrings`` keeps an index in place o
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
-import ahocorasick
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from jobloom.functions.text import title_and_description
-from jobloom.operators.matching import FIELDS, _field_texts, query_terms
+from jobloom.operators.holding import automaton, points, read_fields
+from jobloom.operators.matching import _field_texts, query_terms
 from jobloom.operators.ranking import top_per_group
 from jobloom.session import spread
 
@@ -31,29 +31,6 @@ SENT_CHARS = 1 << 20
 QUERIES = 256
 CELLS = 1 << 22
 
-# Points of a term by the field that holds it.
-POINTS = {
-    "weighted": {"title": 3.0, "description": 1.0, "company": 0.5},
-    "match": {"title": 1.0, "description": 1.0, "keywords": 1.0},
-}
-Held = Callable[[str], np.ndarray]
-
-
-def read_fields(formula: str) -> list[str]:
-    """The texts that a formula looks at; ``text`` is title and description as one."""
-    if formula == "ratio":
-        return ["title", "text"]
-    if formula not in POINTS:
-        raise ValueError(f"unknown formula: {formula}")
-    return list(POINTS[formula])
-
-
-def points(held: Held, formula: str) -> np.ndarray:
-    """(rows x terms) the points of each term in each posting; ``held`` says which terms a field holds."""
-    if formula == "ratio":
-        return held("text") * (1 + held("title"))
-    return sum(weight * held(name) for name, weight in POINTS[formula].items())
-
 
 class Scorer:
     """The queries of a pass: their terms, and in blocks the number of times each query has each term."""
@@ -82,15 +59,6 @@ class Scorer:
             yield some, value[:, columns] @ matrix / size
 
 
-def automaton(terms: np.ndarray) -> ahocorasick.Automaton:
-    found = ahocorasick.Automaton()
-    for number, term in enumerate(terms):
-        if term:
-            found.add_word(term, number)
-    found.make_automaton()
-    return found
-
-
 def _frame_scores(scorer: Scorer, formula: str):
     """Gives (keys, query ids, rows x queries scores) of frames of texts."""
     machine = automaton(scorer.terms)
