@@ -1,10 +1,12 @@
 """What grows with the tables: hits of queries, rows of a batch of pages, rows of a task of a merge."""
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from jobloom.operators import holding
 from jobloom.operators.matching import match_queries, score_many
+from jobloom.sources import pages
 
 TEXTS = "key bigint, title string, description string, company string, keywords array<string>"
 
@@ -48,3 +50,18 @@ def test_passes_of_queries(asked, repeated, monkeypatch):
     whole = sorted(map(tuple, score_many(asked, repeated).collect()), key=str)
     monkeypatch.setattr(holding, "SENT_CHARS", 20)
     assert sorted(map(tuple, score_many(asked, repeated).collect()), key=str) == whole
+
+
+def test_pages_of_a_batch_are_read_in_slices(spark, monkeypatch):
+    sizes = [3, 0, 5, 20, 1, 1]
+    batch = pa.RecordBatch.from_pydict({"html": ["x" * n or None for n in sizes]})
+    monkeypatch.setattr(pages, "SLICE_BYTES", 8)
+    assert [p.num_rows for p in pages._slices(batch)] == [3, 1, 2]
+    html = "<div class=j><b>T</b><i>C</i></div>"
+    rows = [(k if k % 3 else None, f"p{k}", "https://e.org/", html * (k % 4) or None) for k in range(40)]
+    raw = spark.createDataFrame(rows, "n bigint, page string, url string, html string").coalesce(1)
+    rules = {"jobContainer": ".j", "title": "b", "company": "i"}
+    found = pages.extract_postings_html(raw, rules, F.lit("s"), F.lit("2024-01-01").cast("timestamp"), keep=["n", "page"])
+    assert "MapInArrow" in found._jdf.queryExecution().optimizedPlan().toString()
+    got = sorted(((r.page, r.n, r.title, r.company) for r in found.collect()), key=str)
+    assert got == sorted(((page, n, "T", "C") for n, page, _, h in rows for _ in range((h or "").count("<div"))), key=str)
