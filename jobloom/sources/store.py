@@ -10,8 +10,8 @@ Rows of a bucket are sorted by time and cut into files of ``rows_per_file`` rows
 a stretch of time. A reader with a time range or a location passes over the files that the
 manifest rules out; what it opens has Parquet statistics, and a Bloom filter on the id.
 
-A bucket is one task of an upsert; choose ``buckets`` so that each is some hundred MB. The number
-is fixed by the first version. Manifests are as long as there are files and are read by the driver,
+A task of an upsert writes a stretch of buckets and times of at most about ``ROWS_PER_TASK`` rows, so a
+large bucket is several tasks. The number of buckets is fixed by the first version. Manifests are as long as there are files and are read by the driver,
 as Spark itself lists the files of a folder.
 """
 
@@ -33,6 +33,7 @@ from jobloom.session import shared_folder
 
 BUCKETS = 64
 ROWS_PER_FILE = 200_000
+ROWS_PER_TASK = 20_000
 # A file with more locations than this cannot be passed over by location.
 LISTED_LOCATIONS = 50
 
@@ -135,13 +136,13 @@ def _bucket(buckets: int) -> Column:
     return F.pmod(F.xxhash64("id"), F.lit(buckets)).cast("int")
 
 
-def _write_files(rows: DataFrame, folder: str, buckets: int, rows_per_file: int) -> None:
-    spark = rows.sparkSession
-    parts = min(buckets, int(spark.conf.get("spark.sql.shuffle.partitions")))
+def _write_files(rows: DataFrame, folder: str, buckets: int, rows_per_file: int, n: int) -> None:
+    """``n``: the rows at most, which says how many tasks there are; each has a stretch of the order."""
+    order = ["bucket", "scraped_at", "id"]
     (
         rows.select(*POSTING_COLUMNS, _bucket(buckets).alias("bucket"))
-        .repartition(parts, "bucket")
-        .sortWithinPartitions("bucket", "scraped_at", "id")
+        .repartitionByRange(max(1, -(-n // min(rows_per_file, ROWS_PER_TASK))), *order)
+        .sortWithinPartitions(*order)
         .write.partitionBy("bucket")
         .option("maxRecordsPerFile", rows_per_file)
         .option("parquet.bloom.filter.enabled#id", "true")
@@ -207,8 +208,10 @@ def upsert(
     named = files.where(~hit & F.col("path").isNotNull()).select(_FILE)
     if touched:
         folder = f"data/{version:012d}-{uuid.uuid4().hex}"
-        merged = upsert_postings(batch, _read_files(spark, path, files.where(hit)))
-        _write_files(merged, f"{path}/{folder}", buckets, rows_per_file)
+        old = files.where(hit)
+        n = batch.count() + (old.agg(F.sum("n")).head()[0] or 0)
+        merged = upsert_postings(batch, _read_files(spark, path, old))
+        _write_files(merged, f"{path}/{folder}", buckets, rows_per_file, n)
         named = named.unionByName(_described(spark, path, folder, buckets))
     elif named.isEmpty():
         # A version without files still tells the number of buckets.
