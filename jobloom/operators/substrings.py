@@ -2,37 +2,43 @@
 
 A text holds a term without white space exactly if one of its words does. So the index has two
 tables, each cut into hash buckets: ``grams`` (gram, place, window, name) has a row for every
-place of every distinct word: three characters from there, fewer at the end; ``words`` (name, key,
-field) says in which fields of which postings a word stands. ``counts`` has the number of places of each gram.
+place of every distinct word: three characters from there, fewer at the end; ``words`` (segment, name, keys,
+fields) lists the postings of a segment that hold a word, with the fields as bits. A segment is a set of postings
+of bounded text, by a hash of the key, inverted in one task: what is shuffled is the text, once, and no row per
+word of a posting. ``counts`` has the number of places of each gram.
 
 A term is looked up by the rarest of its grams: each place of that gram says where the term must
 begin in the word, and the term is compared there. Terms of one or two characters are looked up by
 the grams that begin with them. Only the buckets that a search asks for are read. Long words are
 held in windows of bounded size, by a digest; terms of several words, or longer than a window can
-answer for, are looked up by a piece and compared with the texts of the postings found that way.
+answer for, are found by one automaton in a pass over the texts.
 
 A key names a posting: rows that share one are one posting here. Searches give counts and the
-best postings of each query. The hits of a posting, a list of term
-numbers a field, meet the queries inside its task, against a matrix of the weights of a block of queries;
-no (query, posting) row leaves a task but the best ``k``.
+best postings of each query. The lists of the words found meet the queries segment by segment, against a
+matrix of the weights of a block of queries; no (query, posting) row leaves a task but the best ``k``.
 """
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Callable, Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from jobloom.functions.text import title_and_description
-from jobloom.operators.matching import FIELDS, LONGEST_PROBE, SPACE, _field_texts, _field_words, _windows, _word_name
-from jobloom.operators.scanning import (
-    Scorer, best_of_all, counting, counts_of_all, keeping_best, numbered_queries, points, read_fields, run_passes,
-)
+from jobloom.functions.text import text_of, title_and_description
+from jobloom.operators.holding import BITS, Scorer, automaton, codes_of, passes, points_of, ranges, read_fields, run_passes
+from jobloom.operators.matching import FIELDS, LONGEST_PROBE, SPACE, _field_texts, _windows, query_terms
+from jobloom.operators.scanning import best_of_all, counts_of_all
 from jobloom.session import shared_folder
 
 GRAM = 3
 BUCKETS = 16
+# Bytes of title and description in a segment, about.
+SEGMENT_BYTES = 8 << 20
 
 
 def _bucket(column: str, buckets: int) -> Column:
@@ -53,20 +59,63 @@ def _grams(window: Column) -> Column:
     )
 
 
+def _segment(key: Column, segments: int) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(segments)).cast("int")
+
+
+def _inverted(rows: pa.Table) -> pa.Table:
+    """The words of one segment, each with its postings and the bits of their fields."""
+    key, keys = codes_of(rows["key"])
+    found, at, bits = [], [], []
+    for name in FIELDS:
+        lists = pc.split_pattern_regex(pa.concat_arrays(rows[name].chunks), SPACE)
+        words, parents = lists.flatten(), pc.list_parent_indices(lists).to_numpy()
+        found.append(words)
+        at.append(key[parents])
+        bits.append(np.full(len(words), BITS[name], dtype=np.int8))
+    word, words = codes_of(pa.concat_arrays(found))
+    pair, bits = word * len(keys) + np.concatenate(at), np.concatenate(bits)
+    by = np.argsort(pair, kind="stable")
+    pair, bits = pair[by], bits[by]
+    first = np.flatnonzero(np.concatenate([[True], pair[1:] != pair[:-1]]))
+    pair, bits = pair[first], np.bitwise_or.reduceat(bits, first)
+    ends = pa.array(np.append(0, np.cumsum(np.bincount(pair // len(keys), minlength=len(words)))), pa.int32())
+    long = pc.greater(pc.utf8_length(words), LONGEST_PROBE)
+    names = [
+        " " + hashlib.md5(w.encode()).hexdigest() if is_long else w
+        for w, is_long in zip(words.to_pylist(), long.to_pylist(), strict=True)
+    ]
+    out = pa.table({
+        "segment": pa.array(np.full(len(words), rows["segment"][0].as_py()), pa.int32()),
+        "name": pa.array(names, pa.string()),
+        "long": pc.if_else(long, words, pa.scalar(None, pa.string())),
+        "keys": pa.ListArray.from_arrays(ends, keys.take(pa.array(pair % len(keys)))),
+        "fields": pa.ListArray.from_arrays(ends, pa.array(bits, pa.int8())),
+    })
+    return out.filter(pc.not_equal(words, ""))
+
+
 def build_index(postings: DataFrame, path: str, key: str = "key", buckets: int = BUCKETS) -> None:
     """Write the index of title, description, company and keywords of the postings."""
-    words = F.concat(*[_field_words(name, text) for name, text in _field_texts(postings).items()])
-    found = postings.select(F.col(key).alias("key"), F.inline(words)).where("word <> ''")
-    places = found.select(_word_name(F.col("word")).alias("name"), "key", "field")
-    _write(places, path, "words", "name", buckets)
-    vocabulary = found.select("word").distinct()
+    spark = postings.sparkSession
+    size = sum(F.octet_length(text_of(F.col(name))) for name in ("title", "description"))
+    segments = (postings.agg(F.sum(size)).head()[0] or 0) // SEGMENT_BYTES + 1
+    texts = [text.alias(name) for name, text in _field_texts(postings).items()]
+    rows = postings.select(_segment(F.col(key), segments).alias("segment"), F.col(key).alias("key"), *texts)
+    of = postings.schema[key].dataType.simpleString()
+    schema = f"segment int, name string, long string, keys array<{of}>, fields array<tinyint>"
+    words = rows.groupBy("segment").applyInArrow(_inverted, schema).withColumn("bucket", _bucket("name", buckets))
+    words.sortWithinPartitions("bucket", "name").write.partitionBy("bucket").parquet(f"{path}/words")
+    spark.createDataFrame([], words.schema).write.parquet(f"{path}/like_words")
+    vocabulary = _table(spark, path, "words").select("name", "long").distinct()
     grams = (
-        vocabulary.select(_word_name(F.col("word")).alias("name"), F.explode(_windows(F.col("word"))).alias("window"))
-        .select("name", "window", F.inline(_grams(F.col("window"))))
+        vocabulary.select("name", F.explode(_windows(F.coalesce("long", "name"))).alias("window"))
+        # A short word is its own window.
+        .select(F.nullif("name", F.col("window")).alias("name"), "window", F.inline(_grams(F.col("window"))))
     )
     _write(grams, path, "grams", "gram", buckets)
-    spark = postings.sparkSession
-    spark.range(1).select(F.lit(buckets).alias("buckets")).write.parquet(f"{path}/about")
+    about = spark.range(1).select(F.lit(buckets).alias("buckets"), F.lit(segments).cast("int").alias("segments"))
+    about.write.parquet(f"{path}/about")
     _table(spark, path, "grams").groupBy("gram").agg(F.count(F.lit(1)).alias("n")).write.parquet(f"{path}/counts")
 
 
@@ -105,14 +154,14 @@ def find_words(spark: SparkSession, path: str, terms: DataFrame) -> DataFrame:
         _asked(rarest, "gram", path, "grams")
         .join(rarest, "gram")
         .where((start > 0) & (F.substr("window", start, F.length("probe")) == F.col("probe")))
-        .select("term_id", "name")
+        .select("term_id", F.coalesce("name", "window").alias("name"))
     )
     short = terms.where(n < GRAM)
     if short.isEmpty():
         return by_gram.distinct()
     grams = _table(spark, path, "grams")
     heads = F.transform(F.sequence(F.lit(1), F.least(F.length("gram"), F.lit(GRAM - 1))), lambda k: F.substr("gram", F.lit(1), k))
-    by_head = grams.select("name", F.explode(heads).alias("probe")).distinct().join(short, "probe")
+    by_head = grams.select(F.coalesce("name", "window").alias("name"), F.explode(heads).alias("probe")).distinct().join(short, "probe")
     return by_gram.union(by_head.select("term_id", "name")).distinct()
 
 
@@ -132,97 +181,147 @@ def _numbered(terms: DataFrame) -> DataFrame:
     )
 
 
-def _lists(flags: list[str]) -> list[Column]:
-    return [F.collect_set(F.when(F.col(n), F.col("term_id"))).alias(n) for n in flags]
+def _word_lists(path: str, spark: SparkSession, terms: DataFrame) -> DataFrame:
+    """(segment, keys, fields, terms): the postings of each word that holds terms, with their numbers."""
+    words = find_words(spark, path, terms.where(~F.col("whole")))
+    named = words.groupBy("name").agg(F.collect_list("term_id").alias("terms"))
+    return _asked(named, "name", path, "words").join(named, "name").select("segment", "keys", "fields", "terms")
 
 
-def term_lists(path: str, postings: DataFrame, terms: DataFrame, key: str = "key") -> DataFrame:
-    """(key, title, description, company, keywords, text): the numbers of the terms each field holds.
+def _text_lists(path: str, postings: DataFrame, terms: DataFrame, key: str) -> DataFrame:
+    """(segment, key, terms, fields): the terms that words cannot answer for, by a pass over the texts.
 
-    ``text`` is the title and the description as one text. ``postings`` are those of the index;
-    their texts are read only for terms that words cannot answer for.
+    No such term is in a posting without a key.
     """
     spark = postings.sparkSession
-    words = find_words(spark, path, terms.where(F.col("probe") != ""))
-    named = words.groupBy("name").agg(F.collect_list("term_id").alias("terms"))
-    at = _asked(named, "name", path, "words").join(named, "name")
-    held = [F.flatten(F.collect_list(F.when(F.col("field") == n, F.col("terms")))).alias(n) for n in FIELDS]
-    lists = at.groupBy("key").agg(*held).select(
-        "key", *[F.array_distinct(n).alias(n) for n in FIELDS]
-    )
-    asked = terms.where("whole")
-    text = F.array_union("title", "description").alias("text")
-    if asked.isEmpty():
-        return lists.select("key", *FIELDS, text)
-    # Candidates by a piece of the term, in any field; blanks are asked of every posting.
-    pieces = asked.where(F.col("probe") != "").select("term_id", "term")
-    by_piece = (
-        lists.select("key", F.explode(F.array_distinct(F.concat(*FIELDS))).alias("term_id"))
-        .join(pieces, "term_id")
-        .select("key", "term_id", "term")
-    )
-    blanks = asked.where(F.col("probe") == "").agg(F.collect_list(F.struct("term_id", "term"))).scalar()
-    by_blank = postings.select(F.col(key).alias("key"), F.inline(blanks))
+    segments = spark.read.parquet(f"{path}/about").head()["segments"]
+    of = postings.schema[key].dataType.simpleString()
+    schema = f"segment int, key {of}, terms array<bigint>, fields array<tinyint>"
     texts = {**_field_texts(postings), "text": title_and_description(F.col("title"), F.col("description"))}
-    whole = postings.select(F.col(key).alias("key"), *[t.alias(f"_{n}") for n, t in texts.items()])
-    compared = by_piece.union(by_blank).join(whole, "key")
-    compared = compared.select("key", "term_id", *[F.col(f"_{n}").contains(F.col("term")).alias(n) for n in texts])
-    by_text = compared.groupBy("key").agg(*_lists([*FIELDS, "text"]))
-    numbers = asked.agg(F.collect_list("term_id")).scalar()
-    plain = lists.select("key", *[F.array_except(n, numbers).alias(n) for n in FIELDS])
-    plain = plain.select("key", *FIELDS, text)
-    return (
-        plain.unionByName(by_text)
-        .groupBy("key")
-        .agg(*[F.flatten(F.collect_list(n)).alias(n) for n in [*FIELDS, "text"]])
+    rows = postings.where(F.col(key).isNotNull()).select(
+        _segment(F.col(key), segments).alias("segment"), F.col(key).alias("key"), *[t.alias(n) for n, t in texts.items()]
     )
+    found = spark.createDataFrame([], schema)
+    weights = terms.where("whole").select(F.col("term_id").alias("query_id"), "term")
+    for sent in passes(weights):
+        found = found.union(rows.mapInArrow(_pass_of_texts(sent), schema))
+    return found
+
+
+def _pass_of_texts(sent: pa.Table):
+    numbers, terms = sent["query_id"].to_numpy(), sent["term"].to_pylist()
+    everywhere = [n for n, term in enumerate(terms) if not term]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        machine = automaton(terms)
+        for batch in batches:
+            at, held, bits = [], [], []
+            texts = zip(*[batch[name].to_pylist() for name in BITS], strict=True)
+            for row, some in enumerate(texts):
+                mine = dict.fromkeys(everywhere, sum(BITS.values()))
+                for bit, text in zip(BITS.values(), some, strict=True):
+                    for number in {n for _, n in machine.iter(text)} if len(machine) else ():
+                        mine[number] = mine.get(number, 0) | bit
+                if mine:
+                    at.append(row)
+                    held.append(numbers[list(mine)])
+                    bits.append(list(mine.values()))
+            at = pa.array(at, pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [batch["segment"].take(at), batch["key"].take(at),
+                 pa.array(held, pa.list_(pa.int64())), pa.array(bits, pa.list_(pa.int8()))],
+                ["segment", "key", "terms", "fields"],
+            )
 
-
-def _weights(queries: DataFrame, query_id: str) -> tuple[DataFrame, DataFrame]:
-    """The numbered terms, and (query_id, term, times, n_terms) with the number as the term."""
-    rows = numbered_queries(queries, query_id)
-    terms = _numbered(rows)
-    numbers = terms.select("term", F.format_string("%020d", "term_id").alias("number"))
-    return terms, rows.join(numbers, "term").select("query_id", F.col("number").alias("term"), "times", "n_terms")
+    return run
 
 
-def _list_scores(scorer: Scorer, formula: str):
-    """Gives (keys, query ids, rows x queries scores) of frames of term lists."""
-    known = scorer.terms.astype(np.int64)
+def _flat(lists: pa.ChunkedArray) -> tuple[pa.ChunkedArray, np.ndarray]:
+    """The values of all lists, and the size of each list."""
+    return pc.list_flatten(lists), pc.list_value_length(lists).to_numpy().astype(np.int64)
+
+
+def _segment_scores(words: pa.Table, texts: pa.Table, scorer: Scorer, formula: str):
+    """Gives (keys, query ids, postings x queries scores) of one segment; the keys rise."""
+    known = scorer.terms.to_numpy()
+    listed, n_keys = _flat(words["keys"])
+    key, keys = codes_of(pa.chunked_array([*listed.chunks, *texts["key"].chunks], listed.type))
+    fields, _ = _flat(words["fields"])
+    terms, n_terms = _flat(words["terms"])
+    begins = np.cumsum(n_terms) - n_terms
+    bits = fields.to_numpy().astype(np.uint8)
+    bits = bits | np.where(bits & (BITS["title"] | BITS["description"]), BITS["text"], 0).astype(np.uint8)
+    own, n_own = _flat(texts["terms"])
+    own_bits = _flat(texts["fields"])[0].to_numpy().astype(np.uint8)
+
+    def columns(numbers: pa.ChunkedArray) -> np.ndarray:
+        """The place of each term among those of this pass, or -1."""
+        asked = numbers.to_numpy()
+        at = np.minimum(np.searchsorted(known, asked), len(known) - 1)
+        return np.where(known[at] == asked, at, -1)
+
+    term, own = columns(terms), columns(own)
+    # Entries: a posting of a word, and then a posting of the texts; each has a stretch of terms.
+    row = np.repeat(np.arange(words.num_rows), n_keys)
+    start = np.concatenate([begins[row], len(term) + np.cumsum(n_own) - n_own])
+    count = np.concatenate([n_terms[row], n_own])
+    term = np.concatenate([term, own])
+    by = np.argsort(key, kind="stable")
+    cuts = np.searchsorted(key[by], np.arange(0, len(keys) + scorer.step, scorer.step))
+    for begin, (a, b) in zip(range(0, len(keys), scorer.step), zip(cuts, cuts[1:], strict=False), strict=False):
+        some = by[a:b]
+        place = ranges(start[some], count[some])
+        column, at = term[place], np.repeat(key[some] - begin, count[some])
+        entry = np.repeat(some, count[some])
+        of_word = entry < len(bits)
+        bit = np.where(of_word, bits[np.where(of_word, entry, 0)] if len(bits) else 0, 0).astype(np.uint8)
+        bit[~of_word] = own_bits[place[~of_word] - (len(term) - len(own))]
+        mine = column >= 0
+        column, at, bit = column[mine], at[mine], bit[mine]
+        held = np.zeros((min(scorer.step, len(keys) - begin), len(known)), dtype=np.uint8)
+        for one in BITS.values():
+            has = (bit & one) != 0
+            held[at[has], column[has]] |= one
+        for ids, found in scorer.scores(points_of(held, formula)):
+            yield keys[begin : begin + len(held)], ids, found
+
+
+def _by_segment(
+    path: str, queries: DataFrame, postings: DataFrame, formula: str, query_id: str, key: str, schema: str,
+    summed: Callable,
+) -> DataFrame:
+    """What ``summed`` makes of the scores of each segment, pass by pass."""
+    spark = postings.sparkSession
+    shared_folder(spark)
+    asked = query_terms(queries, query_id).withColumnRenamed(query_id, "query_id").where("term IS NOT NULL")
+    terms = _numbered(asked)
+    weights = asked.join(terms.select("term", "term_id"), "term").select(
+        "query_id", F.col("term_id").alias("term"), "times", "n_terms"
+    )
+    words, texts = _word_lists(path, spark, terms), _text_lists(path, postings, terms, key)
 
-    def held_in(lists: pd.Series) -> np.ndarray:
-        out = np.zeros((len(lists), len(known)))
-        sizes = lists.map(len).to_numpy()
-        if sizes.sum():
-            found = np.concatenate([np.asarray(x, dtype=np.int64) for x in lists if len(x)])
-            at = np.minimum(np.searchsorted(known, found), len(known) - 1)
-            mine = known[at] == found
-            out[np.repeat(np.arange(len(lists)), sizes)[mine], at[mine]] = 1
-        return out
+    def one(sent: pa.Table) -> DataFrame:
+        def run(left: pa.Table, right: pa.Table) -> pa.Table:
+            return summed(_segment_scores(left, right, Scorer(sent), formula))
 
-    def run(frame: pd.DataFrame):
-        for begin in range(0, len(frame), scorer.step):
-            part = frame[begin : begin + scorer.step]
-            value = points(lambda name, part=part: held_in(part[name]), formula)
-            for some, found in scorer.scores(value):
-                yield part["key"].to_numpy(), some, found
+        return words.groupBy("segment").cogroup(texts.groupBy("segment")).applyInArrow(run, schema)
 
-    return run
+    return run_passes(weights, one, schema)
 
 
 def count_indexed(
     path: str, queries: DataFrame, postings: DataFrame, query_id: str = "query_id", key: str = "key"
 ) -> DataFrame:
     """(query_id, n): how many postings hold a term of each query in title, description or keywords."""
-    shared_folder(postings.sparkSession)
-    terms, weights = _weights(queries, query_id)
-    kind = weights.schema["query_id"].dataType.simpleString()
+    schema = f"query_id {queries.schema[query_id].dataType.simpleString()}, n bigint"
 
-    def task(sent: pd.DataFrame):
-        return counting(_list_scores(Scorer(sent), "match"))
+    def summed(scores) -> pa.Table:
+        parts = [
+            pa.table({"query_id": ids, "n": pa.array((found > 0).sum(axis=0), pa.int64())}) for _, ids, found in scores
+        ]
+        return pa.concat_tables(parts)
 
-    hits = term_lists(path, postings, terms, key)
-    return counts_of_all(queries, run_passes(hits, weights, task, f"query_id {kind}, n bigint"), query_id)
+    return counts_of_all(queries, _by_segment(path, queries, postings, "match", query_id, key, schema, summed), query_id)
 
 
 def search_indexed(
@@ -231,12 +330,19 @@ def search_indexed(
 ) -> DataFrame:
     """(query_id, search_rank, key, relevance): the best ``k`` postings of each query, as ``search_many`` scores them."""
     read_fields(formula)
-    shared_folder(postings.sparkSession)
-    terms, weights = _weights(queries, query_id)
-    kind, of = weights.schema["query_id"].dataType.simpleString(), postings.schema[key].dataType.simpleString()
-
-    def task(sent: pd.DataFrame):
-        return keeping_best(_list_scores(Scorer(sent), formula), k, sent["query_id"].nunique())
-
-    hits = term_lists(path, postings, terms, key)
-    return best_of_all(run_passes(hits, weights, task, f"query_id {kind}, key {of}, relevance double"), k, query_id, key)
+    kind, of = (df.schema[c].dataType.simpleString() for df, c in ((queries, query_id), (postings, key)))
+
+    def summed(scores) -> pa.Table:
+        """The best of each stretch of postings; what is left of a segment is ranked with the others."""
+        parts = []
+        for keys, ids, found in scores:
+            # The keys rise, so a stable order by score breaks ties by key.
+            order = np.argsort(-found, axis=0, kind="stable")[:k]
+            value = np.take_along_axis(found, order, axis=0)
+            row, query = np.nonzero(value > 0)
+            best = [ids.take(pa.array(query)), keys.take(pa.array(order[row, query])), pa.array(value[row, query])]
+            parts.append(pa.Table.from_arrays(best, ["query_id", "key", "relevance"]))
+        return pa.concat_tables(parts)
+
+    schema = f"query_id {kind}, key {of}, relevance double"
+    return best_of_all(_by_segment(path, queries, postings, formula, query_id, key, schema, summed), k, query_id, key)

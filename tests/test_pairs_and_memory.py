@@ -4,8 +4,9 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from jobloom.operators import holding
+from jobloom.operators import holding, substrings
 from jobloom.operators.matching import match_queries, score_many
+from jobloom.session import new_path
 from jobloom.sources import pages
 
 TEXTS = "key bigint, title string, description string, company string, keywords array<string>"
@@ -65,3 +66,20 @@ def test_pages_of_a_batch_are_read_in_slices(spark, monkeypatch):
     assert "MapInArrow" in found._jdf.queryExecution().optimizedPlan().toString()
     got = sorted(((r.page, r.n, r.title, r.company) for r in found.collect()), key=str)
     assert got == sorted(((page, n, "T", "C") for n, page, _, h in rows for _ in range((h or "").count("<div"))), key=str)
+
+
+def test_an_index_shuffles_lists_and_no_row_per_word(spark, monkeypatch):
+    """A word is one row a segment, however many postings hold it; a search meets segments of bounded text."""
+    monkeypatch.setattr(substrings, "SEGMENT_BYTES", 100)
+    rows = [(k if k else None, "java dev", "work from home javac" if k % 2 else "x" * 40, None, ["go"]) for k in range(40)]
+    postings = spark.createDataFrame(rows + rows[:5], TEXTS)
+    path = new_path(spark, "index")
+    substrings.build_index(postings, path)
+    segments = spark.read.parquet(f"{path}/about").head()["segments"]
+    words = spark.read.parquet(f"{path}/words")
+    assert segments > 5 and words.where("name = 'java'").count() <= segments < 40
+    assert words.where("name = 'java'").selectExpr("sum(size(keys))").head()[0] == 40
+    asked = [(1, ["jav"]), (2, ["from home"]), (3, ["x" * 33]), (4, ["zz"]), (5, [""])]
+    queries = spark.createDataFrame(asked, "query_id bigint, keywords array<string>")
+    counts = {r.query_id: r.n for r in substrings.count_indexed(path, queries, postings).collect()}
+    assert counts == {1: 40, 2: 20, 3: 19, 4: 0, 5: 39}
