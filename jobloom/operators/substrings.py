@@ -39,6 +39,8 @@ GRAM = 3
 BUCKETS = 16
 # Bytes of title and description in a segment, about.
 SEGMENT_BYTES = 8 << 20
+# Terms of up to this many bytes in all are sent to every task.
+SENT_BYTES = 8 << 20
 
 
 def _bucket(column: str, buckets: int) -> Column:
@@ -136,7 +138,18 @@ def _asked(rows: DataFrame, by: str, path: str, name: str) -> DataFrame:
 
 def find_words(spark: SparkSession, path: str, terms: DataFrame) -> DataFrame:
     """(term_id, name): the words that contain the ``probe`` of a term."""
+    return _words_of(spark, path, terms).distinct()
+
+
+def _sent(rows: DataFrame, size: int) -> DataFrame:
+    """A row a term at most: sent to every task if the terms are small, so that the grams stay where they are."""
+    return F.broadcast(rows) if size <= SENT_BYTES else rows
+
+
+def _words_of(spark: SparkSession, path: str, terms: DataFrame) -> DataFrame:
+    """The rows of ``find_words``, also repeated ones."""
     n = F.length("probe")
+    size = terms.agg(F.sum(F.octet_length("probe") + 48)).head()[0] or 0
     long = terms.where(n >= GRAM)
     pieces = long.select("term_id", "probe", F.explode(F.sequence(F.lit(1), n - GRAM + 1)).alias("offset")).withColumn(
         "gram", F.substr("probe", F.col("offset"), F.lit(GRAM))
@@ -152,17 +165,17 @@ def find_words(spark: SparkSession, path: str, terms: DataFrame) -> DataFrame:
     start = F.col("place") - F.col("offset") + 1
     by_gram = (
         _asked(rarest, "gram", path, "grams")
-        .join(rarest, "gram")
+        .join(_sent(rarest, size), "gram")
         .where((start > 0) & (F.substr("window", start, F.length("probe")) == F.col("probe")))
         .select("term_id", F.coalesce("name", "window").alias("name"))
     )
     short = terms.where(n < GRAM)
     if short.isEmpty():
-        return by_gram.distinct()
+        return by_gram
     grams = _table(spark, path, "grams")
     heads = F.transform(F.sequence(F.lit(1), F.least(F.length("gram"), F.lit(GRAM - 1))), lambda k: F.substr("gram", F.lit(1), k))
-    by_head = grams.select(F.coalesce("name", "window").alias("name"), F.explode(heads).alias("probe")).distinct().join(short, "probe")
-    return by_gram.union(by_head.select("term_id", "name")).distinct()
+    by_head = grams.select(F.coalesce("name", "window").alias("name"), F.explode(heads).alias("probe")).join(_sent(short, size), "probe")
+    return by_gram.union(by_head.select("term_id", "name"))
 
 
 def _numbered(terms: DataFrame) -> DataFrame:
@@ -183,8 +196,9 @@ def _numbered(terms: DataFrame) -> DataFrame:
 
 def _word_lists(path: str, spark: SparkSession, terms: DataFrame) -> DataFrame:
     """(segment, keys, fields, terms): the postings of each word that holds terms, with their numbers."""
-    words = find_words(spark, path, terms.where(~F.col("whole")))
-    named = words.groupBy("name").agg(F.collect_list("term_id").alias("terms"))
+    words = _words_of(spark, path, terms.where(~F.col("whole")))
+    # Read twice: for the buckets, and for their rows.
+    named = words.groupBy("name").agg(F.collect_set("term_id").alias("terms")).checkpoint()
     return _asked(named, "name", path, "words").join(named, "name").select("segment", "keys", "fields", "terms")
 
 

@@ -1,5 +1,7 @@
 """What grows with the tables: hits of queries, rows of a batch of pages, rows of a task of a merge."""
 
+from datetime import datetime
+
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -7,7 +9,7 @@ from pyspark.sql import functions as F
 from jobloom.operators import holding, substrings
 from jobloom.operators.matching import match_queries, score_many
 from jobloom.session import new_path
-from jobloom.sources import pages
+from jobloom.sources import pages, store
 
 TEXTS = "key bigint, title string, description string, company string, keywords array<string>"
 
@@ -83,3 +85,24 @@ def test_an_index_shuffles_lists_and_no_row_per_word(spark, monkeypatch):
     queries = spark.createDataFrame(asked, "query_id bigint, keywords array<string>")
     counts = {r.query_id: r.n for r in substrings.count_indexed(path, queries, postings).collect()}
     assert counts == {1: 40, 2: 20, 3: 19, 4: 0, 5: 39}
+
+
+def test_grams_stay_where_they_are(spark):
+    path = new_path(spark, "index")
+    row = [(1, "java dev", "scala", None, None)]
+    substrings.build_index(spark.createDataFrame(row, TEXTS), path)
+    terms = spark.createDataFrame([(0, "jav"), (1, "a")], "term_id bigint, probe string")
+    found = substrings._words_of(spark, path, terms)
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("strategy=broadcast") == 2
+    assert {tuple(r) for r in found.collect()} == {(0, "java"), (1, "java"), (1, "scala")}
+
+
+def test_a_large_bucket_is_several_tasks(spark, monkeypatch):
+    monkeypatch.setattr(store, "ROWS_PER_TASK", 5)
+    made = [(f"id{k}", datetime(2024, 1, 1 + k % 20)) for k in range(40)]
+    path = new_path(spark, "store")
+    store.upsert(spark, path, spark.createDataFrame(made, "id string, scraped_at timestamp"), buckets=1)
+    files = store.manifest(spark, path).collect()
+    assert len(files) > 3 and sum(f["n"] for f in files) == 40
+    spans = sorted((f["first_at"], f["last_at"]) for f in files)
+    assert all(a[1] <= b[0] for a, b in zip(spans, spans[1:], strict=False))
