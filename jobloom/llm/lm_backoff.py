@@ -1,11 +1,15 @@
 """Stupid-backoff scores of documents under the n-gram counts of all the others.
 
-Documents are spread over blocks by a hash. A block sends each of its distinct n-grams once, with
-its count there, to the bucket of the n-gram's hash, those of all lengths in one row; so a frequent n-gram costs a bucket one entry
-per block, however many documents hold it. Buckets add up the counts: the count table, partitioned
-by hash. They answer each block in the order in which it asked, the block joins the totals to the
-n-grams of its documents and sums the scores of each. What a block asks is a function of its set
-of documents, so a lost and repeated task asks the same.
+Documents are spread over blocks by a hash, n-grams over buckets by ranges of their hash. An n-gram
+found in one block only is counted there; most are, so blocks first learn which ones they share.
+A block sends the first ``PREFIX`` bits of each of its distinct n-grams once to the bucket, sorted,
+as differences; the bucket answers a bit for each: another one begins with the same bits. For these
+the block sends the other bits of the hash and its count. Buckets put the parts together and add up
+the counts: the count table, partitioned by hash, of whole hashes, so a prefix in common costs bytes
+and never a count. They answer each block, in the order in which it asked, how often other blocks
+have the n-gram. So a frequent n-gram costs a bucket one entry per block, however many documents
+hold it. The block adds its own counts and sums the scores of each document. What a block asks is a
+function of its set of documents, so a lost and repeated task asks the same.
 
 The score of a word is its count after its context divided by the context's count, without the
 document's own counts; a context not seen elsewhere backs off to the next shorter one at
@@ -17,54 +21,83 @@ repeated ones with each other in the counts.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 ORDER = 3
 ALPHA = 0.4
+#: Of the 64 bits of a hash: enough to tell 2**36 n-grams apart but for one in 16.
+PREFIX = 40
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
+_REST = np.uint64(64 - PREFIX)
 
 
-def _grams(text: str | None, order: int) -> list[np.ndarray]:
-    """For each length n, the hashes of all runs of n words, by their last word."""
-    words = (text or "").lower().encode().split()
-    word = np.fromiter(map(xxhash.xxh3_64_intdigest, words), dtype=np.uint64, count=len(words))
-    found, run = [word], word
-    for _ in range(1, order):
-        run = (run[:-1] * _STEP) ^ word[len(word) - len(run) + 1 :] if len(run) else run
-        run = (run ^ (run >> np.uint64(29))) * _MIX
-        run = run ^ (run >> np.uint64(32))
-        found.append(run)
-    return found
+def _packed(values: np.ndarray) -> bytes:
+    """Whole numbers from 0 as planes of bytes, compressed: small ones have planes of zeros."""
+    width = max(1, -(-int(values.max(initial=0)).bit_length() // 8))
+    planes = values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T
+    return len(values).to_bytes(8, "little") + bytes([width]) + pa.compress(planes.tobytes(), "zstd", asbytes=True)
 
 
-def _counted(texts, order: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For each length the distinct n-grams of a block, sorted, with their counts."""
-    held: list[list] = [[] for _ in range(order)]
-
-    def fold(n: int) -> None:
-        keys = np.concatenate([k for k, _ in held[n]])
-        counts = np.concatenate([c for _, c in held[n]])
-        by = np.argsort(keys, kind="stable")
-        keys, counts = keys[by], counts[by]
-        first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.empty(0, dtype=np.int64)
-        held[n] = [(keys[first], np.add.reduceat(counts, first) if len(first) else counts)]
-
-    for k, text in enumerate(texts):
-        for n, grams in enumerate(_grams(text, order)):
-            held[n].append((grams, np.ones(len(grams), dtype=np.int64)))
-        if k % 2000 == 1999:
-            for n in range(order):
-                fold(n)
+def _unpacked(blob: bytes) -> np.ndarray:
+    size, width = int.from_bytes(blob[:8], "little"), blob[8]
+    planes = pa.decompress(blob[9:], size * width, "zstd", asbytes=True)
+    out = np.zeros((size, 8), dtype=np.uint8)
+    out[:, :width] = np.frombuffer(planes, dtype=np.uint8).reshape(width, size).T
+    return out.view("<u8").ravel()
+
+
+def _words(texts: Iterable[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of the words of all texts, one text after the other; the number of words of each."""
+    held = []
+    for text in texts:
+        words = (text or "").lower().encode().split()
+        held.append(np.fromiter(map(xxhash.xxh3_64_intdigest, words), dtype=np.uint64, count=len(words)))
+    sizes = np.array([len(h) for h in held], dtype=np.int64)
+    return np.concatenate([np.empty(0, dtype=np.uint64), *held]), sizes
+
+
+def _grams(word: np.ndarray, sizes: np.ndarray, order: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each length n, the hashes of all runs of n words of a text, and the places of their last words."""
+    place = np.arange(len(word)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    run = word
     for n in range(order):
-        fold(n)
-    return [h[0] for h in held]
+        if n:
+            run = np.concatenate([run[:1], (run[:-1] * _STEP) ^ word[1:]])
+            run = (run ^ (run >> np.uint64(29))) * _MIX
+            run = run ^ (run >> np.uint64(32))
+        at = np.flatnonzero(place >= n)
+        yield run[at], at
+
+
+def _firsts(*runs: np.ndarray) -> np.ndarray:
+    """Where one of the arrays differs from the entry before."""
+    new = np.ones(len(runs[0]), dtype=bool)
+    new[1:] = False
+    for values in runs:
+        new[1:] |= values[1:] != values[:-1]
+    return np.flatnonzero(new)
+
+
+def _lengths(first: np.ndarray, size: int) -> np.ndarray:
+    return np.diff(np.append(first, size))
+
+
+def _counted(texts: Iterable[str | None], order: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each length the distinct n-grams of a block, sorted, with their counts."""
+    found = []
+    for keys, _ in _grams(*_words(texts), order):
+        keys = np.sort(keys)
+        first = _firsts(keys)
+        found.append((keys[first], _lengths(first, len(keys))))
+    return found
 
 
 def _by_bucket(keys: np.ndarray, buckets: int) -> Iterator[slice]:
@@ -76,77 +109,116 @@ def _by_bucket(keys: np.ndarray, buckets: int) -> Iterator[slice]:
 
 
 def _ask(order: int, buckets: int):
+    """The prefixes of a block's n-grams, and its number of words, for each bucket."""
+
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         block = int(frame["block"].iloc[0])
-        sent: list[tuple] = [([], []) for _ in range(buckets)]
-        for keys, counts in _counted(frame["text"], order):
+        sent: list[list[bytes]] = [[] for _ in range(buckets)]
+        found = _counted(frame["text"], order)
+        for keys, _ in found:
+            for mine, part in zip(sent, _by_bucket(keys, buckets), strict=True):
+                mine.append(_packed(np.diff(keys[part] >> _REST, prepend=np.uint64(0))))
+        words = int(found[0][1].sum())
+        rows = [(bucket, block, prefixes, words) for bucket, prefixes in enumerate(sent)]
+        return pd.DataFrame(rows, columns=["bucket", "block", "prefixes", "words"])
+
+    return run
+
+
+def _read(asked: pd.DataFrame, n: int) -> tuple[np.ndarray, list[slice], np.ndarray]:
+    """The prefixes that a bucket got, the slice of each row, and which of them are there twice."""
+    each = [np.cumsum(_unpacked(p[n])) for p in asked["prefixes"]]
+    ends = np.cumsum([len(p) for p in each]).tolist()
+    prefixes = np.concatenate(each)
+    by = np.argsort(prefixes)
+    first = _firsts(prefixes[by])
+    size = _lengths(first, len(prefixes))
+    shared = np.empty(len(prefixes), dtype=bool)
+    shared[by] = np.repeat(size > 1, size)
+    return prefixes, [slice(a, b) for a, b in zip([0, *ends], ends, strict=False)], shared
+
+
+def _share(asked: pd.DataFrame) -> pd.DataFrame:
+    """A bit for each prefix of each block: there is another n-gram or block with it."""
+    bits: list[list[bytes]] = [[] for _ in range(len(asked))]
+    for n in range(len(asked["prefixes"].iloc[0])):
+        _, rows, shared = _read(asked, n)
+        for mine, row in zip(bits, rows, strict=True):
+            mine.append(_packed(np.packbits(shared[row])))
+    return pd.DataFrame({"block": asked["block"], "bucket": asked["bucket"], "shared": bits})
+
+
+def _tell(order: int, buckets: int):
+    """The other bits and the counts of a block's n-grams that may be in another block."""
+
+    def run(docs: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
+        columns = ["bucket", "block", "rests", "counts"]
+        if not len(docs):
+            return pd.DataFrame({c: [] for c in columns})
+        block = int(docs["block"].iloc[0])
+        bits = answers.sort_values("bucket")["shared"].tolist()
+        sent: list[tuple[list, list]] = [([], []) for _ in range(buckets)]
+        for n, (keys, counts) in enumerate(_counted(docs["text"], order)):
             for bucket, part in enumerate(_by_bucket(keys, buckets)):
-                sent[bucket][0].append(keys[part].tobytes())
-                sent[bucket][1].append(counts[part].astype("<u4").tobytes())
-        rows = [(bucket, block, *both) for bucket, both in enumerate(sent)]
-        return pd.DataFrame(rows, columns=["bucket", "block", "keys", "counts"])
+                shared = np.unpackbits(_unpacked(bits[bucket][n]).astype(np.uint8), count=part.stop - part.start).view(bool)
+                sent[bucket][0].append(_packed(keys[part][shared] & ((np.uint64(1) << _REST) - np.uint64(1))))
+                sent[bucket][1].append(_packed(counts[part][shared]))
+        return pd.DataFrame([(bucket, block, *both) for bucket, both in enumerate(sent)], columns=columns)
 
     return run
 
 
-def _answer(frame: pd.DataFrame) -> pd.DataFrame:
-    """Totals for each block, in the order of its keys; with the bucket's number of words."""
-    totals: list[list[bytes]] = [[] for _ in range(len(frame))]
-    words = 0
-    for n in range(len(frame["keys"].iloc[0])):
-        keys = np.concatenate([np.frombuffer(k[n], dtype=np.uint64) for k in frame["keys"]])
-        counts = np.concatenate([np.frombuffer(c[n], dtype="<u4") for c in frame["counts"]]).astype(np.int64)
-        by = np.argsort(keys, kind="stable")
-        found = np.empty(len(keys), dtype=np.int64)
+def _answer(asked: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
+    """For each block, in the order of its keys, their counts in other blocks; with the number of all words."""
+    told = told.set_index("block").loc[asked["block"]]
+    others: list[list[bytes]] = [[] for _ in range(len(asked))]
+    for n in range(len(asked["prefixes"].iloc[0])):
+        prefixes, rows, shared = _read(asked, n)
+        keys = (prefixes[shared] << _REST) | np.concatenate([_unpacked(r[n]) for r in told["rests"]])
+        counts = np.concatenate([_unpacked(c[n]) for c in told["counts"]])
+        by = np.argsort(keys)
+        first = _firsts(keys[by])
+        total = np.empty_like(counts)
         if len(keys):
-            sorted_keys = keys[by]
-            first = np.flatnonzero(np.concatenate([[True], sorted_keys[1:] != sorted_keys[:-1]]))
-            found[by] = np.repeat(np.add.reduceat(counts[by], first), np.diff(np.append(first, len(keys))))
-        if n == 0:
-            words = int(counts.sum())
-        at = 0
-        for mine, asked in zip(totals, frame["keys"], strict=True):
-            size = len(asked[n]) // 8
-            mine.append(found[at : at + size].astype("<u4").tobytes())
-            at += size
-    return pd.DataFrame({"block": frame["block"], "bucket": frame["bucket"], "totals": totals, "words": words})
+            total[by] = np.repeat(np.add.reduceat(counts[by], first), _lengths(first, len(keys)))
+        found = np.zeros(len(prefixes), dtype=np.uint64)
+        found[shared] = total - counts
+        for mine, row in zip(others, rows, strict=True):
+            mine.append(_packed(found[row]))
+    return pd.DataFrame({"block": asked["block"], "bucket": asked["bucket"], "others": others, "words": asked["words"].sum()})
 
 
 def _score(order: int, alpha: float):
     def run(docs: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
         if not len(docs):
             return pd.DataFrame({"doc_id": pd.array([], dtype="Int64"), "n_words": [], "score": []})
-        asked = [keys for keys, _ in _counted(docs["text"], order)]
         answers = answers.sort_values("bucket")
-        words = int(answers["words"].sum())
-        totals = [
-            np.frombuffer(b"".join(t[n] for t in answers["totals"]), dtype="<u4").astype(np.int64)
-            for n in range(order)
-        ]
-        rows = []
-        for key, text in zip(docs["doc_id"], docs["text"], strict=True):
-            grams = _grams(text, order)
-            size = len(grams[0])
-            if not size:
-                rows.append((key, 0, None))
-                continue
-            seen = []
-            for n, own in enumerate(grams):
-                _, inverse, counts = np.unique(own, return_inverse=True, return_counts=True)
-                seen.append(totals[n][np.searchsorted(asked[n], own)] - counts[inverse])
-            others = words - size
+        word, sizes = _words(docs["text"])
+        doc = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
+        best = shorter = np.empty(0)
+        for n, (keys, at) in enumerate(_grams(word, sizes, order)):
+            # Equal n-grams stand together, in them those of one document.
+            by = np.argsort(keys, kind="stable")
+            keys, at = keys[by], at[by]
+            first, own = _firsts(keys), _firsts(keys, doc[at])
+            count, mine = _lengths(first, len(keys)), _lengths(own, len(keys))
+            elsewhere = np.concatenate([_unpacked(o[n]) for o in answers["others"]]).astype(np.int64)
+            seen = np.zeros(len(word), dtype=np.int64)
+            seen[at] = np.repeat(elsewhere + count, count) - np.repeat(mine, mine)
             # From the word alone up: the longest context with a count decides.
-            best = np.where(seen[0] > 0, seen[0], 0.5) / max(others, 1)
-            best = np.log(best) + (order - 1) * np.log(alpha)
-            for n in range(1, order):
-                tail = np.flatnonzero(seen[n] > 0)
-                context = seen[n - 1][:-1][tail]
-                best[n:][tail] = np.log(seen[n][tail] / context) + (order - 1 - n) * np.log(alpha)
-            # Words near the start have no longer context to back off from.
-            for k in range(min(order - 1, size)):
-                best[k] -= (order - 1 - k) * np.log(alpha)
-            rows.append((key, size, float(best.mean())))
-        out = pd.DataFrame(rows, columns=["doc_id", "n_words", "score"])
+            if n == 0:
+                words = np.maximum(int(answers["words"].iloc[0]) - sizes, 1)
+                best = np.log(np.where(seen > 0, seen, 0.5) / np.repeat(words, sizes)) + (order - 1) * np.log(alpha)
+            else:
+                tail = np.flatnonzero(seen > 0)
+                best[tail] = np.log(seen[tail] / shorter[tail - 1]) + (order - 1 - n) * np.log(alpha)
+            shorter = seen
+        ends = np.cumsum(sizes)
+        # Words near the start have no longer context to back off from.
+        for k in range(order - 1):
+            best[(ends - sizes + k)[sizes > k]] -= (order - 1 - k) * np.log(alpha)
+        scores = [float(best[b - s : b].mean()) if s else None for s, b in zip(sizes.tolist(), ends.tolist(), strict=True)]
+        out = pd.DataFrame({"doc_id": docs["doc_id"].to_numpy(), "n_words": sizes, "score": scores})
         return out.astype({"doc_id": "Int64", "score": "float64"})
 
     return run
@@ -162,10 +234,18 @@ def backoff_scores(
     rows = docs.select(spread.alias("block"), F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
     rows = rows.repartition(parts, "block")
     asked = rows.groupBy("block").applyInPandas(
-        _ask(order, parts), "bucket int, block int, keys array<binary>, counts array<binary>"
+        _ask(order, parts), "bucket int, block int, prefixes array<binary>, words bigint"
+    )
+    shared = asked.groupBy("bucket").applyInPandas(_share, "block int, bucket int, shared array<binary>")
+    told = (
+        rows.groupBy("block")
+        .cogroup(shared.groupBy("block"))
+        .applyInPandas(_tell(order, parts), "bucket int, block int, rests array<binary>, counts array<binary>")
     )
-    answers = asked.groupBy("bucket").applyInPandas(
-        _answer, "block int, bucket int, totals array<binary>, words bigint"
+    answers = (
+        asked.groupBy("bucket")
+        .cogroup(told.groupBy("bucket"))
+        .applyInPandas(_answer, "block int, bucket int, others array<binary>, words bigint")
     )
     return (
         rows.groupBy("block")

@@ -12,6 +12,7 @@ import zlib
 
 import duckdb
 import numpy as np
+import pandas as pd
 import public_tokenizers
 import pytest
 import tiktoken
@@ -480,6 +481,52 @@ def test_lm_backoff(docs, rows, order, empty):
     assert lm_backoff.backoff_scores(empty, order).count() == 0
 
 
+def sent_bytes(found) -> int:
+    """What the exchanges of a collected frame wrote."""
+    todo, total = [found._jdf.queryExecution().executedPlan()], 0
+    while todo:
+        node = todo.pop()
+        name = node.nodeName()
+        if name == "AdaptiveSparkPlan":
+            todo.append(node.executedPlan())
+        elif name.endswith("QueryStage"):
+            todo.append(node.plan())
+        elif name == "Exchange":
+            total += node.metrics().apply("shuffleBytesWritten").value()
+        todo += [node.children().apply(k) for k in range(node.children().size())]
+    return total
+
+
+def test_lm_backoff_sends_no_ngram_of_one_block_whole(spark):
+    """N-grams that are in one document only cost a part of their hash, once."""
+    size, texts = 500, 400
+    items = [(k, " ".join(f"w{k * size + j}" for j in range(size))) for k in range(texts)]
+    found = lm_backoff.backoff_scores(spark.createDataFrame(items, "doc_id bigint, text string"), 3)
+    got = found.collect()
+    expected = math.log(0.5 / (size * (texts - 1))) + (2 - 3 / size) * math.log(0.4)
+    assert len(got) == texts and all(r.n_words == size and abs(r.score - expected) < 1e-9 for r in got)
+    ngrams = texts * (3 * size - 3)
+    assert 2 * ngrams < sent_bytes(found) < 7 * ngrams
+
+
+def test_lm_backoff_prefix_in_common(rows, monkeypatch):
+    """Other n-grams with the same first bits cost bytes, not counts."""
+    blocks = [pd.DataFrame({"block": b, "doc_id": range(b, 90, 3), "text": [t for _, t in rows[b:90:3]]}) for b in range(3)]
+
+    def scores() -> tuple[list, int]:
+        asked = pd.concat([lm_backoff._ask(3, 2)(b) for b in blocks])
+        shared = pd.concat([lm_backoff._share(a) for _, a in asked.groupby("bucket")])
+        told = pd.concat([lm_backoff._tell(3, 2)(b, shared[shared["block"] == k]) for k, b in enumerate(blocks)])
+        answers = pd.concat([lm_backoff._answer(a, told[told["bucket"] == k]) for k, a in asked.groupby("bucket")])
+        found = pd.concat([lm_backoff._score(3, 0.4)(b, answers[answers["block"] == k]) for k, b in enumerate(blocks)])
+        told_of = sum(len(lm_backoff._unpacked(r)) for rests in told["rests"] for r in rests)
+        return found.astype(object).where(found.notna(), None).values.tolist(), told_of
+
+    (plain, few), _ = scores(), monkeypatch.setattr(lm_backoff, "_REST", np.uint64(56))
+    again, many = scores()
+    assert again == plain and many > 2 * few > 0
+
+
 def test_lm_backoff_query(spark):
     """The registered query scores with two words of context."""
     docs = spark.read.parquet(f"{SF}/documents.parquet")
