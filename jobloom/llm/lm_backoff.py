@@ -1,6 +1,7 @@
 """Stupid-backoff scores of documents under the n-gram counts of all the others.
 
-Documents are spread over blocks by a hash, n-grams over buckets by ranges of their hash. An n-gram
+Documents are spread over blocks by a hash, the words of many in one compressed row, n-grams over
+buckets by ranges of their hash. An n-gram
 found in one block only is counted there; most are, so blocks first learn which ones they share.
 A block sends the first ``PREFIX`` bits of each of its distinct n-grams once to the bucket, sorted,
 as differences; the bucket answers a bit for each: another one begins with the same bits. For these
@@ -21,6 +22,7 @@ repeated ones with each other in the counts.
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -33,32 +35,71 @@ ORDER = 3
 ALPHA = 0.4
 #: Of the 64 bits of a hash: enough to tell 2**36 n-grams apart but for one in 16.
 PREFIX = 40
+#: Bytes of words that a task gathers before it sends them to the blocks.
+GATHERED = 1 << 26
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
 _REST = np.uint64(64 - PREFIX)
 
 
+def _zipped(data: bytes, level: int = 1) -> bytes:
+    """Smaller than what the shuffle's own compression makes of it."""
+    return len(data).to_bytes(8, "little") + pa.Codec("zstd", level).compress(data, asbytes=True)
+
+
+def _unzipped(blob: bytes) -> bytes:
+    return pa.decompress(blob[8:], int.from_bytes(blob[:8], "little"), "zstd", asbytes=True)
+
+
 def _packed(values: np.ndarray) -> bytes:
     """Whole numbers from 0 as planes of bytes, compressed: small ones have planes of zeros."""
     width = max(1, -(-int(values.max(initial=0)).bit_length() // 8))
     planes = values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T
-    return len(values).to_bytes(8, "little") + bytes([width]) + pa.compress(planes.tobytes(), "zstd", asbytes=True)
+    return bytes([width]) + _zipped(planes.tobytes())
 
 
 def _unpacked(blob: bytes) -> np.ndarray:
-    size, width = int.from_bytes(blob[:8], "little"), blob[8]
-    planes = pa.decompress(blob[9:], size * width, "zstd", asbytes=True)
-    out = np.zeros((size, 8), dtype=np.uint8)
-    out[:, :width] = np.frombuffer(planes, dtype=np.uint8).reshape(width, size).T
+    planes = np.frombuffer(_unzipped(blob[1:]), dtype=np.uint8).reshape(blob[0], -1)
+    out = np.zeros((planes.shape[1], 8), dtype=np.uint8)
+    out[:, : blob[0]] = planes.T
     return out.view("<u8").ravel()
 
 
-def _words(texts: Iterable[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """The hashes of the words of all texts, one text after the other; the number of words of each."""
+def _gather(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of ids and words, of many documents of a block each: a line of words for a document."""
+    held: dict[int, tuple[list, list]] = defaultdict(lambda: ([], []))
+
+    def flush() -> pa.RecordBatch:
+        rows = []
+        for block, (ids, lines) in held.items():
+            keys = np.array([k or 0 for k in ids], dtype="<i8").view("<u8")
+            absent = np.array([k is None for k in ids], dtype=np.uint8)
+            rows.append((block, _packed(keys), _packed(absent), _zipped(b"\n".join(lines), 3)))
+        held.clear()
+        kinds = (pa.int32(), pa.binary(), pa.binary(), pa.binary())
+        columns = [pa.array(c, kind) for c, kind in zip(zip(*rows, strict=True), kinds, strict=True)]
+        return pa.RecordBatch.from_arrays(columns, ["block", "ids", "absent", "lines"])
+
+    size = 0
+    for batch in batches:
+        for block, key, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            line = b" ".join((text or "").lower().encode().split())
+            held[block][0].append(key)
+            held[block][1].append(line)
+            size += len(line)
+            if size > GATHERED:
+                yield flush()
+                size = 0
+    if held:
+        yield flush()
+
+
+def _words(frame: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of the words of a block, one text after the other; the number of words of each text."""
     held = []
-    for text in texts:
-        words = (text or "").lower().encode().split()
+    for line in (line for blob in frame["lines"] for line in _unzipped(blob).split(b"\n")):
+        words = line.split()
         held.append(np.fromiter(map(xxhash.xxh3_64_intdigest, words), dtype=np.uint64, count=len(words)))
     sizes = np.array([len(h) for h in held], dtype=np.int64)
     return np.concatenate([np.empty(0, dtype=np.uint64), *held]), sizes
@@ -90,10 +131,10 @@ def _lengths(first: np.ndarray, size: int) -> np.ndarray:
     return np.diff(np.append(first, size))
 
 
-def _counted(texts: Iterable[str | None], order: int) -> list[tuple[np.ndarray, np.ndarray]]:
+def _counted(frame: pd.DataFrame, order: int) -> list[tuple[np.ndarray, np.ndarray]]:
     """For each length the distinct n-grams of a block, sorted, with their counts."""
     found = []
-    for keys, _ in _grams(*_words(texts), order):
+    for keys, _ in _grams(*_words(frame), order):
         keys = np.sort(keys)
         first = _firsts(keys)
         found.append((keys[first], _lengths(first, len(keys))))
@@ -114,7 +155,7 @@ def _ask(order: int, buckets: int):
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         block = int(frame["block"].iloc[0])
         sent: list[list[bytes]] = [[] for _ in range(buckets)]
-        found = _counted(frame["text"], order)
+        found = _counted(frame, order)
         for keys, _ in found:
             for mine, part in zip(sent, _by_bucket(keys, buckets), strict=True):
                 mine.append(_packed(np.diff(keys[part] >> _REST, prepend=np.uint64(0))))
@@ -158,7 +199,7 @@ def _tell(order: int, buckets: int):
         block = int(docs["block"].iloc[0])
         bits = answers.sort_values("bucket")["shared"].tolist()
         sent: list[tuple[list, list]] = [([], []) for _ in range(buckets)]
-        for n, (keys, counts) in enumerate(_counted(docs["text"], order)):
+        for n, (keys, counts) in enumerate(_counted(docs, order)):
             for bucket, part in enumerate(_by_bucket(keys, buckets)):
                 shared = np.unpackbits(_unpacked(bits[bucket][n]).astype(np.uint8), count=part.stop - part.start).view(bool)
                 sent[bucket][0].append(_packed(keys[part][shared] & ((np.uint64(1) << _REST) - np.uint64(1))))
@@ -193,7 +234,7 @@ def _score(order: int, alpha: float):
         if not len(docs):
             return pd.DataFrame({"doc_id": pd.array([], dtype="Int64"), "n_words": [], "score": []})
         answers = answers.sort_values("bucket")
-        word, sizes = _words(docs["text"])
+        word, sizes = _words(docs)
         doc = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
         best = shorter = np.empty(0)
         for n, (keys, at) in enumerate(_grams(word, sizes, order)):
@@ -218,8 +259,9 @@ def _score(order: int, alpha: float):
         for k in range(order - 1):
             best[(ends - sizes + k)[sizes > k]] -= (order - 1 - k) * np.log(alpha)
         scores = [float(best[b - s : b].mean()) if s else None for s, b in zip(sizes.tolist(), ends.tolist(), strict=True)]
-        out = pd.DataFrame({"doc_id": docs["doc_id"].to_numpy(), "n_words": sizes, "score": scores})
-        return out.astype({"doc_id": "Int64", "score": "float64"})
+        keys, absent = (np.concatenate([_unpacked(blob) for blob in docs[c]]) for c in ("ids", "absent"))
+        ids = pd.arrays.IntegerArray(keys.view("<i8"), absent.astype(bool))
+        return pd.DataFrame({"doc_id": ids, "n_words": sizes, "score": scores}).astype({"score": "float64"})
 
     return run
 
@@ -232,7 +274,7 @@ def backoff_scores(
     blocks = parts * 2
     spread = F.pmod(F.xxhash64(F.col(doc_id), F.substring(F.col(text), 1, 200)), F.lit(blocks)).cast("int")
     rows = docs.select(spread.alias("block"), F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
-    rows = rows.repartition(parts, "block")
+    rows = rows.mapInArrow(_gather, "block int, ids binary, absent binary, lines binary").repartition(parts, "block")
     asked = rows.groupBy("block").applyInPandas(
         _ask(order, parts), "bucket int, block int, prefixes array<binary>, words bigint"
     )

@@ -13,6 +13,7 @@ import zlib
 import duckdb
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import public_tokenizers
 import pytest
 import tiktoken
@@ -509,9 +510,28 @@ def test_lm_backoff_sends_no_ngram_of_one_block_whole(spark):
     assert 2 * ngrams < sent_bytes(found) < 7 * ngrams
 
 
+def test_lm_backoff_gathers_in_steps(rows, monkeypatch):
+    """Ids beyond 2**53 and null ones, and empty texts, come through in rows of a bounded size."""
+    ids, texts = [2**60 + 1, None, -5, 7, 7], ["A  b\x0bc\n", None, "", "É \x85", "x" * 50]
+    batch = pa.RecordBatch.from_pydict({"block": [1, 1, 1, 1, 2], "doc_id": ids, "text": texts})
+    monkeypatch.setattr(lm_backoff, "GATHERED", 40)
+    found = pd.concat([b.to_pandas() for b in lm_backoff._gather([batch, batch])])
+    assert len(found) == 4
+    for block, size in ((1, 4), (2, 1)):
+        of = found[found["block"] == block]
+        keys, absent = ([v for blob in of[c] for v in lm_backoff._unpacked(blob).view("<i8").tolist()] for c in ("ids", "absent"))
+        wanted = [k for k, b in zip(ids, [1, 1, 1, 1, 2], strict=True) if b == block] * 2
+        assert [None if a else k for k, a in zip(keys, absent, strict=True)] == wanted
+        word, sizes = lm_backoff._words(of)
+        assert sizes.tolist() == ([3, 0, 0, 2] if size == 4 else [1]) * 2 and len(word) == sizes.sum()
+
+
 def test_lm_backoff_prefix_in_common(rows, monkeypatch):
     """Other n-grams with the same first bits cost bytes, not counts."""
-    blocks = [pd.DataFrame({"block": b, "doc_id": range(b, 90, 3), "text": [t for _, t in rows[b:90:3]]}) for b in range(3)]
+    ids, texts = zip(*rows[:90], strict=True)
+    batch = pa.RecordBatch.from_pydict({"block": [k % 3 for k in range(90)], "doc_id": ids, "text": texts})
+    gathered = pd.concat([b.to_pandas() for b in lm_backoff._gather([batch])])
+    blocks = [gathered[gathered["block"] == b] for b in range(3)]
 
     def scores() -> tuple[list, int]:
         asked = pd.concat([lm_backoff._ask(3, 2)(b) for b in blocks])
