@@ -10,15 +10,17 @@ Rows of a bucket are sorted by time and cut into files of ``rows_per_file`` rows
 a stretch of time. A reader with a time range or a location passes over the files that the
 manifest rules out; what it opens has Parquet statistics, and a Bloom filter on the id.
 
-A task of an upsert writes a stretch of buckets and times of at most about ``ROWS_PER_TASK`` rows, so a
-large bucket is several tasks. The number of buckets is fixed by the first version. Manifests are as long as there are files and are read by the driver,
+A batch is read once and set aside, compressed, by groups of buckets (slots). The slots are merged
+one after the other, and what a slot left on disk is freed before the next, so a merge needs the
+store's own files, the batch and the exchanges of one slot. A task of it writes a stretch of buckets
+and times of at most about ``ROWS_PER_TASK`` rows, so a large bucket is several tasks. The number of buckets is fixed by the first version. Manifests are as long as there are files and are read by the driver,
 as Spark itself lists the files of a folder.
 """
 
 from __future__ import annotations
 
 import uuid
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from datetime import date, datetime, timedelta
 
 from pyspark.errors import AnalysisException
@@ -29,11 +31,14 @@ from pyspark.sql import types as T
 from jobloom.operators.filters import SearchSpec, filter_spec, like_pattern
 from jobloom.operators.merge import upsert_postings
 from jobloom.schema import POSTING, POSTING_COLUMNS, as_posting
-from jobloom.session import shared_folder
+from jobloom.session import free_exchanges, new_path, remove_folder
 
 BUCKETS = 64
 ROWS_PER_FILE = 200_000
 ROWS_PER_TASK = 20_000
+# A merge is done in passes of whole slots: about so many rows each, a slot at least.
+SLOTS = 8
+ROWS_PER_PASS = 40_000
 # A file with more locations than this cannot be passed over by location.
 LISTED_LOCATIONS = 50
 
@@ -143,13 +148,52 @@ def _write_files(rows: DataFrame, folder: str, buckets: int, rows_per_file: int,
         rows.select(*POSTING_COLUMNS, _bucket(buckets).alias("bucket"))
         .repartitionByRange(max(1, -(-n // min(rows_per_file, ROWS_PER_TASK))), *order)
         .sortWithinPartitions(*order)
-        .write.partitionBy("bucket")
+        .write.mode("append").partitionBy("bucket")
         .option("maxRecordsPerFile", rows_per_file)
+        .option("compression", "zstd")
         .option("parquet.bloom.filter.enabled#id", "true")
+        # Else each file has a filter of 1 MB.
+        .option("parquet.bloom.filter.expected.ndv#id", 2 * min(rows_per_file, ROWS_PER_TASK))
         .parquet(folder)
     )
 
 
+def _set_aside(batch: DataFrame, buckets: int, folder: str) -> dict[int, int]:
+    """Write a batch by slot, without an exchange; the rows of each bucket."""
+    bucket = _bucket(buckets)
+    parts = batch.withColumns({"bucket": bucket, "slot": bucket % SLOTS}).write.partitionBy("slot")
+    parts.option("compression", "zstd").parquet(folder)
+    rows = batch.sparkSession.read.schema("bucket int").parquet(folder)
+    return {r["bucket"]: r["count"] for r in rows.groupBy("bucket").count().collect()}  # at most a row per bucket
+
+
+def _passes(rows: Mapping[int, int]) -> list[list[int]]:
+    """The buckets, of so many rows each, in passes of whole slots."""
+    passes, size = [], ROWS_PER_PASS
+    for slot in sorted({bucket % SLOTS for bucket in rows}):
+        some = sorted(bucket for bucket in rows if bucket % SLOTS == slot)
+        more = sum(rows[bucket] for bucket in some)
+        if size + more > ROWS_PER_PASS:
+            passes.append([])
+            size = 0
+        passes[-1] += some
+        size += more
+    return passes
+
+
+def _merge(
+    spark: SparkSession, path: str, folder: str, aside: str, old: DataFrame, rows: Mapping[int, int], buckets: int,
+    rows_per_file: int,
+) -> None:
+    """One pass: the buckets of ``rows``, from the batch set aside and the old files."""
+    slots = [f"{aside}/slot={slot}" for slot in sorted({bucket % SLOTS for bucket in rows})]
+    batch = spark.read.schema(POSTING).parquet(*slots)
+    merged = upsert_postings(batch, _read_files(spark, path, old.where(F.col("bucket").isin(list(rows)))))
+    _write_files(merged, f"{path}/{folder}", buckets, rows_per_file, sum(rows.values()))
+    for slot in slots:
+        remove_folder(spark, slot)
+
+
 def _described(spark: SparkSession, path: str, folder: str, buckets: int) -> DataFrame:
     """A manifest row per file of a folder, from its times and locations alone."""
     at = F.col("_metadata.file_path")
@@ -197,21 +241,25 @@ def upsert(
     is the folder of the manifest that tells them apart, so writers that end in the same instant
     need a lock of their own.
     """
-    shared_folder(spark)
     files = manifest(spark, path)
     head = files.select("version", "buckets").head()
     version, buckets = (head["version"] + 1, head["buckets"]) if head else (1, buckets)
-    # What the batch is made from is read once.
-    batch = as_posting(batch, **{c: F.col(c) for c in POSTING_COLUMNS if c in batch.columns}).checkpoint()
-    touched = [r[0] for r in batch.select(_bucket(buckets)).distinct().collect()]  # at most one per bucket
-    hit = F.coalesce(F.col("bucket").isin(touched), F.lit(False))
-    named = files.where(~hit & F.col("path").isNotNull()).select(_FILE)
-    if touched:
-        folder = f"data/{version:012d}-{uuid.uuid4().hex}"
-        old = files.where(hit)
-        n = batch.count() + (old.agg(F.sum("n")).head()[0] or 0)
-        merged = upsert_postings(batch, _read_files(spark, path, old))
-        _write_files(merged, f"{path}/{folder}", buckets, rows_per_file, n)
+    batch = as_posting(batch, **{c: F.col(c) for c in POSTING_COLUMNS if c in batch.columns})
+    aside = new_path(spark, "batch")
+    try:
+        # What the batch is made from is read once.
+        rows = _set_aside(batch, buckets, aside)
+        hit = F.coalesce(F.col("bucket").isin(list(rows)), F.lit(False))
+        named = files.where(~hit & F.col("path").isNotNull()).select(_FILE)
+        folder, old = f"data/{version:012d}-{uuid.uuid4().hex}", files.where(hit)
+        for r in old.groupBy("bucket").agg(F.sum("n").alias("n")).collect():
+            rows[r["bucket"]] += r["n"]
+        for some in _passes(rows):
+            _merge(spark, path, folder, aside, old, {b: rows[b] for b in some}, buckets, rows_per_file)
+            free_exchanges(spark)
+    finally:
+        remove_folder(spark, aside)
+    if rows:
         named = named.unionByName(_described(spark, path, folder, buckets))
     elif named.isEmpty():
         # A version without files still tells the number of buckets.
