@@ -37,7 +37,7 @@ BUCKETS = 64
 ROWS_PER_FILE = 200_000
 ROWS_PER_TASK = 20_000
 # A merge is done in passes of whole slots: about so many rows each, a slot at least.
-SLOTS = 8
+SLOTS = 16
 ROWS_PER_PASS = 40_000
 # A file with more locations than this cannot be passed over by location.
 LISTED_LOCATIONS = 50
